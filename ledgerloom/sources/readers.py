@@ -51,10 +51,12 @@ def read_documented_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per table: (table_name, n_rows)."""
-    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-             for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """One row per table: (table_name, n_rows). All scans run as one job with a single small exchange;
+    tables without rows are kept with 0."""
+    tagged = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()])
+    counted = tagged.groupBy("table_name").agg(F.count("*").alias("n_rows"))
+    names = next(iter(tables.values())).sparkSession.createDataFrame([(n,) for n in tables], "table_name string")
+    return names.join(counted, "table_name", "left").na.fill(0, ["n_rows"])
 
 
 def column_listing(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
