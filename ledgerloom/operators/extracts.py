@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.status import INFERRED, OBSERVED, UNAVAILABLE
-from ..functions.text import PARSERS, month_problem
+from ..functions.status import OBSERVED, UNAVAILABLE
+from ..functions.text import MONTH_LABEL, PARSERS, month_problem
 from ..sources.schemas import EXTRACT_COLUMNS, EXTRACT_COMPONENTS, EXTRACT_GRAIN
-from .grain import ContractBroken, contiguous_months, row_rules, unique_combination
+from .grain import ContractBroken, contiguous_months, unique_combination
 from .infer import aov_denominator, infer_numerator
 
 LABEL = {"monthly": None, "category": "product_category", "state": "customer_state", "payment": "primary_payment_type"}
@@ -60,40 +60,37 @@ def typed_name(column: str) -> str:
 
 
 def typed_parse(df: DataFrame, spec: Mapping[str, tuple[str, bool]]) -> DataFrame:
-    """Typed columns plus ``errors``: one text per cell that cannot be read, or is required and empty."""
-    parsed = {c: PARSERS[kind](F.col(c)) for c, (kind, _) in spec.items()}
-    wide = df.select("*", *[p.alias(f"_p_{c}") for c, p in parsed.items()])
+    """Typed columns plus ``errors``: one text per cell that cannot be read, or is required and empty.
+    Money and numbers also keep their printed text as ``<column>_text``."""
+    wide = df.selectExpr("*", *[f"{PARSERS[kind](c)} AS _p_{c}" for c, (kind, _) in spec.items()])
     complaints = []
     for c, (_, required) in spec.items():
-        cell = F.col(f"_p_{c}")
-        complaint = F.when(cell["problem"].isNotNull(), F.concat(F.lit(f"{c}: "), cell["problem"]))
-        if required:
-            complaint = complaint.when(cell["value"].isNull(), F.lit(f"{c}: required value is empty"))
-        complaints.append(complaint)
-    return wide.select(*[F.col(f"_p_{c}")["value"].alias(typed_name(c)) for c in spec],
-                       *[F.col(c).alias(f"{c}_text") for c, (kind, _) in spec.items() if kind in ("number", "money")],
-                       F.array_compact(F.array(*complaints)).alias("errors"))
+        empty = f"WHEN _p_{c}.value IS NULL THEN '{c}: required value is empty'" if required else ""
+        complaints.append(f"CASE WHEN _p_{c}.problem IS NOT NULL THEN concat('{c}: ', _p_{c}.problem) {empty} END")
+    return wide.selectExpr(
+        *[f"_p_{c}.value AS {typed_name(c)}" for c in spec],
+        *[f"{c} AS {c}_text" for c, (kind, _) in spec.items() if kind in ("number", "money")],
+        f"array_compact(array({', '.join(complaints)})) AS errors")
 
 
 def month_contract(df: DataFrame) -> DataFrame:
     """Rows whose month label is not canonical or does not name their purchase month."""
-    problem = month_problem(F.col("month_label"), F.col("purchase_month"))
-    return df.select("purchase_month", "month_label", problem.alias("problem")).where("problem is not null")
+    return df.selectExpr("purchase_month", "month_label", f"{month_problem()} AS problem").where("problem is not null")
 
 
 # ------------------------------------------------------------------------------ row rules
-def extract_rules(name: str) -> dict[str, Column]:
-    c = F.col
+def extract_rules(name: str) -> dict[str, str]:
+    """What must hold inside one row, as SQL predicates."""
     if name == "monthly":
         counts = ("active_customers", "orders_with_items", "canceled_orders", "delivered_orders", "reviewed_orders")
-        return {"a month has orders": c("orders") > 0, "late within delivered": c("late_orders") <= c("delivered_orders"),
-                "goods and freight make GMV": c("goods_c") + c("freight_c") == c("gmv_c"),
-                **{f"{x} within orders": c(x) <= c("orders") for x in counts}}
+        return {"a month has orders": "orders > 0", "late within delivered": "late_orders <= delivered_orders",
+                "goods and freight make GMV": "goods_c + freight_c = gmv_c",
+                **{f"{x} within orders": f"{x} <= orders" for x in counts}}
     if name == "category":
-        return {"orders between 1 and lines": (c("orders") >= 1) & (c("orders") <= c("order_lines")),
-                "goods and freight make GMV": c("goods_c") + c("freight_c") == c("gmv_c")}
+        return {"orders between 1 and lines": "orders between 1 and order_lines",
+                "goods and freight make GMV": "goods_c + freight_c = gmv_c"}
     if name == "payment":
-        return {"installment orders within orders": c("installment_orders") <= c("orders")}
+        return {"installment orders within orders": "installment_orders <= orders"}
     return {}
 
 
@@ -116,12 +113,6 @@ def inference_log(df: DataFrame, extract: str, column: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ reconciliation
-def _owi_totals() -> list[Column]:
-    known = F.col("orders_with_items_status") != UNAVAILABLE
-    return [F.sum(F.when(known, F.col("orders_with_items"))).alias("owi"), F.count_if(~known).alias("owi_unknown"),
-            F.sum(F.when(~known, F.col("orders"))).alias("owi_slack")]
-
-
 def reconcile(monthly: DataFrame, category: DataFrame, state: DataFrame, payment: DataFrame, has_excluded: bool) -> DataFrame:
     """Per month: (check_name, month_label, result, detail) with result pass, fail, bounded or unsupported.
 
@@ -129,57 +120,55 @@ def reconcile(monthly: DataFrame, category: DataFrame, state: DataFrame, payment
     an order with several categories counts in each. The payment grain leaves out orders without a
     primary instrument: with the excluded population it must equal the month, else it is bounded.
     """
-    c = category.groupBy("month_label").agg(
-        *[F.sum(x).alias(f"c_{x}") for x in ("gmv_c", "goods_c", "freight_c", "orders", "order_lines")])
-    s = state.groupBy("month_label").agg(
-        *[F.sum(x).alias(f"s_{x}") for x in ("orders", "gmv_c", "freight_c")], *[t.alias(f"s_{n}") for t, n in zip(_owi_totals(), ("owi", "owi_unknown", "owi_slack"))])
-    p = payment.groupBy("month_label").agg(
-        *[F.sum(x).alias(f"p_{x}") for x in ("orders", "gmv_c", "payment_c")], *[t.alias(f"p_{n}") for t, n in zip(_owi_totals(), ("owi", "owi_unknown", "owi_slack"))])
-    wide = reduce(lambda a, b: a.join(b, "month_label", "left"), [monthly, c, s, p])
-    v = lambda name: F.coalesce(F.col(name), F.lit(0))
-
-    def row(name: str, result: Column, *shown: Column, when: Column | None = None) -> Column:
-        made = F.struct(F.lit(name).alias("check_name"), result.alias("result"), F.concat_ws(" | ", *[x.cast("string") for x in shown]).alias("detail"))
-        return made if when is None else F.when(when, made)
-
-    def equal(name: str, a: Column, b: Column, when: Column | None = None) -> Column:
-        return row(name, F.when(a == b, "pass").otherwise("fail"), a, b, when=when)
-
-    def between(name: str, low: Column, x: Column, high: Column, when: Column | None = None) -> Column:
-        return row(name, F.when((low <= x) & (x <= high), "bounded").otherwise("fail"), low, x, high, when=when)
-
-    s_known, p_known = v("s_owi_unknown") == 0, v("p_owi_unknown") == 0
-    owi = v("orders_with_items")
+    def totals(df: DataFrame, tag: str, columns: Sequence[str], with_owi: bool) -> DataFrame:
+        known = f"orders_with_items_status <> '{UNAVAILABLE}'"
+        owi = [f"coalesce(sum(if({known}, orders_with_items, 0)), 0) AS {tag}_owi", f"count_if(NOT ({known})) AS {tag}_unknown",
+               f"coalesce(sum(if({known}, 0, orders)), 0) AS {tag}_slack"] if with_owi else []
+        sums = [f"coalesce(sum({c}), 0) AS {tag}_{c}" for c in columns] + owi
+        return df.groupBy("month_label").agg(*[F.expr(e) for e in sums])
+
+    parts = [totals(category, "c", ("gmv_c", "goods_c", "freight_c", "orders", "order_lines"), False),
+             totals(state, "s", ("orders", "gmv_c", "freight_c"), True), totals(payment, "p", ("orders", "gmv_c", "payment_c"), True)]
+    money = ("gmv_c", "goods_c", "freight_c", "payment_c")
+    wide = reduce(lambda x, y: x.join(y, "month_label", "left"), parts, monthly).na.fill(0, [*money, *[c for p in parts for c in p.columns[1:]]])
+
+    def row(name: str, result: str, shown: Sequence[str], when: str | None = None) -> str:
+        made = f"named_struct('check_name', '{name}', 'result', {result}, 'detail', concat_ws(' | ', {', '.join(shown)}))"
+        return f"if({when}, {made}, NULL)" if when else made
+
+    def equal(name: str, a: str, b: str, when: str | None = None) -> str:
+        return row(name, f"if({a} = {b}, 'pass', 'fail')", (a, b), when)
+
+    def bounded(name: str, low: str, x: str, high: str, when: str | None = None) -> str:
+        return row(name, f"if({x} BETWEEN {low} AND {high}, 'bounded', 'fail')", (low, x, high), when)
+
+    owi = "orders_with_items"
     checks = [
-        equal("category GMV", v("c_gmv_c"), v("gmv_c")), equal("category goods", v("c_goods_c"), v("goods_c")),
-        equal("category freight", v("c_freight_c"), v("freight_c")),
-        between("category orders", owi, v("c_orders"), v("c_order_lines")),
-        equal("state orders", v("s_orders"), v("orders")), equal("state GMV", v("s_gmv_c"), v("gmv_c")),
-        equal("state freight", v("s_freight_c"), v("freight_c")),
-        equal("state orders with items", v("s_owi"), owi, when=s_known),
-        between("state orders with items, bounds", v("s_owi"), owi, v("s_owi") + v("s_owi_slack"), when=~s_known),
+        equal("category GMV", "c_gmv_c", "gmv_c"), equal("category goods", "c_goods_c", "goods_c"),
+        equal("category freight", "c_freight_c", "freight_c"), bounded("category orders", owi, "c_orders", "c_order_lines"),
+        equal("state orders", "s_orders", "orders"), equal("state GMV", "s_gmv_c", "gmv_c"), equal("state freight", "s_freight_c", "freight_c"),
+        equal("state orders with items", "s_owi", owi, when="s_unknown = 0"),
+        bounded("state orders with items, bounds", "s_owi", owi, "s_owi + s_slack", when="s_unknown > 0"),
     ]
     if has_excluded:
         checks += [
-            equal("payment orders and excluded", v("p_orders") + v("orders_no_primary_payment"), v("orders")),
-            equal("payment GMV and excluded", v("p_gmv_c") + v("gmv_no_primary_payment_c"), v("gmv_c")),
-            equal("payment payments and excluded", v("p_payment_c") + v("payment_no_primary_payment_c"), v("payment_c")),
-            equal("payment orders with items and excluded", v("p_owi") + v("owi_no_primary_payment"), owi),
+            equal("payment orders and excluded", "p_orders + orders_no_primary_payment", "orders"),
+            equal("payment GMV and excluded", "p_gmv_c + gmv_no_primary_payment_c", "gmv_c"),
+            equal("payment payments and excluded", "p_payment_c + payment_no_primary_payment_c", "payment_c"),
+            equal("payment orders with items and excluded", "p_owi + owi_no_primary_payment", owi),
         ]
     else:
-        left_out = v("orders") - v("p_orders")
-        none, some, over = left_out == 0, left_out > 0, left_out < 0
+        none, some, over = "orders = p_orders", "orders > p_orders", "orders < p_orders"
         checks += [
-            row("payment orders", F.lit("fail"), v("p_orders"), v("orders"), when=over),
-            equal("payment GMV", v("p_gmv_c"), v("gmv_c"), when=none),
-            equal("payment payments", v("p_payment_c"), v("payment_c"), when=none),
-            equal("payment orders with items", v("p_owi"), owi, when=none & p_known),
-            between("payment orders with items, bounds", v("p_owi"), owi, v("p_owi") + v("p_owi_slack"), when=none & ~p_known),
-            row("payment GMV, part of month", F.when(v("p_gmv_c") <= v("gmv_c"), "bounded").otherwise("fail"), v("p_gmv_c"), v("gmv_c"), when=some),
-            row("payment orders with items, excluded unknown", F.lit("unsupported"), left_out, when=some),
+            row("payment orders", "'fail'", ("p_orders", "orders"), when=over),
+            equal("payment GMV", "p_gmv_c", "gmv_c", when=none), equal("payment payments", "p_payment_c", "payment_c", when=none),
+            equal("payment orders with items", "p_owi", owi, when=f"{none} AND p_unknown = 0"),
+            bounded("payment orders with items, bounds", "p_owi", owi, "p_owi + p_slack", when=f"{none} AND p_unknown > 0"),
+            row("payment GMV, part of month", "if(p_gmv_c <= gmv_c, 'bounded', 'fail')", ("p_gmv_c", "gmv_c"), when=some),
+            row("payment orders with items, excluded unknown", "'unsupported'", ("orders - p_orders",), when=some),
         ]
-    found = F.explode(F.array_compact(F.array(*checks)))
-    return wide.select("month_label", found.alias("k")).select("k.check_name", "month_label", "k.result", "k.detail")
+    return wide.selectExpr("month_label", f"explode(array_compact(array({', '.join(checks)}))) AS k").selectExpr(
+        "k.check_name", "month_label", "k.result", "k.detail")
 
 
 def months_within(child: DataFrame, parent: DataFrame) -> DataFrame:
@@ -206,20 +195,36 @@ class ExtractSet:
         return self
 
 
-def _violations(name: str, df: DataFrame) -> DataFrame:
-    """(extract, row_key, problem) of one typed extract."""
-    label = LABEL[name]
-    key = F.concat_ws("/", "month_label", *([label] if label else []))
-    keyed = df.withColumn("row_key", key)
-    cells = keyed.select("row_key", F.explode("errors").alias("problem"))
-    months = keyed.withColumn("problem", month_problem(F.col("month_label"), F.col("purchase_month"))).where(
-        "problem is not null").select("row_key", "problem")
-    repeated = unique_combination(keyed, ["row_key"]).select("row_key", F.lit("duplicate key").alias("problem"))
-    parts = [cells, months, repeated]
-    rules = extract_rules(name)
-    if rules:
-        parts.append(row_rules(keyed, rules, ["row_key"]).withColumnRenamed("broken_rule", "problem"))
-    return reduce(DataFrame.unionByName, parts).select(F.lit(name).alias("extract"), "row_key", "problem")
+def _key(name: str) -> str:
+    return f"concat_ws('/', month_label, {LABEL[name]})" if LABEL[name] else "month_label"
+
+
+def _problem(df: DataFrame, extract: str, key: str, problem: str) -> DataFrame:
+    return df.selectExpr(f"'{extract}' AS extract", f"{key} AS row_key", f"{problem} AS problem")
+
+
+def _violations(name: str, text: DataFrame, df: DataFrame) -> list[DataFrame]:
+    """What is wrong inside one extract; cells, month labels and row rules are found in one pass."""
+    rules = [f"if(NOT ({ok}), '{rule}', NULL)" for rule, ok in extract_rules(name).items()]
+    in_row = f"concat(errors, array_compact(array({', '.join([month_problem(), *rules])})))"
+    found = [_problem(df, name, _key(name), f"explode({in_row})"),
+             _problem(unique_combination(df.selectExpr(f"{_key(name)} AS row_key"), ["row_key"]), name, "row_key", "'duplicate key'"),
+             _problem(df.agg(F.count("*").alias("n")).where("n = 0"), name, "''", "'no data rows'")]
+    if CORRUPT in text.columns:
+        found.append(_problem(text.where(f"{CORRUPT} IS NOT NULL"), name, CORRUPT, "'wrong number of fields'"))
+    return found
+
+
+def _recovered(name: str, df: DataFrame, present: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The column an older file lacks, solved from its ratio; rows with unreadable text are not solved."""
+    column = {"monthly": "low_score_orders", "state": "orders_with_items", "payment": "orders_with_items"}.get(name)
+    if column is None or present:
+        return (with_status(df, column, None) if column else df), None
+    readable = {c: F.when(F.size("errors") == 0, F.col(f"{c}_text")) for c in ("low_score_rate_pct", "gmv_brl", "aov_brl")}
+    solved = (infer_numerator(readable["low_score_rate_pct"], F.col("reviewed_orders")) if name == "monthly"
+              else aov_denominator(readable["gmv_brl"], readable["aov_brl"], F.col("orders")))
+    df = with_status(df, column, solved)
+    return df, inference_log(df, name, column)
 
 
 def assemble(texts: Mapping[str, DataFrame]) -> ExtractSet:
@@ -228,39 +233,19 @@ def assemble(texts: Mapping[str, DataFrame]) -> ExtractSet:
     for name, text in texts.items():
         optional = EXTRACT_COMPONENTS[name]
         components[name] = all(c in text.columns for c in optional)
-        spec = EXTRACT_COLUMNS[name] | (optional if components[name] else {})
-        df = typed_parse(text, spec)
-        if CORRUPT in text.columns:
-            problems.append(ragged_rows(text).select(F.lit(name).alias("extract"), F.col("line").alias("row_key"), F.lit("wrong number of fields").alias("problem")))
-        problems.append(_violations(name, df))
-        problems.append(df.agg(F.count("*").alias("n")).where("n = 0").select(
-            F.lit(name).alias("extract"), F.lit("").alias("row_key"), F.lit("no data rows").alias("problem")))
-        recovered = {"monthly": "low_score_orders", "state": "orders_with_items", "payment": "orders_with_items"}.get(name)
-        if recovered:
-            clean = F.size("errors") == 0  # unreadable text is reported above, not solved
-            if components[name]:
-                df = with_status(df, recovered, None)
-            else:
-                printed = lambda c: F.when(clean, F.col(c))
-                solved = (infer_numerator(printed("low_score_rate_pct_text"), F.col("reviewed_orders")) if name == "monthly"
-                          else aov_denominator(printed("gmv_brl_text"), printed("aov_brl_text"), F.col("orders")))
-                df = with_status(df, recovered, solved)
-                logs.append(inference_log(df, name, recovered))
-        frames[name] = df
+        parsed = typed_parse(text, EXTRACT_COLUMNS[name] | (optional if components[name] else {}))
+        problems += _violations(name, text, parsed)
+        frames[name], log = _recovered(name, parsed, components[name])
+        logs += [log] if log is not None else []
     monthly = frames["monthly"]
-    in_order = monthly.where(F.col("month_label").rlike(r"^\d{4}-(0[1-9]|1[0-2])$")).select(
-        F.to_date(F.concat("month_label", F.lit("-01"))).alias("purchase_month"))
-    problems.append(contiguous_months(in_order).select(
-        F.lit("monthly").alias("extract"), F.lit("").alias("row_key"), F.lit("months are not contiguous").alias("problem")))
-    for name in ("category", "state", "payment"):
-        problems.append(months_within(frames[name], monthly).select(
-            F.lit(name).alias("extract"), F.col("month_label").alias("row_key"), F.lit("month outside the monthly extract").alias("problem")))
+    in_order = monthly.where(F.col("month_label").rlike(MONTH_LABEL)).selectExpr("to_date(concat(month_label, '-01')) AS purchase_month")
+    problems.append(_problem(contiguous_months(in_order), "monthly", "''", "'months are not contiguous'"))
+    problems += [_problem(months_within(frames[n], monthly), n, "month_label", "'month outside the monthly extract'")
+                 for n in ("category", "state", "payment")]
     checks = reconcile(monthly, frames["category"], frames["state"], frames["payment"], components["monthly"])
-    problems.append(checks.where("result = 'fail'").select(
-        F.lit("all").alias("extract"), F.col("month_label").alias("row_key"), F.concat_ws(": ", "check_name", "detail").alias("problem")))
-    log = reduce(DataFrame.unionByName, logs) if logs else None
-    return ExtractSet(**frames, components=components, inference_log=log, reconciliation=checks,
-                      violations=reduce(DataFrame.unionByName, problems))
+    problems.append(_problem(checks.where("result = 'fail'"), "all", "month_label", "concat_ws(': ', check_name, detail)"))
+    return ExtractSet(**frames, components=components, inference_log=reduce(DataFrame.unionByName, logs) if logs else None,
+                      reconciliation=checks, violations=reduce(DataFrame.unionByName, problems))
 
 
 def load_extracts(spark: SparkSession, paths: Mapping[str, str]) -> ExtractSet:

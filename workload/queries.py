@@ -424,7 +424,7 @@ def typed_parse_of_text(w: World) -> DataFrame:
     from ledgerloom.functions.text import finite_number, money_cents, whole_count
 
     texts = union([w.table("lineitem").select(F.col(c).cast("string").alias("t")) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_returnflag")])
-    read = texts.select(money_cents(F.col("t")).alias("m"), whole_count(F.col("t")).alias("c"), finite_number(F.col("t")).alias("f"))
+    read = texts.selectExpr(f"{money_cents('t')} AS m", f"{whole_count('t')} AS c", f"{finite_number('t')} AS f")
     return read.agg(F.count("m.value").alias("money"), F.sum("m.value").alias("cents"), F.count("c.value").alias("counts"),
                     F.sum("c.value").alias("count_sum"), F.count("f.value").alias("numbers"), F.count("f.problem").alias("not_numbers"))
 
