@@ -39,18 +39,15 @@ def header_problems(header: Sequence[str], required: Sequence[str]) -> list[str]
 
 
 def read_extract(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """All cells as text, plus the raw line where the number of fields is wrong."""
+    """All cells as text, plus the raw line where the number of fields is wrong; without column pruning,
+    so that every field of a line is counted."""
     header = read_header(spark, path)
     problems = header_problems(header, required)
     if problems:
         raise ContractBroken(f"{path}: {'; '.join(problems)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT).option("escape", '"').csv(path)
-
-
-def ragged_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+        "columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).option("escape", '"').csv(path)
 
 
 # ------------------------------------------------------------------------------ typed cells
@@ -63,7 +60,7 @@ def typed_parse(df: DataFrame, spec: Mapping[str, tuple[str, bool]]) -> DataFram
     """Typed columns plus ``errors``: one text per cell that cannot be read, or is required and empty.
     Money and numbers also keep their printed text as ``<column>_text``."""
     wide = df.selectExpr("*", *[f"{PARSERS[kind](c)} AS _p_{c}" for c, (kind, _) in spec.items()])
-    complaints = []
+    complaints = [f"if({CORRUPT} IS NOT NULL, 'wrong number of fields', NULL)"] if CORRUPT in df.columns else []
     for c, (_, required) in spec.items():
         empty = f"WHEN _p_{c}.value IS NULL THEN '{c}: required value is empty'" if required else ""
         complaints.append(f"CASE WHEN _p_{c}.problem IS NOT NULL THEN concat('{c}: ', _p_{c}.problem) {empty} END")
@@ -203,15 +200,13 @@ def _problem(df: DataFrame, extract: str, key: str, problem: str) -> DataFrame:
     return df.selectExpr(f"'{extract}' AS extract", f"{key} AS row_key", f"{problem} AS problem")
 
 
-def _violations(name: str, text: DataFrame, df: DataFrame) -> list[DataFrame]:
+def _violations(name: str, df: DataFrame) -> list[DataFrame]:
     """What is wrong inside one extract; cells, month labels and row rules are found in one pass."""
     rules = [f"if(NOT ({ok}), '{rule}', NULL)" for rule, ok in extract_rules(name).items()]
     in_row = f"concat(errors, array_compact(array({', '.join([month_problem(), *rules])})))"
     found = [_problem(df, name, _key(name), f"explode({in_row})"),
              _problem(unique_combination(df.selectExpr(f"{_key(name)} AS row_key"), ["row_key"]), name, "row_key", "'duplicate key'"),
              _problem(df.agg(F.count("*").alias("n")).where("n = 0"), name, "''", "'no data rows'")]
-    if CORRUPT in text.columns:
-        found.append(_problem(text.where(f"{CORRUPT} IS NOT NULL"), name, CORRUPT, "'wrong number of fields'"))
     return found
 
 
@@ -234,7 +229,7 @@ def assemble(texts: Mapping[str, DataFrame]) -> ExtractSet:
         optional = EXTRACT_COMPONENTS[name]
         components[name] = all(c in text.columns for c in optional)
         parsed = typed_parse(text, EXTRACT_COLUMNS[name] | (optional if components[name] else {}))
-        problems += _violations(name, text, parsed)
+        problems += _violations(name, parsed)
         frames[name], log = _recovered(name, parsed, components[name])
         logs += [log] if log is not None else []
     monthly = frames["monthly"]
