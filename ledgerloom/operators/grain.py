@@ -201,27 +201,30 @@ def compare_totals(sources: Sequence[DataFrame], rules: Sequence[tuple[str, str,
     Metrics are unioned as (metric, value) rows, so the sources are never joined with each other.
     """
     metrics = reduce(DataFrame.unionByName, [_tall(s, s.columns, "metric", "value", MONEY) for s in sources])
-    spark = metrics.sparkSession
-    plan = spark.createDataFrame(list(rules), "check_name string, left_metric string, op string, right_metric string")
-    left = metrics.select(F.col("metric").alias("left_metric"), F.col("value").alias("left_value"))
-    right = metrics.select(F.col("metric").alias("right_metric"), F.col("value").alias("right_value"))
-    a, b = F.col("left_value"), F.col("right_value")
+    sides = metrics.sparkSession.createDataFrame(
+        [(check, op, side, metric) for check, left, op, right in rules for side, metric in (("left", left), ("right", right))],
+        "check_name string, op string, side string, metric string")
+    # The broadcast side has one row per metric named in code.
+    paired = sides.join(F.broadcast(metrics), "metric", "left").groupBy("check_name", "op").agg(
+        F.max(F.when(F.col("side") == "left", F.col("value"))).alias("left_value"),
+        F.max(F.when(F.col("side") == "right", F.col("value"))).alias("right_value"))
     outcome = F.lit(False)
     for op, test in OPERATORS.items():
-        outcome = F.when(F.col("op") == op, test(a, b)).otherwise(outcome)
-    # Both sides hold one row per metric named in code.
-    return plan.join(F.broadcast(left), "left_metric", "left").join(F.broadcast(right), "right_metric", "left").select(
-        "check_name", "op", "left_value", "right_value", outcome.alias("holds"))
+        outcome = F.when(F.col("op") == op, test(F.col("left_value"), F.col("right_value"))).otherwise(outcome)
+    return paired.select("check_name", "op", "left_value", "right_value", outcome.alias("holds"))
 
 
 def equal_rowcount(a: DataFrame, b: DataFrame) -> DataFrame:
     return compare_totals([a.agg(F.count("*").alias("a")), b.agg(F.count("*").alias("b"))], [("equal row counts", "a", "=", "b")])
 
 
-def money_survives(fine: DataFrame, coarse: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Each (fine column, coarse column) total is the same at both grains."""
+def money_survives(fine: Sequence[tuple[DataFrame, Sequence[tuple[str, str]]]], coarse: DataFrame) -> DataFrame:
+    """For each fine-grained table and its (fine column, coarse column) pairs: the totals agree. The
+    coarse table is read once for all of them."""
+    pairs = [pair for _, table_pairs in fine for pair in table_pairs]
+    totals = [df.agg(*[F.sum(a).alias(f"fine {a}") for a, _ in table_pairs]) for df, table_pairs in fine]
     return compare_totals(
-        [fine.agg(*[F.sum(a).alias(f"fine {a}") for a, _ in pairs]), coarse.agg(*[F.sum(b).alias(f"coarse {b}") for _, b in pairs])],
+        [*totals, coarse.agg(*[F.sum(b).alias(f"coarse {b}") for _, b in pairs])],
         [(f"{a} survives as {b}", f"fine {a}", "=", f"coarse {b}") for a, b in pairs])
 
 

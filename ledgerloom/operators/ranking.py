@@ -20,29 +20,31 @@ def score_steps(df: DataFrame, label: str = "label", score: str = "score", parts
     return running_sums(steps, [F.desc("score")], ["n", "pos"], parts)
 
 
-def curve_areas(steps: DataFrame) -> DataFrame:
-    """ROC AUC (ties count half) and average precision (step sum). NULL when only one class exists."""
-    totals = steps.agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"))
-    total_n, total_pos = totals.select("n").scalar(), totals.select("positives").scalar()
-    negatives = total_n - total_pos
-    below = negatives - (F.col("n_upto") - F.col("pos_upto"))
-    wins = F.col("pos").cast("double") * (below.cast("double") + (F.col("n") - F.col("pos")) / 2)
-    precision = F.col("pos_upto") / F.col("n_upto")
+def summary(steps: DataFrame) -> DataFrame:
+    """One row from one pass over the distinct scores: sizes, Brier score, ROC AUC (ties count half) and
+    average precision (step sum). The areas are NULL when only one class exists.
+
+    A positive beats the negatives that no better or equal score holds, and half of those it ties with.
+    """
+    s, n, pos = F.col("score"), F.col("n"), F.col("pos")
+    not_beaten = (F.col("n_upto") - F.col("pos_upto")).cast("double") - (n - pos) / 2
     sums = steps.agg(
-        F.sum(wins).alias("wins"), F.sum(F.col("pos") * precision).alias("precision_sum"),
-        F.sum("pos").alias("positives"), (F.sum("n") - F.sum("pos")).alias("negatives"))
-    two_classes = (F.col("positives") > 0) & (F.col("negatives") > 0)
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
+        F.count("*").alias("distinct_scores"), F.sum(n * s).alias("score_sum"),
+        F.sum(pos * (1 - s) * (1 - s) + (n - pos) * s * s).alias("squares"),
+        F.sum(pos * not_beaten).alias("not_beaten"), F.sum(pos * (F.col("pos_upto") / F.col("n_upto"))).alias("precision_sum"))
+    positives, negatives = F.col("positives").cast("double"), (F.col("n") - F.col("positives")).cast("double")
+    two_classes = (positives > 0) & (negatives > 0)
     return sums.select(
-        F.when(two_classes, F.col("wins") / (F.col("positives").cast("double") * F.col("negatives"))).alias("auc"),
-        F.when(two_classes, F.col("precision_sum") / F.col("positives")).alias("pr_auc"))
+        "n", "positives", F.try_divide(positives, F.col("n")).alias("prevalence"), F.try_divide("score_sum", "n").alias("mean_score"),
+        F.try_divide("squares", "n").alias("brier"), "distinct_scores",
+        F.when(two_classes, 1 - F.try_divide(F.col("not_beaten"), positives * negatives)).alias("auc"),
+        F.when(two_classes, F.try_divide(F.col("precision_sum"), positives)).alias("pr_auc"))
 
 
 def score_summary(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    y, s = F.col(label).cast("double"), F.col(score).cast("double")
-    return df.agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"),
-        F.avg(y).alias("prevalence"), F.avg(s).alias("mean_score"), F.avg((s - y) * (s - y)).alias("brier"),
-        F.countDistinct(s).alias("distinct_scores"))
+    """Size, prevalence, Brier score, distinct scores and areas of one scored table."""
+    return summary(score_steps(df, label, score))
 
 
 def _cut_fields(k: Column) -> list[Column]:
@@ -73,7 +75,7 @@ def share_to_k(n: int, share: float) -> int:
 
 def top_k(
     df: DataFrame, k: int, id_col: str = "id", label: str = "label", score: str = "score",
-    steps: DataFrame | None = None,
+    steps: DataFrame | None = None, total: int | None = None,
 ) -> DataFrame:
     """Tie-aware hits at ``k`` plus ``deterministic_hits``, the hits when ties go to the lowest id.
 
@@ -82,7 +84,8 @@ def top_k(
     """
     steps = steps if steps is not None else score_steps(df, label, score)
     spark = df.sparkSession
-    total = steps.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if total is None:
+        total = steps.agg(F.sum("n").alias("n")).first()["n"] or 0
     if total == 0 or k <= 0:
         return spark.createDataFrame([(k, total)], "k bigint, n bigint").withColumns({
             c: F.lit(None).cast("bigint") for c in ("deterministic_hits", "min_hits", "max_hits", "tie_block", "tie_block_positives", "strictly_above")
@@ -129,15 +132,15 @@ def lift_at(df: DataFrame, share: float = 0.1, label: str = "label", score: str
 
 
 def evaluate(df: DataFrame, id_col: str = "id", label: str = "label", score: str = "score", share: float = 0.1) -> DataFrame:
-    """One row: size, prevalence, AUC, average precision, Brier score and top-k hits."""
+    """One row: size, prevalence, AUC, average precision, Brier score and hits among the best ``share``."""
     steps = score_steps(df, label, score)
-    n = steps.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hits = top_k(df, share_to_k(n, share), id_col, label, score, steps)
-    renamed = hits.select(*[F.col(c).alias(c if c.startswith("top_") else f"top_{c}") for c in hits.columns if c != "n"])
-    one = F.lit(1).alias("_one")  # three one-row frames side by side
-    wide = score_summary(df, label, score).select("*", one).join(
-        curve_areas(steps).select("*", one), "_one").join(renamed.select("*", one), "_one").drop("_one")
-    return wide.withColumn("random_expected_hits", F.col("prevalence") * F.col("top_k"))
+    whole = summary(steps)
+    row = whole.first()
+    hits = top_k(df, share_to_k(row["n"], share), id_col, label, score, steps, row["n"])
+    values = df.sparkSession.createDataFrame([row], whole.schema)  # already computed: one row
+    named = [F.col(c).alias(f"top_{c}") for c in hits.columns if c != "n"]
+    wide = values.join(hits.select("n", *named), "n")
+    return wide.withColumn("top_k", F.col("top_k").cast("bigint")).withColumn("random_expected_hits", F.col("prevalence") * F.col("top_k"))
 
 
 def evaluate_scores(df: DataFrame, score_cols: Sequence[str], id_col: str, label: str, share: float = 0.1) -> DataFrame:

@@ -10,15 +10,22 @@ from ..operators.median import exact_medians
 
 
 def items_agg(items: DataFrame) -> DataFrame:
-    """One row per order that has lines."""
-    return items.groupBy("order_id").agg(
+    """One row per order that has lines.
+
+    Sums and distinct counts are separate aggregates on the same key: exact distinct counts expand
+    their rows, which then carry the two keys only, and the whole branch disappears from plans that do
+    not use the counts.
+    """
+    sums = items.groupBy("order_id").agg(
         F.count("*").alias("item_count"),
-        F.countDistinct("seller_id").alias("distinct_sellers"),
-        F.countDistinct("product_id").alias("distinct_products"),
         F.sum("item_price_brl").alias("items_price_brl"),
         F.sum("item_freight_brl").alias("items_freight_brl"),
         F.sum("item_total_brl").alias("items_total_brl"),
     )
+    breadth = items.groupBy("order_id").agg(
+        F.countDistinct("seller_id").alias("distinct_sellers"), F.countDistinct("product_id").alias("distinct_products"))
+    return sums.join(breadth, "order_id", "left").select(
+        "order_id", "item_count", "distinct_sellers", "distinct_products", "items_price_brl", "items_freight_brl", "items_total_brl")
 
 
 def payments_agg(payments: DataFrame) -> DataFrame:

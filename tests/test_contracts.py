@@ -35,8 +35,8 @@ def model_checks(m):
     return {
         "spine rows": grain.equal_rowcount(m.staged["orders"], m.enriched).where("not holds"),
         "order key": grain.unique(m.fct_orders, "order_id"),
-        "money": grain.money_survives(m.staged["order_items"], m.enriched, [("item_total_brl", "items_total_brl")]).where("not holds"),
-        "paid": grain.money_survives(m.staged["order_payments"], m.enriched, [("payment_value_brl", "payment_total_brl")]).where("not holds"),
+        "money": grain.money_survives([(m.staged["order_items"], [("item_total_brl", "items_total_brl")]),
+                                       (m.staged["order_payments"], [("payment_value_brl", "payment_total_brl")])], m.enriched).where("not holds"),
         "facts": grain.facts_agree(m.fct_orders, m.fct_lines).where("not holds"),
         "marts": grain.metric_layer_reconciles(m.fct_orders, m.fct_lines, m.monthly, m.category, m.state, m.payment,
                                                in_half_open("purchased_at", *WINDOW)).where("not holds"),

@@ -641,7 +641,9 @@ _READ = ", ".join(r6(e, n) for n, e in {
     "never_taker_gap": "never - p_c", "mde80_abs": f"{Z95 + Z80P} * sqrt(p_c * (1 - p_c)) * root", "mde80_rel": f"{Z95 + Z80P} * sqrt(p_c * (1 - p_c)) * root / p_c",
     "mde95_abs": f"{Z95 + Z95P} * sqrt(p_c * (1 - p_c)) * root", "mde95_rel": f"{Z95 + Z95P} * sqrt(p_c * (1 - p_c)) * root / p_c",
     "cohen_mde80": cohen(Z80P), "cohen_mde95": cohen(Z95P)}.items())
-oracle("experiment_readout", f"""SELECT segment, {_SIX}, 'ok' AS status, 'ok' AS itt_ci_status, 'ok' AS cace_ci_status, {_READ} FROM @st@""")
+_CI = """CASE WHEN p_t IN (0, 1) OR p_c IN (0, 1) THEN 'unavailable' WHEN least(CASE WHEN y_t > 0 THEN y_t ELSE 10 END, CASE WHEN n_t > y_t THEN n_t - y_t ELSE 10 END,
+  CASE WHEN y_c > 0 THEN y_c ELSE 10 END, CASE WHEN n_c > y_c THEN n_c - y_c ELSE 10 END) < 10 THEN 'approximate' ELSE 'ok' END"""
+oracle("experiment_readout", f"""SELECT segment, {_SIX}, 'ok' AS status, {_CI} AS itt_ci_status, {_CI} AS cace_ci_status, {_READ} FROM @st@""")
 oracle("experiment_overall", f"""SELECT {big('n_t', 'n_t')}, {big('y_t', 'y_t')}, {big('n_c', 'n_c')}, {big('y_c', 'y_c')}, {r6('d', 'itt')}, {r6(f'd - {Z95} * se', 'itt_low')},
   {r6(f'd + {Z95} * se', 'itt_high')}, {r6('cace', 'cace')}, {r6(f'cace - {Z95} * cace_se', 'cace_low')}, {r6(f'cace + {Z95} * cace_se', 'cace_high')} FROM @sa@""")
 

@@ -167,21 +167,21 @@ def payment_performance(w: World) -> DataFrame:
 
 @query
 def customer_segments(w: World) -> DataFrame:
-    w.keep("fct_orders")
+    w.keep("enriched")
     w.keep("people")
     return segments.customer_segments(w.people, w.fct_orders)
 
 
 @query
 def segment_profile(w: World) -> DataFrame:
-    w.keep("fct_orders")
+    w.keep("enriched")
     w.keep("people")
     return segments.segment_profile(segments.customer_segments(w.people, w.fct_orders))
 
 
 @query
 def segment_matrix(w: World) -> DataFrame:
-    w.keep("fct_orders")
+    w.keep("enriched")
     w.keep("people")
     return segments.score_matrix(segments.customer_segments(w.people, w.fct_orders))
 
@@ -189,7 +189,7 @@ def segment_matrix(w: World) -> DataFrame:
 @query
 def quintile_evenness(w: World) -> DataFrame:
     """Bucket count and size spread on both axes."""
-    w.keep("fct_orders")
+    w.keep("enriched")
     w.keep("people")
     scored = segments.customer_segments(w.people, w.fct_orders)
     return union([grain.bucket_spread(scored.groupBy(axis).agg(F.count("*").alias("n")), axis) for axis in ("r_score", "m_score")])
@@ -331,8 +331,8 @@ def equal_rowcounts(w: World) -> DataFrame:
 
 @query
 def money_survives(w: World) -> DataFrame:
-    items = grain.money_survives(w.staged("order_items"), w.enriched, [("item_price_brl", "items_price_brl"), ("item_freight_brl", "items_freight_brl"), ("item_total_brl", "items_total_brl")])
-    return items.unionByName(grain.money_survives(w.staged("order_payments"), w.enriched, [("payment_value_brl", "payment_total_brl")]))
+    items = [("item_price_brl", "items_price_brl"), ("item_freight_brl", "items_freight_brl"), ("item_total_brl", "items_total_brl")]
+    return grain.money_survives([(w.staged("order_items"), items), (w.staged("order_payments"), [("payment_value_brl", "payment_total_brl")])], w.enriched)
 
 
 @query
@@ -342,15 +342,14 @@ def facts_agree(w: World) -> DataFrame:
 
 @query
 def metric_layer_reconciles(w: World) -> DataFrame:
-    for name in ("fct_orders", "fct_lines", "monthly", "category", "state", "payment"):
-        w.keep(name)
+    w.keep("fct_orders")
     return grain.metric_layer_reconciles(w.fct_orders, w.fct_lines, w.monthly, w.category, w.state, w.payment,
                                          ms.in_half_open("purchased_at", *WINDOW))
 
 
 @query
 def additive_components_agree(w: World) -> DataFrame:
-    for name in ("fct_orders", "monthly", "state", "payment"):
+    for name in ("fct_orders", "monthly", "payment"):
         w.keep(name)
     return grain.additive_components_agree(w.fct_orders, w.monthly, w.state, w.payment)
 
@@ -384,7 +383,7 @@ def month_coverage(w: World) -> DataFrame:
 @query
 def extract_reconciliation(w: World) -> DataFrame:
     """The four exported text tables through typed parse, contract and per-month reconciliation."""
-    return extracts.assemble(w.text_extracts()).reconciliation.select("check_name", "month_label", "result")
+    return extracts.assemble(w.text_extracts(written=False)).reconciliation.select("check_name", "month_label", "result")
 
 
 @query

@@ -100,15 +100,16 @@ class World:
     def rollup_input(self, mart: str) -> DataFrame:
         return rollups.from_mart(self.keep(mart))
 
-    def text_extracts(self, components: bool = True) -> dict[str, DataFrame]:
+    def text_extracts(self, components: bool = True, written: bool = True) -> dict[str, DataFrame]:
         """The four marts as exported text: every cell a string, ratios to four decimals. Without
-        ``components`` the files look like older ones that lack the additive columns."""
+        ``components`` the files look like older ones that lack the additive columns. Checks that read
+        an extract several times want it ``written``."""
         from ledgerloom.sources.schemas import EXTRACT_COLUMNS
 
         self.keep("fct_orders")
         texts = {}
         for name, columns in EXTRACT_COLUMNS.items():
-            mart = self.keep(name)
+            mart = self.keep(name) if written else getattr(self, name)
             cells = []
             for f in mart.schema.fields:
                 if not components and f.name not in columns:
