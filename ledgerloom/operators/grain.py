@@ -109,16 +109,24 @@ def recency_anchor(people: DataFrame) -> DataFrame:
 
 
 def lead_label_contract(features: DataFrame, horizon: int = 90) -> DataFrame:
-    """Rows whose label, maturity date or page counts contradict their definition."""
-    first = features.groupBy("landing_page_id").agg(F.min("first_contact_date").alias("first_date"))
+    """Rows whose label, maturity date or page counts contradict their definition.
+
+    That the first day of a page has no earlier leads is checked on (page, day) rows; only pages that
+    break it, normally none, are joined back.
+    """
+    daily = features.groupBy("landing_page_id", "first_contact_date").agg(
+        rows_where(F.col("page_lead_volume_prior") != 0).alias("n_bad"))
+    broken_start = daily.groupBy("landing_page_id").agg(
+        F.min("first_contact_date").alias("first_contact_date"), F.min_by("n_bad", "first_contact_date").alias("n_bad"),
+    ).where("n_bad > 0").select("landing_page_id", "first_contact_date", F.lit(True).alias("_starts_late"))
     expected = F.coalesce(F.col("days_to_win").between(0, horizon), F.lit(False))
     wrong = (
         (F.col("is_won") != expected)
         | (F.col("label_mature_on") != F.date_add("first_contact_date", horizon + 1))
-        | (F.col("page_lead_volume_prior") > F.col("page_lead_volume") - 1)
-        | ((F.col("first_contact_date") == F.col("first_date")) & (F.col("page_lead_volume_prior") != 0))
+        | F.coalesce(F.col("page_lead_volume_prior") > F.col("page_lead_volume") - 1, F.lit(False))
+        | (F.col("_starts_late").isNotNull() & (F.col("page_lead_volume_prior") != 0))
     )
-    return features.join(first, "landing_page_id").where(wrong).select(
+    return features.join(broken_start, ["landing_page_id", "first_contact_date"], "left").where(wrong).select(
         "mql_id", "is_won", "days_to_win", "label_mature_on", "page_lead_volume", "page_lead_volume_prior")
 
 

@@ -52,11 +52,22 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+_STAGED: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Removes the staged tables this process has written and not yet removed; frames that read them
+    become unusable. Returns how many there were."""
+    paths, _STAGED[:] = list(_STAGED), []
+    return sum(remove_path(spark, path) for path in paths)
+
+
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder and read it back: later passes all see the same rows,
     also when executors are lost in between."""
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -74,3 +85,4 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
         yield table
     finally:
         remove_path(df.sparkSession, path)
+        _STAGED.remove(path)

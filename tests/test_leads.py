@@ -59,6 +59,8 @@ def test_contract_holds_and_catches_a_wrong_label(features):
     assert grain.lead_label_contract(features, 90).count() == 0
     broken = features.withColumn("is_won", F.when(F.col("mql_id") == "w91", True).otherwise(F.col("is_won")))
     assert [r["mql_id"] for r in grain.lead_label_contract(broken, 90).collect()] == ["w91"]
+    early = features.withColumn("page_lead_volume_prior", F.when(F.col("mql_id") == "early", 2).otherwise(F.col("page_lead_volume_prior")))
+    assert [r["mql_id"] for r in grain.lead_label_contract(early, 90).collect()] == ["early"]
 
 
 def random_leads(spark, seed, n=120):

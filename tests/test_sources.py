@@ -77,3 +77,9 @@ def test_staged_tables_live_in_the_session_folder(spark, tmp_path):
         path = table.inputFiles()[0]
         assert root in path and table.count() == 5
     assert not session.remove_path(spark, path.rsplit("/", 1)[0])
+
+
+def test_staged_tables_can_be_released(spark):
+    table, path = session.stage(spark.range(4), "r")
+    assert table.count() == 4 and session.release_staged(spark) >= 1
+    assert not session.remove_path(spark, path)
