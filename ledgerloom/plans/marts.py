@@ -71,13 +71,14 @@ def monthly_performance(orders: DataFrame) -> DataFrame:
 
 def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame:
     """One row per month and category at line grain. The window is tested on the line's own purchase
-    time, so no join back to the order fact is needed."""
-    sums = lines.where(in_half_open("purchased_at", *window)).groupBy("purchase_month", "product_category").agg(
+    time, so no join back to the order fact is needed.
+
+    Sums and the four distinct counts are separate aggregates: the rows that exact distinct counting
+    expands then carry keys only. ``lines`` is read by both, so pass the stored fact.
+    """
+    inside = lines.where(in_half_open("purchased_at", *window))
+    sums = inside.groupBy("purchase_month", "product_category").agg(
         F.count("*").alias("order_lines"),
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_unique_id").alias("customers"),
-        F.countDistinct("product_id").alias("products_sold"),
-        F.countDistinct("seller_id").alias("active_sellers"),
         F.sum("item_total_brl").alias("gmv_brl"),
         F.sum("item_price_brl").alias("goods_brl"),
         F.sum("item_freight_brl").alias("freight_brl"),
@@ -85,7 +86,14 @@ def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame
         rows_where("has_no_category").alias("lines_missing_category"),
         rows_where("missing_translation").alias("lines_missing_translation"),
     )
-    return sums.select(
+    breadth = inside.groupBy(F.col("purchase_month").alias("_month"), F.col("product_category").alias("_category")).agg(
+        F.countDistinct("order_id").alias("orders"),
+        F.countDistinct("customer_unique_id").alias("customers"),
+        F.countDistinct("product_id").alias("products_sold"),
+        F.countDistinct("seller_id").alias("active_sellers"),
+    )
+    same_cell = F.col("purchase_month").eqNullSafe(F.col("_month")) & F.col("product_category").eqNullSafe(F.col("_category"))
+    return sums.join(breadth, same_cell).select(
         "purchase_month", month_label("purchase_month").alias("month_label"), "product_category",
         "order_lines", "orders", "customers", "products_sold", "active_sellers", "gmv_brl", "goods_brl", "freight_brl",
         ratio("gmv_brl", "priced_lines").alias("avg_line_value_brl"),

@@ -20,6 +20,7 @@ SCOPE_FROM = "2024-01-10"
 class World:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.kept: set[str] = set()
 
     def raw(self, role: str) -> DataFrame:
         return trade_tables.RAW[role](self.spark, self.sf_dir)
@@ -32,7 +33,9 @@ class World:
 
     def keep(self, name: str) -> DataFrame:
         """Writes a member that several parts of one query read, and uses the written table from here on."""
-        self.__dict__[name], _ = stage(getattr(self, name), name)
+        if name not in self.kept:
+            self.__dict__[name], _ = stage(getattr(self, name), name)
+            self.kept.add(name)
         return self.__dict__[name]
 
     @cached_property
@@ -79,7 +82,7 @@ class World:
 
     @cached_property
     def category(self) -> DataFrame:
-        return marts.category_performance(self.fct_lines, WINDOW)
+        return marts.category_performance(self.keep("fct_lines"), WINDOW)
 
     @cached_property
     def state(self) -> DataFrame:
