@@ -12,10 +12,8 @@ from workload.oracle import SQL  # noqa: E402
 from workload.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-#: Results that no SQL on the tables can express: fitted models, normal tail areas, and the contract's
-#: own bookkeeping on exported text, which the tests of those parts check.
-WITHOUT_SQL = {"lead_model_metrics", "lead_model_weights", "experiment_p_values", "extract_violations",
-               "extract_reconciliation_without_components", "inference_status_counts"}
+#: Results that no SQL on the tables can express: fitted models and normal tail areas.
+WITHOUT_SQL = {"lead_model_metrics", "lead_model_weights", "experiment_p_values"}
 
 
 @pytest.fixture(scope="module")

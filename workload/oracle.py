@@ -419,6 +419,40 @@ oracle("extract_reconciliation", " UNION ALL ".join(
 # How many whole numbers of orders reproduce a printed order value: tried one by one.
 block("fit", """SELECT label, state, any_value(owi) AS owi, count(*) FILTER (gmv IS NOT NULL AND abs(CAST(gmv AS DOUBLE) / n - printed) <= 0.00005 + 1e-9) AS candidates
   FROM (SELECT *, CAST(round(CAST(gmv AS DOUBLE) / owi, 4) AS DECIMAL(24,4)) AS printed, unnest(generate_series(1, orders)) AS n FROM @ms@) GROUP BY label, state""")
+block("fitp", """SELECT label, primary_type, any_value(owi) AS owi, any_value(orders) AS orders,
+  count(*) FILTER (gmv IS NOT NULL AND abs(CAST(gmv AS DOUBLE) / n - printed) <= 0.00005 + 1e-9) AS candidates
+  FROM (SELECT *, CAST(round(CAST(gmv AS DOUBLE) / nullif(owi, 0), 4) AS DECIMAL(24,4)) AS printed, unnest(generate_series(1, orders)) AS n FROM @mp@) GROUP BY label, primary_type""")
+block("fitm", f"""SELECT label, count(*) FILTER (abs(100.0 * k / reviewed - printed) <= 0.00005 + 1e-9) AS candidates FROM (
+  SELECT *, CAST(round({share('low', 'reviewed')}, 4) AS DECIMAL(24,4)) AS printed, unnest(generate_series(0, reviewed)) AS k FROM @mm@) GROUP BY label""")
+oracle("inference_status_counts", " UNION ALL ".join(
+    f"""SELECT '{e}' AS extract, '{f}' AS field, CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, count(*) AS n FROM @{t}@ GROUP BY 3"""
+    for e, f, t in (("monthly", "low_score_orders", "fitm"), ("state", "orders_with_items", "fit"), ("payment", "orders_with_items", "fitp"))))
+block("known", """SELECT t.*, s.known AS s_known, s.unknown AS s_unknown, s.slack AS s_slack, p.known AS p_known, p.unknown AS p_unknown, p.slack AS p_slack FROM @tot@ t
+  LEFT JOIN (SELECT label, coalesce(sum(f.owi) FILTER (candidates = 1), 0) AS known, count(*) FILTER (candidates <> 1) AS unknown,
+    coalesce(sum(m.orders) FILTER (candidates <> 1), 0) AS slack FROM @fit@ f JOIN @ms@ m USING (label, state) GROUP BY label) s USING (label)
+  LEFT JOIN (SELECT label, coalesce(sum(owi) FILTER (candidates = 1), 0) AS known, count(*) FILTER (candidates <> 1) AS unknown,
+    coalesce(sum(orders) FILTER (candidates <> 1), 0) AS slack FROM @fitp@ GROUP BY label) p USING (label)""")
+
+
+def older_checks() -> str:
+    """(check name, result, where it applies) for files without additive components."""
+    eq = lambda a, b: f"CASE WHEN {a} = {b} THEN 'pass' ELSE 'fail' END"
+    within = lambda low, x, high: f"CASE WHEN {x} BETWEEN {low} AND {high} THEN 'bounded' ELSE 'fail' END"
+    rows = [(n, eq(a, b), "true") for n, a, b in _EQUAL[:6]] + [
+        ("category orders", within("owi", "c_orders", "c_lines"), "true"),
+        ("state orders with items", eq("s_known", "owi"), "s_unknown = 0"),
+        ("state orders with items, bounds", within("s_known", "owi", "s_known + s_slack"), "s_unknown > 0"),
+        ("payment orders", "'fail'", "p_orders > orders"),
+        ("payment GMV", eq("p_gmv", "gmv"), "p_orders = orders"), ("payment payments", eq("p_paid", "paid"), "p_orders = orders"),
+        ("payment orders with items", eq("p_known", "owi"), "p_orders = orders AND p_unknown = 0"),
+        ("payment orders with items, bounds", within("p_known", "owi", "p_known + p_slack"), "p_orders = orders AND p_unknown > 0"),
+        ("payment GMV, part of month", within("0", "p_gmv", "gmv"), "p_orders < orders"),
+        ("payment orders with items, excluded unknown", "'unsupported'", "p_orders < orders")]
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, {result} AS result FROM @known@ WHERE {where}" for n, result, where in rows)
+
+
+oracle("extract_reconciliation_without_components", f"SELECT check_name, result, count(*) AS n FROM ({older_checks()}) GROUP BY check_name, result")
+oracle("extract_violations", "SELECT '' AS extract, '' AS row_key, '' AS problem WHERE false")
 oracle("inferred_denominators", """SELECT label AS month_label, state AS customer_state, CASE WHEN candidates = 1 THEN owi END AS value,
   CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, candidates FROM @fit@""")
 oracle("inferred_numerators", f"""SELECT label AS month_label, CASE WHEN candidates = 1 THEN low END AS value,
