@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import month_number, ratio, rows_where
@@ -78,8 +78,6 @@ def contiguous_months(df: DataFrame, month: str = "purchase_month") -> DataFrame
 
 def month_gaps(df: DataFrame, month: str = "purchase_month") -> DataFrame:
     """The months before and after each gap; the month list is short by nature."""
-    from pyspark.sql import Window
-
     months = df.select(F.col(month).alias("after_month")).distinct()
     previous = F.lag("after_month").over(Window.orderBy("after_month"))
     return months.withColumn("before_month", previous).where(

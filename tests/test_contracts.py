@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import by_key, rows
@@ -116,7 +117,7 @@ def test_row_rules_and_buckets(spark):
     df = spark.createDataFrame([(1, 5, 3), (2, 1, 1), (3, None, 1)], "id int, a int, b int")
     broken = rows(grain.row_rules(df, {"a <= b": F.col("a") <= F.col("b")}, ["id"]))
     assert broken == [{"id": 1, "broken_rule": "a <= b"}]
-    five = spark.range(23).withColumn("b", F.ntile(5).over(__import__("pyspark").sql.Window.orderBy("id")))
+    five = spark.range(23).withColumn("b", F.ntile(5).over(Window.orderBy("id")))
     assert grain.buckets_even(five, "b", 5).count() == 0 and grain.buckets_even(five, "b", 4).count() == 1
     assert grain.buckets_even(five.where("b > 1"), "b", 5).count() == 1
 
