@@ -42,9 +42,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
 #: Words of the token contracts: anything but the space and the control characters 9 to 13.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
-#: Words of the benchmark contract: digits, letters and everything beyond ASCII.
+#: Words of the benchmark contract: digits, letters (of either case, to be lower-cased) and everything beyond ASCII.
 ALNUM = np.ones(256, bool)
-ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
+ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 #: Lower-cases A-Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32

@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, topk, warc
+from . import chat, decontaminate, language, repair, roundtrip, topk, warc
 from .common import table
 
+#: The byte-level vocabulary that the contracts name; the file stays where its package put it.
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
@@ -88,3 +97,43 @@ FROM b JOIN m USING (hex)
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(documents).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+SQL["op5_decontamination"] = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(words), 13) AS n, array_to_string(words[k:k + least(len(words), 13) - 1], ' ') AS win
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS k FROM i WHERE len(words) > 0)),
+d AS (
+  SELECT r, n, k, array_to_string(words[k:k + n - 1], ' ') AS win
+  FROM (SELECT r, n, words, unnest(range(1, len(words) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM p) WHERE len(words) >= n)),
+h AS (SELECT d.r, d.n, d.k, p.item_id FROM d JOIN p USING (n, win)),
+c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = repair.ids_root(spark)
+    repair.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), root)
+    return repair.read_ids(spark, root).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return roundtrip.encode_documents(documents, vocabulary_path(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
