@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, repair, roundtrip, topk, warc
+from . import chat, decontaminate, language, repair, roundtrip, suffixes, topk, warc
 from .common import table
 
 #: The byte-level vocabulary that the contracts name; the file stays where its package put it.
@@ -28,6 +28,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 @query
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = spark.createDataFrame([(-1, 0, "user", chat.HOSTILE_TEXT), (-1, 1, "assistant", chat.HOSTILE_TEXT)], "conv_id long, turn long, role string, text string")
