@@ -147,7 +147,8 @@ def write_ids(documents: DataFrame, path: str, root: str, shard: int = SHARD, ra
     vocabulary = Vocabulary(path)
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # the size of a vocabulary file
     n = ranges or pieces(text_bytes(rows), RANGE, least=12)
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are sampled by id and a hash, so that no text goes to the driver
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").drop("h").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
