@@ -42,7 +42,7 @@ SHARD, RANGE = 2 << 20, 16 << 20
 FREQUENT, SAVING, ROUNDS = 24, 0.01, 5
 HEAD = "<4sHHqqqqq"
 MANIFEST = "part int, seq int, file string, documents long, tokens long, bytes long"
-DECODED = "part int, seq int, doc_id long, offset long, n_tokens long, ids binary, ids_crc32 long"
+DECODED = "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
 
 
 def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +193,17 @@ def read_ids(spark: SparkSession, root: str, with_ids: bool = False) -> DataFram
     """(doc_id, start, n_tokens, ids, ids_crc32) of every document, from the files that the manifest lists.
     ``start`` counts the ids of all documents before it: sums over ranges, then over the shards of a range."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    # one row for each range (their number is that of partitions), then one for each shard of a range
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(*running)) - F.col("n")).alias("base"))
+    inner = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*running)) - F.col("tokens")
+    shards = manifest.select("part", "file", "tokens", inner.alias("inner")).join(parts, "part").select("file", "tokens", (F.col("base") + F.col("inner")).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(root)
         for batch in batches:
-            for part, seq, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file", "tokens")), strict=True):
+            for name, tokens, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_stream(f"{folder}/{name}", compression=None) as source:
                     one = Shard(source.read())
                 if one.n_tokens != tokens:
@@ -212,19 +218,10 @@ def read_ids(spark: SparkSession, root: str, with_ids: bool = False) -> DataFram
                         blobs.append(blob if with_ids else None)
                         crcs.append(zlib.crc32(blob))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, seq), pa.int32()), pa.array(one.doc_ids, pa.int64(), mask=one.nulls.astype(bool)),
-                     pa.array(one.offsets[:-1]), pa.array(np.diff(one.offsets)), pa.array(blobs, pa.binary()), pa.array(crcs, pa.int64())],
-                    ["part", "seq", "doc_id", "offset", "n_tokens", "ids", "ids_crc32"])
+                    [pa.array(one.doc_ids, pa.int64(), mask=one.nulls.astype(bool)), pa.array(one.offsets[:-1] + start), pa.array(np.diff(one.offsets)),
+                     pa.array(blobs, pa.binary()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    listed = manifest.select("part", "seq", "file", "tokens")
-    documents = listed.repartition(pieces(listed.count(), 1), "file").mapInArrow(read, DECODED)
-    # one row for each range (their number is that of partitions), then one for each shard of a range
-    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("base"))
-    shards = manifest.select("part", "seq", (F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                                             - F.col("tokens")).alias("inner"))
-    bases = shards.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("shard_start"))
-    return documents.join(bases, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids", "ids_crc32")
+    return shards.repartition(pieces(manifest.count(), 1), "file").mapInArrow(read, DECODED)
 
 
 def ids_root(spark: SparkSession) -> str:
