@@ -1,12 +1,19 @@
-"""The corpus pipeline: documents in, tokenized clean documents out. Each stage is written as Parquet and read again."""
+"""The corpus pipeline: documents in, tokenized clean documents out.
+
+Each stage takes the documents its predecessor kept and returns the columns of documents; the last adds token ids.
+``run`` writes each stage as Parquet in the shared folder and reads it again, so a lost executor costs one stage at most.
+Nulls: a row whose text is null is rejected by the first stage; a row without doc_id passes every stage, but is
+never dropped as a copy and never loses a passage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language
+from ledgerloom.llm import decontaminate, language, roundtrip, shingles, suffixes
 from ledgerloom.llm.common import table
+from ledgerloom.llm.registry import vocabulary_path
 from ledgerloom.session import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,7 +25,39 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.where(~F.col("rejected")).select(*COLUMNS)
 
 
-STAGES = [("language ID", identify)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id in each component of near copies. Rows of one id are one document."""
+    rows = docs.select(*COLUMNS)
+    found = shingles.near_duplicates(rows.select("doc_id", "text"))
+    dropped = found.where("component_id < doc_id").select("doc_id").distinct()
+    kept = rows.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that a document of smaller id has; a document may end up with an empty text."""
+    cut = suffixes.deduplicate(docs.select(*COLUMNS), with_text=True)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents of which a twentieth or more lies in windows of the benchmark."""
+    found = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ids (little-endian unsigned 32-bit), n_tokens, and the digests of ids and decoded text."""
+    return roundtrip.encode_documents(docs.select(*COLUMNS), vocabulary_path())
+
+
+STAGES = [
+    ("language ID", identify),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding", tokenize),
+]
 
 #: A fitted model decides in the first stage, so no SQL says what is left.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, repair, roundtrip, shingles, suffixes, topk, warc
+from . import backoff, chat, decontaminate, language, repair, roundtrip, shingles, suffixes, topk, warc
 from .common import table
 
 #: The byte-level vocabulary that the contracts name; the file stays where its package put it.
@@ -109,6 +109,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

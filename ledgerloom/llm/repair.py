@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,7 @@ def write_ids(documents: DataFrame, path: str, root: str, shard: int = SHARD, ra
     """Encodes ``documents`` (doc_id, text) and writes shards below ``root``; returns the manifest, also stored there."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = Vocabulary(path)
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # the size of a vocabulary file
+    shared = documents.sparkSession.sparkContext.broadcast(vars(vocabulary))  # the size of a vocabulary file
     n = ranges or pieces(text_bytes(rows), RANGE, least=12)
     # ranges are sampled by id and a hash, so that no text goes to the driver
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").drop("h").sortWithinPartitions("doc_id", "text")
@@ -153,12 +154,12 @@ def write_ids(documents: DataFrame, path: str, root: str, shard: int = SHARD, ra
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, (store, folder), coder = TaskContext.get(), open_store(root), Coder(shared.value)
+        context, (store, folder), coder = TaskContext.get(), open_store(root), Coder(SimpleNamespace(**shared.value))
         doc_ids, ids, held, seq = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, ids, held, seq
-            blob = shard_bytes(doc_ids, ids, max(shared.value.size, END_ID + 1))
+            blob = shard_bytes(doc_ids, ids, max(shared.value["size"], END_ID + 1))
             name, temporary = f"part-{context.partitionId():06d}-{seq:05d}.ids", f"{folder}/.tmp-{context.taskAttemptId()}-{seq}"
             store.create_dir(folder, recursive=True)
             with store.open_output_stream(temporary) as sink:

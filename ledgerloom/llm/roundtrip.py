@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -159,10 +160,10 @@ class ChunkCoder:
 
 def encoded(vocabulary: Vocabulary, text: Column, documents: DataFrame, with_ids: bool = True) -> Column:
     """Struct of ids (little-endian unsigned 32-bit), n_tokens, ids_sha256 and decoded_sha256 of a text column."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # the size of a vocabulary file
+    shared = documents.sparkSession.sparkContext.broadcast(vars(vocabulary))  # the size of a vocabulary file
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = ChunkCoder(shared.value)
+        coder = ChunkCoder(SimpleNamespace(**shared.value))
         for column in texts:
             data, at = column_bytes(column)
             ids_out, n, ids_sha, text_sha = [], [], [], []

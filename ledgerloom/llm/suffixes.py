@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SpanHasher, column_bytes, mix, pieces, slices, text_bytes
 
@@ -248,17 +249,19 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
 
 
 def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, parts: int | None = None, groups: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of ``documents`` (doc_id, text); ``kept``
-    holds the remaining bytes if asked for, else null."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Each row of ``documents`` (doc_id, text and others) with n_bytes, n_removed, n_spans, kept_sha256 and kept in place
+    of its text. ``kept``, if asked for, is the remaining text: characters that lost a byte are left out of it, while
+    the digest is that of the remaining bytes. Other columns stay, but for those named like a result."""
+    others = [c for c in documents.columns if c not in RESULT and c != "text"]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
     total = text_bytes(rows)
     # the least numbers keep all cores of a small cluster busy; beyond that both grow with the text
     parts, groups = parts or pieces(total, PART, least=24), groups or pieces(total, GROUP, least=24)
-    matches = match_rows(span_rows(rows, parts, length, gram), groups, length)
+    matches = match_rows(span_rows(rows.select("doc_id", "text"), parts, length, gram), groups, length)
 
     def deal(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in ids:
@@ -277,7 +280,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
         out = []
         for batch in texts.to_batches():
             data, at = column_bytes(batch.column("text"))
-            marks = tags(data, at)
+            marks, facts = tags(data, at), []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 text = data[at[i]:at[i + 1]]
                 depth = np.zeros(len(text) + 1, np.int64)
@@ -285,11 +288,21 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
                     np.add.at(depth, start, 1)
                     np.add.at(depth, start + size, -1)
                 gone = np.cumsum(depth[:-1]) > 0
-                kept = text[~gone].tobytes()
-                out.append((doc, len(text), int(gone.sum()), int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(text) else 0,
-                            hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                n_spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(text) else 0
+                facts.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(text[~gone].tobytes()).hexdigest(), whole_characters(text, gone) if with_text else None))
+            made = [batch.column("doc_id"), *(pa.array([f[k] for f in facts], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))]
+            out.append(pa.Table.from_arrays([*made, *(batch.column(c) for c in others)], [*RESULT, *others]))
+        return pa.concat_tables(out) if out else pa.table({name: pa.array([], kind) for name, kind in (*zip(RESULT, kinds, strict=True), *((c, texts.schema.field(c).type) for c in others))})
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     dealt = rows.withColumn("bundle", F.arrow_udf(deal, "int")(F.coalesce(F.col("doc_id"), F.xxhash64("text"))))
-    return dealt.groupBy("bundle").cogroup(matches.groupBy("bundle")).applyInArrow(cut, RESULT)
+    schema = T.StructType([*T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in RESULT.items())).fields, *(rows.schema[c] for c in others)])
+    return dealt.groupBy("bundle").cogroup(matches.groupBy("bundle")).applyInArrow(cut, schema)
+
+
+def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the characters of which a byte is gone."""
+    number = np.cumsum((text & 0xC0) != 0x80)
+    hurt = np.zeros(int(number[-1]) + 1 if len(text) else 1, bool)
+    hurt[number[gone]] = True
+    return text[~hurt[number]].tobytes().decode("utf-8", "replace")
