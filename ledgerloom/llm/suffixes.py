@@ -13,7 +13,7 @@ a part has logarithmically many levels and each window is merged logarithmically
 window once, whatever the number of its copies.
 
 A document loses the bytes that long matches cover, judged on the input. Matches never cross documents; a repeat
-within one document is kept. Rows that share a doc_id count as one document for matches, and each is returned. A
+within one document is kept. Rows that share a doc_id count as one document for matches, and each is returned (texts of one doc_id are told apart by 16 bits). A
 row without doc_id is returned whole and is no source. A null text is empty, and a text under ``length`` bytes has no window.
 """
 
@@ -34,7 +34,7 @@ from .common import SpanHasher, column_bytes, mix, pieces, slices, text_bytes
 
 #: Bytes of a match; bytes of a sampled gram.
 LENGTH, GRAM = 50, 8
-#: Text in one part of the suffix space, in one group of documents, in one slice of a map task, all in bytes.
+#: Text in one part of the suffix space, in one group of documents, in one pass of a map task, all in bytes.
 PART, GROUP, TASK = 3 << 20, 6 << 20, 8 << 20
 #: Windows in a batch of a part.
 BATCH = 1 << 18
@@ -88,63 +88,75 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A number of each text, to tell rows of one doc_id apart."""
+    """16 bits of each text's checksum: they tell rows apart that share a doc_id and differ in text."""
     raw = data.tobytes()
-    return np.array([(b - a) << 32 | zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+    return np.array([zlib.crc32(raw[a:b]) & 0xFFFF for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
 
 
 SPANS = "part int, ids binary, tags binary, owners binary, places binary, which binary, sizes binary, texts binary"
 
 
 def span_rows(documents: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """One row for each slice of a task and part: the distinct spans, and where each occurs."""
+    """One row for each batch of a task and part: the distinct spans, and where each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher(3)
         for batch in batches:
-            data_all, at = column_bytes(batch.column("text"))
-            ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            data, at = column_bytes(batch.column("text"))
+            ids, marks = batch.column("doc_id").to_numpy(zero_copy_only=False), tags(data, at)
+            found = []
             for a, b in slices(at, TASK):
-                data, offsets = data_all[at[a]:at[b]], at[a:b + 1] - at[a]
-                ids, marks = ids_all[a:b], tags(data, offsets)
-                owner, first, count, key = sampled(data, offsets, length, gram)
-                size = count + length - 1
-                names = np.concatenate([hasher.spans(hasher.sums(data[s:t]), first[m] - s, first[m] + size[m] - s)
-                                        for s, t, m in chunks_of(offsets, owner)]) if len(owner) else np.zeros(0, np.uint64)
-                _, example, which = np.unique(names, return_index=True, return_inverse=True)
-                bucket = (mix(key + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(parts + 1))
-                rows = []
-                for p in np.flatnonzero(np.diff(bounds)):
-                    mine = order[bounds[p]:bounds[p + 1]]
-                    shown, local = np.unique(which[mine], return_inverse=True)
-                    shown = example[shown]
-                    docs, doc_of = np.unique(owner[mine], return_inverse=True)
-                    text = data[spread(first[shown], size[shown])].tobytes()
-                    rows.append((int(p), ids[docs].astype("<i8").tobytes(), marks[docs].tobytes(), squeeze(doc_of), squeeze(first[mine] - offsets[owner[mine]]),
-                                 squeeze(local), squeeze(size[shown]), zstandard.compress(text, 3)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8))],
-                        ["part", "ids", "tags", "owners", "places", "which", "sizes", "texts"])
+                owner, first, count, key = sampled(data[at[a]:at[b]], at[a:b + 1] - at[a], length, gram)
+                found.append((owner + a, first + at[a], count, key))
+            owner, first, count, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            size = count + length - 1
+            names = np.concatenate([hasher.spans(hasher.sums(data[s:t]), first[m] - s, first[m] + size[m] - s) for s, t, m in ranges_of(at, owner)]) \
+                if len(owner) else np.zeros(0, np.uint64)
+            bucket = (mix(key.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(parts + 1))
+            rows = []
+            for p in np.flatnonzero(np.diff(bounds)):
+                mine = order[bounds[p]:bounds[p + 1]]
+                # distinct spans in the order of their first occurrence, so that places in the list mostly grow by one
+                _, example, which = np.unique(names[mine], return_index=True, return_inverse=True)
+                rank = np.empty(len(example), np.int64)
+                rank[np.argsort(example)] = np.arange(len(example))
+                shown = mine[np.sort(example)]
+                docs, doc_of = np.unique(owner[mine], return_inverse=True)
+                rows.append((int(p), squeeze_ids(ids[docs]), squeeze(marks[docs], "<u2"), squeeze(np.diff(doc_of, prepend=0)), squeeze(first[mine] - at[owner[mine]]),
+                             squeeze(np.diff(rank[which], prepend=0)), squeeze(size[shown]), zstandard.compress(data[spread(first[shown], size[shown])].tobytes(), 6)))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8))],
+                    ["part", "ids", "tags", "owners", "places", "which", "sizes", "texts"])
 
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, SPANS)
 
 
-def chunks_of(offsets: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+def ranges_of(offsets: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, slice]]:
     """Byte range and the spans of it, document ranges of bounded size at a time; spans are in order."""
     for a, b in slices(offsets):
         yield int(offsets[a]), int(offsets[b]), slice(int(np.searchsorted(owner, a)), int(np.searchsorted(owner, b)))
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Small numbers, deflated."""
-    return zstandard.compress(values.astype("<u4").tobytes(), 1)
+def squeeze(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers, deflated byte by byte of their width, the low bytes first."""
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[2])).T
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def unsqueeze(blob: bytes, kind: str = "<i4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(int(kind[2]), -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+
+
+def squeeze_ids(ids: np.ndarray) -> bytes:
+    return squeeze(np.diff(ids, prepend=np.int64(0)), "<i8")
 
 
-def unsqueeze(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), "<u4").astype(np.int64)
+def unsqueeze_ids(blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(blob, "<i8"))
 
 
 class Family:
@@ -189,11 +201,11 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
             at = spread(begin, windows)
             names_of.append(hasher.spans(hasher.sums(text), at, at + length))
             firsts_of.append(np.cumsum(windows) - windows)
-            which = unsqueeze(r["which"])
-            docs = np.frombuffer(r["ids"], "<i8")
+            which = np.cumsum(unsqueeze(r["which"]))
+            docs = unsqueeze_ids(r["ids"])
             ids.append(docs)
-            marks.append(np.frombuffer(r["tags"], "<i8"))
-            owners.append(unsqueeze(r["owners"]) + base)
+            marks.append(unsqueeze(r["tags"], "<u2"))
+            owners.append(np.cumsum(unsqueeze(r["owners"])) + base)
             base += len(docs)
             places.append(unsqueeze(r["places"]))
             counts.append(windows[which])
@@ -238,7 +250,7 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
         for g in np.flatnonzero(np.diff(bounds)):
             mine = deal[bounds[g]:bounds[g + 1]]
             docs, local = np.unique(owner[mine], return_inverse=True)
-            rows.append((int(g), ids[docs].tobytes(), marks[docs].tobytes(), squeeze(local), squeeze(start[mine]), squeeze(size[mine])))
+            rows.append((int(g), squeeze_ids(ids[docs]), squeeze(marks[docs], "<u2"), squeeze(np.diff(local, prepend=0)), squeeze(start[mine]), squeeze(size[mine])))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))],
                         ["bundle", "ids", "tags", "owners", "starts", "sizes"])
 
@@ -270,8 +282,8 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         spans: dict[tuple[int, int], list] = {}
         for r in found.to_pylist():
-            ids, marks = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["tags"], "<i8")
-            owner, start, size = unsqueeze(r["owners"]), unsqueeze(r["starts"]), unsqueeze(r["sizes"])
+            ids, marks = unsqueeze_ids(r["ids"]), unsqueeze(r["tags"], "<u2")
+            owner, start, size = np.cumsum(unsqueeze(r["owners"])), unsqueeze(r["starts"]), unsqueeze(r["sizes"])
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(len(ids) + 1))
             for k, key in enumerate(zip(ids.tolist(), marks.tolist(), strict=True)):
