@@ -34,8 +34,11 @@ from ledgerloom.session import stage
 
 from .common import LOWER, NOT_SPACE, SpanHasher, column_bytes, pieces, slices, text_bytes, word_spans
 
-#: Bytes of corpus for each occurrence that keeps an n-gram; least count of a kept pair or triple; discount; longest n-gram.
-SHARE, LEAST, DISCOUNT, ORDER = 5_000_000, 2, 0.75, 3
+#: Bytes of corpus for each occurrence that keeps an n-gram; least count of a kept pair or triple; longest n-gram.
+SHARE, LEAST, ORDER = 5_000_000, 2, 3
+#: What each kept count gives up, and occurrences that a history is taken to have had of the shorter one's kind:
+#: they keep rare histories close to the shorter ones.
+DISCOUNT, PRIOR = 0.75, 5.0
 #: Text for each part of the counts.
 PART = 8 << 20
 FOLDS, HELD = 7, 2
@@ -115,14 +118,15 @@ class Automaton:
         history = self.counts if level == 0 else self.arc_counts[level - 1]
         state, word = codes // BASE, codes % BASE
         kept = np.bincount(state, weights=counts - DISCOUNT, minlength=len(history))
-        mass = np.where(kept > 0, (history - kept) / np.maximum(history, 1), 1.0)
+        seen = history + PRIOR
+        mass = np.where(kept > 0, (seen - kept) / seen, 1.0)
         lower = 10 ** self.unigram[word]
         if level:
             # the word after the shorter history: its arc there, or what that history's failure leaves
             shorter = self.arcs[level - 1][state] % BASE
             at = self.find(level - 1, shorter, word)
             lower = np.where(at >= 0, 10 ** self.weights[level - 1][np.maximum(at, 0)], 10 ** self.failure[level - 1][shorter] * lower)
-        self.weights.append(np.log10((counts - DISCOUNT) / np.maximum(history[state], 1) + mass[state] * lower))
+        self.weights.append(np.log10((counts - DISCOUNT) / seen[state] + mass[state] * lower))
         self.failure.append(np.log10(np.maximum(mass, 1e-300)))
         self.arcs.append(codes)
         self.arc_counts.append(counts)
