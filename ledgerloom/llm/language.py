@@ -150,8 +150,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``documents`` with lang_pred, score and rejected. Only the text is read."""
-    plain = documents.withColumn("_letters", has_letter(text)).withColumn("_text", F.when(F.col("_letters"), F.col(text)))
+    """``documents`` with lang_pred, score and rejected, which replace columns of these names. Only the text is read."""
+    plain = documents.drop("lang_pred", "score", "rejected").withColumn("_letters", has_letter(text)).withColumn("_text", F.when(F.col("_letters"), F.col(text)))
     fields = plain.drop("_letters", "_text").schema
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -39,8 +39,8 @@ from .warc import open_store
 END_ID = 2
 #: Tokens after which a shard is closed; bytes of text for each range.
 SHARD, RANGE = 2 << 20, 16 << 20
-#: A pair is frequent from this many occurrences; rounds stop below this saving, and after so many.
-FREQUENT, SAVING, ROUNDS = 24, 0.01, 5
+#: A pair is frequent from this many occurrences; rounds stop below this saving, and after so many; passes of a round.
+FREQUENT, SAVING, ROUNDS, PASSES = 24, 0.01, 6, 3
 HEAD = "<4sHHqqqqq"
 MANIFEST = "part int, seq int, file string, documents long, tokens long, bytes long"
 DECODED = "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
@@ -63,15 +63,9 @@ def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
             break
         rank = np.full(len(distinct), len(order), np.int64)
         rank[order] = np.arange(len(order))
-        at = np.full(len(seq), len(order), np.int64)  # rank of the pair that begins here
+        at = np.full(len(seq), len(order), np.int32)  # rank of the pair that begins here
         at[often] = rank[inverse]
-        # a pair is replaced where it beats the pairs that overlap it; in a run of equal pairs every second one is
-        left, right = np.concatenate(([len(order)], at[:-1])), np.concatenate((at[1:], [len(order)]))
-        begins = (at < len(order)) & ~((at == left) & (left < len(order)))
-        same = np.flatnonzero((at < len(order)) & (at == left))
-        take = begins & (at < left) & (at <= right)
-        for i in same:  # runs of one repeated symbol
-            take[i] = not take[i - 1] and at[i] <= right[i]
+        take = apart(at, len(order))
         hit = np.flatnonzero(take)
         if len(hit) < SAVING * len(seq):
             break
@@ -88,6 +82,23 @@ def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
     return np.stack(((pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)), axis=1), seq.astype(np.uint32)
 
 
+def apart(rank: np.ndarray, none: int) -> np.ndarray:
+    """Which pairs to replace, so that no two overlap: those of better rank than both neighbours, then again among
+    what is left. In a run of one symbol every second pair counts."""
+    place = np.arange(len(rank))
+    starts = np.maximum.accumulate(np.where(np.concatenate(([True], rank[1:] != rank[:-1])), place, 0))
+    open_ = (rank < none) & ((place - starts) % 2 == 0)
+    take = np.zeros(len(rank), bool)
+    for _ in range(PASSES):
+        now = np.where(open_, rank, none)
+        best = open_ & (now <= np.concatenate(([none], now[:-1]))) & (now <= np.concatenate((now[1:], [none])))
+        take |= best
+        open_ &= ~best
+        open_[1:] &= ~best[:-1]
+        open_[:-1] &= ~best[1:]
+    return take
+
+
 class Shard:
     """One shard file, decoded in part or whole."""
 
