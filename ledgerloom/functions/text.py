@@ -55,6 +55,6 @@ PARSERS = {"money": money_cents, "count": whole_count, "number": finite_number,
 def month_problem(label: str = "month_label", first_day: str = "purchase_month") -> str:
     """NULL when the label is canonical YYYY-MM and names the month of ``first_day``."""
     month = f"regexp_extract(coalesce({first_day}, ''), r'{FIRST_OF_MONTH}', 1)"
-    return (f"CASE WHEN NOT coalesce({label} rlike r'{MONTH_LABEL}', false) THEN 'month_label is not canonical YYYY-MM' "
-            f"WHEN {month} = '' THEN 'purchase_month is not the first day of a month' "
-            f"WHEN {month} <> {label} THEN 'month_label disagrees with purchase_month' END")
+    return (f"CASE WHEN NOT coalesce({label} rlike r'{MONTH_LABEL}', false) THEN 'label is no YYYY-MM' "
+            f"WHEN {month} = '' THEN 'date is no first of a month' "
+            f"WHEN {month} <> {label} THEN 'label and date name different months' END")

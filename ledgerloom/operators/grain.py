@@ -175,21 +175,32 @@ def fanout_report(parent: DataFrame, children: Mapping[str, DataFrame], key: str
         spine = spine.join(child.groupBy(key).agg(F.count("*").alias(f"{name}_n"), *sums), key, "full")
     counts = ["_n"] + [f"{c}_n" for c in children]
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in counts]) & F.col(key).isNotNull()
-    product = reduce(lambda a, b: a * b, [F.col(c) for c in counts])
 
-    def repeated(name: str) -> Column:
-        others = reduce(lambda a, b: a * b, [F.col(c) for c in counts if c != f"{name}_n"])
-        return F.sum(F.when(whole, (F.col(f"{name}_sum").cast("decimal(28,2)") * others.cast("decimal(10,0)")).cast(MONEY)))
+    def product(names: Sequence[str]) -> Column:
+        """Of row counts, in 38 digits; NULL beyond them."""
+        return reduce(lambda a, b: F.try_multiply(a, b).try_cast("decimal(38,0)"), [F.col(c).cast("decimal(38,0)") for c in names])
 
+    def repeated(name: str) -> tuple[Column, Column]:
+        """The repeated total of a measure, and whether some key's share of it has too many digits."""
+        others = product([c for c in counts if c != f"{name}_n"])
+        cents = F.try_multiply((F.col(f"{name}_sum") * 100).cast("decimal(38,0)"), others).try_cast("decimal(38,0)")
+        present = whole & F.col(f"{name}_sum").isNotNull()
+        return F.try_sum(F.when(whole, cents)), F.count_if(present & cents.isNull()) > 0
+
+    rows, sums = product(counts), {m: repeated(m) for m in measures}
     totals = spine.agg(
-        F.sum("_n").alias("parent_rows"), F.sum(F.when(whole, product)).alias("joined_rows"),
-        rows_where(F.col("_n").isNotNull() & ~whole).alias("parent_keys_lost"),
+        F.sum("_n").alias("parent_rows"), F.try_sum(F.when(whole, rows)).alias("_rows"), (F.count_if(whole & rows.isNull()) > 0).alias("_wide"),
+        rows_where(F.col("_n").isNotNull() & ~whole).alias("parent_keys_lost"), rows_where(whole).alias("_whole"),
         *[F.sum(f"{m}_sum").alias(f"{m}_true") for m in measures],
-        *[repeated(m).alias(f"{m}_joined") for m in measures])
+        *[total.alias(f"{m}_cents") for m, (total, _) in sums.items()], *[wide.alias(f"{m}_wide") for m, (_, wide) in sums.items()])
+    # a total that leaves 38 digits (or the sum of them) is reported as such, not as a number
     cells = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(f"{m}_true").cast(MONEY).alias("true_total"), F.col(f"{m}_joined").cast(MONEY).alias("joined_total"))
+        F.struct(F.lit(m).alias("measure"), F.col(f"{m}_true").cast(MONEY).alias("true_total"),
+                 F.when(~F.col(f"{m}_wide"), (F.col(f"{m}_cents") / 100).try_cast(MONEY)).alias("joined_total"),
+                 F.when(F.col(f"{m}_wide") | F.col(f"{m}_cents").isNull() & (F.col("_whole") > 0) & F.col(f"{m}_true").isNotNull(), "too large").otherwise("ok").alias("total_status"))
         for m in measures]))
-    return totals.select("parent_rows", "joined_rows", "parent_keys_lost", cells.alias("m")).select(
+    joined = F.when(~F.col("_wide"), F.col("_rows").try_cast("bigint"))
+    return totals.select("parent_rows", joined.alias("joined_rows"), "parent_keys_lost", cells.alias("m")).select(
         "parent_rows", "joined_rows", "parent_keys_lost", "m.*").withColumn("inflation", ratio("joined_total", "true_total"))
 
 

@@ -27,6 +27,10 @@ def prior_and_full_counts(
 
 
 def prior_count_by_range(df: DataFrame, key: str, day: str, name: str = "prior_count") -> DataFrame:
-    """The same count as a range window over day numbers: an independent check for test-sized keys."""
-    window = Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.when(F.col(key).isNull(), 0).otherwise(F.count("*").over(window)))
+    """The same count by another route: rows per (key, day), and for each day the sum over a range of day numbers that
+    ends before it. The window holds days, never the rows of a popular key."""
+    daily = df.where(F.col(key).isNotNull() & F.col(day).isNotNull()).groupBy(key, F.unix_date(day).alias("_day")).agg(F.count("*").alias("_n"))
+    window = Window.partitionBy(key).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    history = daily.select(key, "_day", F.coalesce(F.sum("_n").over(window), F.lit(0)).alias("_prior"))
+    joined = df.withColumn("_day", F.unix_date(day)).join(history, [key, "_day"], "left")
+    return joined.select(*df.columns, F.coalesce("_prior", F.lit(0)).alias(name))

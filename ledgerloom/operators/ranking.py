@@ -79,6 +79,7 @@ def top_k(
 ) -> DataFrame:
     """Tie-aware hits at ``k`` plus ``deterministic_hits``, the hits when ties go to the lowest id.
 
+    Ids must be unique; ids that repeat so that more than ``k`` rows would be taken are an error.
     The tied block is never sorted in one task: the id that closes the k-th place is found by rank, and
     hits are then one aggregate over the rows that score above the cut or tie up to that id.
     """
@@ -99,7 +100,8 @@ def top_k(
         last = rows_at(df.where(tied).select(id_col), [F.asc(id_col)], [at["slots"]])[0]
         taken = tied & (F.col(id_col) <= F.lit(last[id_col]))
     chosen = df.where((F.col(score).cast("double") > F.lit(at["cut_score"])) | taken)
-    hits = chosen.agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).scalar()
+    repeated = F.raise_error(F.lit(f"{id_col} repeats among the rows that tie at the cut")).cast("long")
+    hits = chosen.agg(F.when(F.count("*") == min(k, total), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).otherwise(repeated)).scalar()
     return cut.select("k", F.lit(total).cast("long").alias("n"), hits.alias("deterministic_hits"), "expected_hits",
                       "min_hits", "max_hits", "tie_block", "tie_block_positives", "strictly_above")
 
@@ -121,9 +123,11 @@ def gains(steps: DataFrame, shares: int = 10) -> DataFrame:
 
 
 def lift_at(df: DataFrame, share: float = 0.1, label: str = "label", score: str = "score", steps: DataFrame | None = None) -> DataFrame:
-    """Expected hit rate of the best ``share`` of rows against the base rate."""
+    """Expected hit rate of the best ``share`` of rows against the base rate; NULLs for a table without rows."""
     steps = steps if steps is not None else score_steps(df, label, score)
     totals = steps.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+    if not totals["n"]:
+        return df.sparkSession.createDataFrame([(None,) * 4], "k bigint, top_rate double, base_rate double, lift double")
     k = share_to_k(totals["n"], share)
     base = totals["pos"] / totals["n"]
     return hits_at(steps, [k]).select(
@@ -144,7 +148,10 @@ def evaluate(df: DataFrame, id_col: str = "id", label: str = "label", score: str
 
 
 def evaluate_scores(df: DataFrame, score_cols: Sequence[str], id_col: str, label: str, share: float = 0.1) -> DataFrame:
-    """``evaluate`` for several stored score columns of one table."""
+    """``evaluate`` for several stored score columns of one table, whose ids must be unique."""
+    repeats = df.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).agg(F.count("*")).first()[0]
+    if repeats:
+        raise ValueError(f"{repeats} value(s) of {id_col} repeat")
     parts = [evaluate(df, id_col, label, c, share).select(F.lit(c).alias("model"), "*") for c in score_cols]
     result = parts[0]
     for part in parts[1:]:

@@ -35,7 +35,7 @@ def payments_agg(payments: DataFrame) -> DataFrame:
     rows moves as a few. All order totals then derive from those rows. Equal amounts go to the
     alphabetically first instrument.
     """
-    by_type = payments.groupBy("order_id", "payment_type").agg(
+    by_type = payments.where("order_id IS NOT NULL").groupBy("order_id", "payment_type").agg(
         F.sum("payment_value_brl").alias("type_value"),
         F.count("*").alias("type_rows"),
         F.max("payment_installments").alias("type_installments"),
@@ -66,9 +66,10 @@ def reviews_agg(reviews: DataFrame) -> DataFrame:
 def zip_centroid(points: DataFrame) -> DataFrame:
     """One row per zip: exact median position, most frequent label, number of points.
 
-    Labels collapse to (zip, label) counts before ranking; equal counts go to the alphabetically
+    Points without a zip are left out. Labels collapse to (zip, label) counts before ranking; equal counts go to the alphabetically
     first city, then state.
     """
+    points = points.where("zip_prefix IS NOT NULL")
     label_counts = points.groupBy("zip_prefix", "city", "state").agg(F.count("*").alias("n"))
     most_frequent = F.struct(-F.col("n"), F.col("city").isNull(), "city", F.col("state").isNull(), "state")
     labels = label_counts.groupBy("zip_prefix").agg(

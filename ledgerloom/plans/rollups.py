@@ -6,6 +6,7 @@ Inputs are typed extracts or ``from_mart`` views: money in whole cents, months a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -27,15 +28,31 @@ def from_mart(mart: DataFrame) -> DataFrame:
     return mart.select(*columns)
 
 
-def month_range(df: DataFrame, first: str, last: str) -> DataFrame:
-    """Rows of ``first`` .. ``last``. A reversed range is an error now; a month the data does not have
-    is an error when the result is computed."""
+def selection_problem(months: DataFrame, first: str, last: str) -> Column:
+    """Aggregate over the rows of ``months`` (month_label): why first..last can't be selected, or NULL."""
     if first > last:
-        raise ValueError(f"the start month ({first}) is after the end month ({last})")
-    ends = df.where(F.col("month_label").isin(first, last)).agg(F.countDistinct("month_label")).scalar()
-    known = ends == len({first, last})
-    unknown = F.raise_error(F.lit(f"unknown month in {first}..{last}")).cast("boolean")
-    return df.where(F.col("month_label").between(first, last) & F.when(known, True).otherwise(unknown))
+        return F.lit(f"{first} lies after {last}")
+    ends = {first, last}
+    seen = F.countDistinct(F.when(F.col("month_label").isin(*ends), F.col("month_label")))
+    return F.when(seen < len(ends), F.lit(f"no data for an end of {first}..{last}"))
+
+
+def month_range(df: DataFrame, first: str, last: str, months: DataFrame | None = None) -> DataFrame:
+    """Rows of ``first`` .. ``last``. A reversed range is an error now. An end that is not among ``months`` (by default
+    those of ``df``) is an error when the result is computed, also where no row lies in the range; a mart that merely has no
+    row in a known month is none."""
+    if first > last:
+        raise ValueError(f"{first} lies after {last}")
+    problem = selection_problem(months if months is not None else df, first, last)
+    # a scalar subquery is computed whether or not rows remain
+    usable = (months if months is not None else df).agg(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))).scalar()
+    return df.where(F.col("month_label").between(first, last) & usable)
+
+
+def selections(months: DataFrame, ranges: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per range: (first, last, problem)."""
+    rows = [months.agg(selection_problem(months, a, b).alias("problem")).select(F.lit(a).alias("first"), F.lit(b).alias("last"), "problem") for a, b in ranges]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _status_of(df: DataFrame, column: str) -> str | None:
@@ -90,13 +107,14 @@ class CategoryView(NamedTuple):
 
 def categories(
     category: DataFrame, first: str, last: str, search: str = "", sort: str = "gmv", top: int | None = None,
+    months: DataFrame | None = None,
 ) -> CategoryView:
     """Per category of the selection, filtered by a case-insensitive substring; totals ignore the filter.
 
     For one category orders add across months, as an order lies in one month. Across categories they
     do not, so their sum is named ``category_order_pairs``.
     """
-    chosen = month_range(category, first, last)
+    chosen = month_range(category, first, last, months)
     total_gmv = chosen.agg(st.sum_field("gmv_c").alias("t")).scalar()
     grouped = chosen.groupBy("product_category").agg(
         F.count("*").alias("cells"),
@@ -122,9 +140,9 @@ def categories(
 
 
 # ------------------------------------------------------------------------------ states
-def states(state: DataFrame, first: str, last: str, chosen: Sequence[str] | None = None) -> DataFrame:
+def states(state: DataFrame, first: str, last: str, chosen: Sequence[str] | None = None, months: DataFrame | None = None) -> DataFrame:
     """Per customer state and, with ``is_total``, for all chosen states: one grouping pass for both."""
-    rows = month_range(state, first, last)
+    rows = month_range(state, first, last, months)
     if chosen is not None:
         rows = rows.where(F.col("customer_state").isin(list(chosen)))
     has_late = "late_orders" in state.columns
@@ -144,10 +162,10 @@ def states(state: DataFrame, first: str, last: str, chosen: Sequence[str] | None
 
 
 # ------------------------------------------------------------------------------ payments
-def payments(payment: DataFrame, first: str, last: str, types: Sequence[str] | None = None) -> DataFrame:
+def payments(payment: DataFrame, first: str, last: str, types: Sequence[str] | None = None, months: DataFrame | None = None) -> DataFrame:
     """Per primary instrument. Shares keep all orders of the selection as denominator, also when only
     some instruments are chosen."""
-    rows = month_range(payment, first, last)
+    rows = month_range(payment, first, last, months)
     all_orders = rows.agg(st.sum_field("orders").alias("t")).scalar()
     if types is not None:
         rows = rows.where(F.col("primary_payment_type").isin(list(types)))

@@ -219,7 +219,8 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label"),
-        (F.floor(F.least(F.col("n_chars"), F.lit(10000)) / 500) / 20).alias("score"),
+        # rises with the length without end and stays below 1; whole numbers until the last step keep it exact
+        (F.expr("(n_chars * 200) div (n_chars + 2000)") / 200).alias("score"),
     )
 
 

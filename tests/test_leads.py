@@ -87,17 +87,19 @@ def test_prior_counts_against_brute_force_and_future_changes(spark, seed):
 
 
 def design(**change):
-    base = dict(name="d", train_start=D(2018, 1, 1), as_of=D(2018, 5, 1), score_start=D(2018, 5, 1), score_end=D(2018, 5, 31), outcome_observed_through=D(2018, 8, 29))
+    base = dict(name="d", learn_from=D(2018, 1, 1), cut=D(2018, 5, 1), judge=cohorts.Days(D(2018, 5, 1), D(2018, 5, 31)), seen_to=D(2018, 8, 29))
     return cohorts.CohortDesign(**{**base, **change})
 
 
 def test_design_dates_and_refusals():
-    assert design().problems() == [] and design().train_end == D(2018, 5, 1) - dt.timedelta(days=91)
-    assert any("no training label" in p for p in design(as_of=D(2018, 4, 1), score_start=D(2018, 4, 1)).problems())
-    assert any("before as_of" in p for p in design(score_start=D(2018, 4, 30)).problems())
-    assert any("observation" in p for p in design(outcome_observed_through=D(2018, 8, 28)).problems())
-    assert any("empty" in p for p in design(score_end=D(2018, 4, 1)).problems())
-    assert any("feature_set" in p for p in design(feature_set="x").problems())
+    assert design().problems() == [] and design().settled == D(2018, 5, 1) - dt.timedelta(days=91) == design().learn.last
+    early = cohorts.Days(D(2018, 4, 1), D(2018, 4, 30))
+    assert any("training" in p for p in design(cut=D(2018, 4, 1), judge=early).problems())
+    assert any("ahead of the cut" in p for p in design(judge=cohorts.Days(D(2018, 4, 30), D(2018, 5, 31))).problems())
+    assert any("outcomes are open" in p for p in design(seen_to=D(2018, 8, 28)).problems())
+    assert any(p.endswith("empty") for p in design(judge=cohorts.Days(D(2018, 5, 2), D(2018, 5, 1))).problems())
+    assert any("features" in p for p in design(features="x").problems())
+    assert design(learn_to=D(2018, 4, 30)).learn.last == D(2018, 4, 30) and design().describe()["gap_days"] == 90
 
 
 def test_historical_split_is_immature(features):
@@ -126,7 +128,8 @@ def test_run_design_ranks_better_than_chance(spark):
     assert set(got) == {"score_base", "score_channel", "score_lr", "score_gb"}
     assert got["score_base"]["auc"] == pytest.approx(0.5) and got["score_lr"]["auc"] > 0.65 and got["score_gb"]["auc"] > 0.6
     assert got["score_base"]["distinct_scores"] == 1 and got["score_base"]["top_tie_block"] == run.summary["score_n"]
-    assert run.weights.first()["feature"].startswith("channel=")
+    assert run.weights.first()["feature"].startswith("channel=") and run.design["problems"] == []
+    assert cohorts.penalised_gradient(run.inputs, run.logistic).first()["largest"] < 0.05
 
 
 def test_logistic_matches_a_direct_optimum(spark):
@@ -151,10 +154,10 @@ def test_logistic_matches_a_direct_optimum(spark):
 
 def test_invalid_designs_return_reasons(spark):
     leads = lead_population(spark, 200)
-    assert cohorts.run_design(leads, design(as_of=D(2018, 4, 1), score_start=D(2018, 4, 1))).status == "invalid"
+    assert cohorts.run_design(leads, design(cut=D(2018, 4, 1), judge=cohorts.Days(D(2018, 4, 1), D(2018, 4, 30)))).status == "invalid"
     never = leads.withColumn("won_date", F.lit(None).cast("date"))
     run = cohorts.run_design(never, design())
-    assert run.status == "invalid" and "label classes" in run.problems[0] and run.summary["train_positives"] == 0
+    assert run.status == "invalid" and "one label class" in run.problems[0] and run.summary["train_positives"] == 0
 
 
 def test_lag_distribution_and_cardinality(features):

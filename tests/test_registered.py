@@ -12,8 +12,8 @@ from workload.oracle import SQL  # noqa: E402
 from workload.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-#: Results that no SQL on the tables can express: fitted models and normal tail areas.
-WITHOUT_SQL = {"lead_model_metrics", "lead_model_weights", "experiment_p_values"}
+#: Results of fitted models, which no SQL on the tables can express.
+WITHOUT_SQL = {"lead_model_metrics", "lead_model_weights"}
 
 
 @pytest.fixture(scope="module")

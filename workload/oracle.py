@@ -99,7 +99,7 @@ block("rct", """SELECT CASE WHEN o_orderkey % 20 < 17 THEN 1 ELSE 0 END AS treat
   CASE WHEN o_orderkey % 20 < 17 AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS exposure,
   o_totalprice / 1000 AS f0, CAST(dayofyear(o_orderdate) AS DOUBLE) AS f1, year(o_orderdate) AS segment FROM orders""")
 block("sc", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, floor(o_totalprice / 4000) / 200 AS score FROM orders""")
-block("scd", """SELECT l.doc_id AS id, l.quality AS label, floor(least(d.n_chars, 10000) / 500) / 20 AS score
+block("scd", """SELECT l.doc_id AS id, l.quality AS label, ((d.n_chars * 200) // (d.n_chars + 2000)) / 200 AS score
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
 
 # order grain
@@ -326,10 +326,19 @@ oracle("missing_children", " UNION ALL ".join(
 block("naive", """SELECT o.order_id, i.total, p.paid FROM @o@ o JOIN @li@ i ON i.order_id = o.order_id JOIN @pay@ p ON p.order_id = o.order_id JOIN @rev@ r ON r.order_id = o.order_id""")
 oracle("fanout_report", " UNION ALL ".join(
     f"""SELECT (SELECT count(*) FROM orders) AS parent_rows, count(*) AS joined_rows, (SELECT count(*) FROM orders) - count(DISTINCT order_id) AS parent_keys_lost,
-    '{n}' AS measure, {money(f'(SELECT sum({c}) FROM @{t}@)', 'true_total')}, {money(f'sum({c})', 'joined_total')},
+    '{n}' AS measure, 'ok' AS total_status, {money(f'(SELECT sum({c}) FROM @{t}@)', 'true_total')}, {money(f'sum({c})', 'joined_total')},
     {r6(f'CAST(sum({c}) AS DOUBLE) / CAST((SELECT sum({c}) FROM @{t}@) AS DOUBLE)', 'inflation')} FROM @naive@"""
     for n, c, t in (("items", "total", "li"), ("payments", "paid", "pay"))))
 
+block("hot", """SELECT k, max(n) FILTER (t = 'o') AS n_o, max(n) FILTER (t = 'i') AS n_i, max(n) FILTER (t = 'p') AS n_p, max(v) FILTER (t = 'i') AS items, max(v) FILTER (t = 'p') AS payments FROM (
+  SELECT 'o' AS t, CAST(order_id AS BIGINT) % 3 AS k, count(*) AS n, NULL AS v FROM @o@ GROUP BY 2 UNION ALL SELECT 'i', CAST(order_id AS BIGINT) % 3, count(*), sum(total) FROM @li@ GROUP BY 2
+  UNION ALL SELECT 'p', CAST(order_id AS BIGINT) % 3, count(*), sum(paid) FROM @pay@ GROUP BY 2) GROUP BY k""")
+oracle("fanout_hot_keys", " UNION ALL ".join(
+    f"""SELECT CAST(sum(n_o) AS BIGINT) AS parent_rows, CAST(sum(CAST(n_o AS HUGEINT) * n_i * n_p) AS BIGINT) AS joined_rows, CAST(0 AS BIGINT) AS parent_keys_lost, '{m}' AS measure, 'ok' AS total_status,
+    {money(f'sum({m})', 'true_total')}, {money(f'sum(CAST({m} AS DECIMAL(38,2)) * CAST(CAST(n_o AS HUGEINT) * {o} AS DECIMAL(20,0)))', 'joined_total')},
+    {r6(f'CAST(sum(CAST({m} AS DECIMAL(38,2)) * CAST(CAST(n_o AS HUGEINT) * {o} AS DECIMAL(20,0))) AS DOUBLE) / CAST(sum({m}) AS DOUBLE)', 'inflation')} FROM @hot@"""
+    for m, o in (("items", "n_p"), ("payments", "n_i"))))
+
 
 def coverage(left: str, right: str, key: str) -> str:
     return f"""SELECT (SELECT count(*) FROM {left}) AS left_rows, (SELECT count(DISTINCT {key}) FROM {left}) AS left_keys, (SELECT count(*) FROM {right}) AS right_rows,
@@ -417,7 +426,7 @@ oracle("extract_reconciliation", " UNION ALL ".join(
     [f"SELECT '{n}' AS check_name, label AS month_label, CASE WHEN {a} = {b} THEN 'pass' ELSE 'fail' END AS result FROM @tot@" for n, a, b in _EQUAL]
     + ["SELECT 'category orders', label, CASE WHEN c_orders BETWEEN owi AND c_lines THEN 'bounded' ELSE 'fail' END FROM @tot@"]))
 # How many whole numbers of orders reproduce a printed order value: tried one by one.
-block("fit", """SELECT label, state, any_value(owi) AS owi, count(*) FILTER (gmv IS NOT NULL AND abs(CAST(gmv AS DOUBLE) / n - printed) <= 0.00005 + 1e-9) AS candidates
+block("fit", """SELECT label, state, any_value(owi) AS owi, any_value(printed) AS printed, count(*) FILTER (gmv IS NOT NULL AND abs(CAST(gmv AS DOUBLE) / n - printed) <= 0.00005 + 1e-9) AS candidates
   FROM (SELECT *, CAST(round(CAST(gmv AS DOUBLE) / owi, 4) AS DECIMAL(24,4)) AS printed, unnest(generate_series(1, orders)) AS n FROM @ms@) GROUP BY label, state""")
 block("fitp", """SELECT label, primary_type, any_value(owi) AS owi, any_value(orders) AS orders,
   count(*) FILTER (gmv IS NOT NULL AND abs(CAST(gmv AS DOUBLE) / n - printed) <= 0.00005 + 1e-9) AS candidates
@@ -454,15 +463,17 @@ def older_checks() -> str:
 oracle("extract_reconciliation_without_components", f"SELECT check_name, result, count(*) AS n FROM ({older_checks()}) GROUP BY check_name, result")
 oracle("extract_violations", "SELECT '' AS extract, '' AS row_key, '' AS problem WHERE false")
 oracle("inferred_denominators", """SELECT label AS month_label, state AS customer_state, CASE WHEN candidates = 1 THEN owi END AS value,
-  CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, candidates FROM @fit@""")
+  CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, candidates,
+  CASE WHEN printed IS NULL THEN 'no ratio printed' WHEN candidates = 0 THEN 'nothing fits' WHEN candidates = 1 THEN 'one fits' ELSE 'more than one fits' END AS reason FROM @fit@""")
 oracle("inferred_numerators", f"""SELECT label AS month_label, CASE WHEN candidates = 1 THEN low END AS value,
-  CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, candidates FROM (
-  SELECT label, any_value(low) AS low, count(*) FILTER (abs(100.0 * k / reviewed - printed) <= 0.05 + 1e-9) AS candidates FROM (
+  CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, candidates,
+  CASE WHEN printed IS NULL THEN 'no rate printed' WHEN candidates = 0 THEN 'nothing fits' WHEN candidates = 1 THEN 'one fits' ELSE 'more than one fits' END AS reason FROM (
+  SELECT label, any_value(low) AS low, any_value(printed) AS printed, count(*) FILTER (abs(100.0 * k / reviewed - printed) <= 0.05 + 1e-9) AS candidates FROM (
     SELECT *, CAST(round({share('low', 'reviewed')}, 1) AS DECIMAL(24,1)) AS printed, unnest(generate_series(0, reviewed)) AS k FROM @mm@) GROUP BY label)""")
 oracle("typed_parse_of_text", f"""SELECT count(v) AS money, {big('sum(round(v * 100))', 'cents')}, count(v) FILTER (v = floor(v)) AS counts,
   {big('sum(v) FILTER (v = floor(v))', 'count_sum')}, count(v) AS numbers, count(*) - count(v) AS not_numbers FROM (
-  SELECT l_extendedprice AS v FROM lineitem UNION ALL SELECT l_quantity FROM lineitem UNION ALL SELECT l_discount FROM lineitem
-  UNION ALL SELECT CAST(NULL AS DOUBLE) FROM lineitem)""")
+  SELECT l_extendedprice AS v FROM lineitem UNION ALL SELECT l_quantity FROM lineitem UNION ALL SELECT l_discount FROM lineitem UNION ALL SELECT l_tax FROM lineitem
+  UNION ALL SELECT CAST(NULL AS DOUBLE) FROM lineitem UNION ALL SELECT CAST(NULL AS DOUBLE) FROM lineitem)""")
 
 # ---------------------------------------------------------------------------- selection roll-ups
 _SEL = f"label BETWEEN '{FIRST}' AND '{LAST}'"
@@ -491,7 +502,7 @@ def aov_cells(gmv: str, n: str) -> str:
 def one_cell(name: str, expression: str) -> str:
     return f"""CASE WHEN count(*) = 1 THEN 'ok' ELSE 'unavailable' END AS {name}_status, CASE WHEN count(*) = 1 THEN {big(f'sum({expression})', 'x')[:-5]} END AS {name}_value,
       CASE WHEN count(*) <> 1 THEN CAST(sum({expression}) AS BIGINT) END AS {name}_added,
-      CASE WHEN count(*) <> 1 THEN 'distinct within each cell; cells cannot be added' END AS {name}_reason"""
+      CASE WHEN count(*) <> 1 THEN 'a distinct count of one cell; not a sum over cells' END AS {name}_reason"""
 
 
 _GMV, _FR = "sum(CAST(gmv * 100 AS BIGINT))", "sum(CAST(freight * 100 AS BIGINT))"
@@ -558,7 +569,7 @@ oracle("win_lag_distribution", f"""SELECT count(lag) AS wins, min(lag) AS min_da
   {r6('quantile_cont(lag, 0.75)', 'p75_days')}, {r6('quantile_cont(lag, 0.9)', 'p90_days')}, max(lag) AS max_days FROM @lf@""")
 oracle("landing_page_cardinality", """SELECT count(*) AS distinct_keys, count(*) FILTER (n = 1) AS single_row_keys, max(n) AS largest_group
   FROM (SELECT page, count(*) AS n FROM @lead@ WHERE page IS NOT NULL GROUP BY page)""")
-_H = DESIGN.horizon_days
+_H = DESIGN.window
 
 
 def cohort(first: str, last: str, known: str) -> str:
@@ -566,10 +577,10 @@ def cohort(first: str, last: str, known: str) -> str:
       WHERE contact BETWEEN DATE '{first}' AND DATE '{last}'"""
 
 
-block("tr", cohort(DESIGN.train_start.isoformat(), "2024-01-12", DESIGN.as_of.isoformat()))
-block("te", cohort(DESIGN.score_start.isoformat(), DESIGN.score_end.isoformat(), "2024-01-31"))
+block("tr", cohort(DESIGN.learn_from.isoformat(), "2024-01-12", DESIGN.cut.isoformat()))
+block("te", cohort(DESIGN.judge.first.isoformat(), DESIGN.judge.last.isoformat(), "2024-01-31"))
 oracle("cohort_labels", " UNION ALL ".join(
-    f"""SELECT '{n}' AS cohort, count(*) AS leads, {big('sum(label)', 'positives')}, count(*) FILTER (contact + {_H + 1} > DATE '{DESIGN.as_of}') AS immature FROM @{t}@"""
+    f"""SELECT '{n}' AS cohort, count(*) AS leads, {big('sum(label)', 'positives')}, count(*) FILTER (contact + {_H + 1} > DATE '{DESIGN.cut}') AS immature FROM @{t}@"""
     for n, t in (("train", "tr"), ("score", "te"))))
 oracle("split_audit", f"""SELECT count(*) AS train_leads, min(contact) + 7 AS first_window_end, max(contact) + 7 AS last_window_end, min(contact) + 8 AS first_usable_on,
   max(contact) + 8 AS last_usable_on, {r6("CAST(count(*) FILTER (contact + 8 <= DATE '2024-01-16') AS DOUBLE) / count(*)", 'share_usable_at_cut')},
@@ -582,6 +593,18 @@ oracle("channel_baselines", f"""SELECT mql_id, CAST(label AS BIGINT) AS label, {
 oracle("encoder_moments", "SELECT " + ", ".join(
     f"{r6(f'avg({x})', f'mean_{n}')}, {r6(f'stddev_pop({x})', f'spread_{n}')}" for n, x in (("log_page_volume", _LOGV), ("contact_weekday", _DOW), ("is_weekend", _WKD))) + " FROM @tr@")
 
+oracle("lead_model_is_optimal", "SELECT count(*) AS training_rows, true AS gradient_is_zero FROM @tr@")
+
+
+def rated(name: str, score: str) -> str:
+    return f"""SELECT '{name}' AS model, count(*) AS n, {big('sum(label)', 'positives')}, {r6('avg(label)', 'prevalence')}, {r6('avg(score)', 'mean_score')},
+      {r6('avg((score - label) * (score - label))', 'brier')}, {r6("(sum(mid) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (CAST(sum(label) AS DOUBLE) * (count(*) - sum(label)))", 'auc')}
+      FROM (SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM (
+        SELECT label, {score} AS score FROM @te@ t LEFT JOIN (SELECT channel, avg(label) AS rate FROM @tr@ GROUP BY channel) c ON c.channel = t.channel))"""
+
+
+oracle("lead_baseline_metrics", rated("score_base", "(SELECT avg(label) FROM @tr@)") + " UNION ALL " + rated("score_channel", "coalesce(c.rate, (SELECT avg(label) FROM @tr@))"))
+
 # ---------------------------------------------------------------------------- score rankings
 oracle("score_steps", f"""SELECT {r6('score', 'score')}, count(*) AS n, {big('sum(label)', 'pos')}, {big('sum(count(*)) OVER w', 'n_upto')}, {big('sum(sum(label)) OVER w', 'pos_upto')}
   FROM @sc@ GROUP BY sc.score WINDOW w AS (ORDER BY sc.score DESC)""")
@@ -704,3 +727,38 @@ oracle("breakeven_exposed_basis", f"""SELECT segment, {r6('100 * pi', 'cost_per_
   {r6(f'5000 * {_HI} - 100 * pi', 'net_high')}, {r6(pays('d', '100 * pi'), 'breakeven_value')} FROM @st@""")
 oracle("exposure_trap", f"""SELECT {r6('d', 'itt')}, {r6('p_t / p_c - 1', 'relative_lift')}, {r6('px - p_c', 'naive_diff')}, {r6('px / p_c - 1', 'naive_relative')},
   {r6('never', 'never_taker_rate')}, {r6('never - p_c', 'never_taker_gap')}, {r6('(px / p_c - 1) / (p_t / p_c - 1)', 'overstatement')} FROM @sa@""")
+
+SQL["category_view_sparse"] = SQL["category_view"].replace(f"label BETWEEN '{FIRST}' AND", f"label <> '{FIRST}' AND label BETWEEN '{FIRST}' AND")
+oracle("month_selections", " UNION ALL ".join(
+    f"""SELECT '{a}' AS first, '{b}' AS last, {f"'{a} lies after {b}'" if a > b else f"CASE WHEN count(DISTINCT label) FILTER (label IN ('{a}', '{b}')) < {len({a, b})} THEN 'no data for an end of {a}..{b}' END"} AS problem FROM {'(SELECT 1)' if a > b else '@mm@'}"""
+    for a, b in ((FIRST, LAST), (FIRST, FIRST), ("2030-01", "2030-02"), (FIRST, "2030-01"), (LAST, FIRST))))
+
+
+def feasible(case: str, change: dict[str, str], status: str, problems: str) -> str:
+    cell = lambda name, n: f"CASE WHEN {n} = 0 THEN '{name}: empty, no interval' WHEN {n} < 10 THEN '{name}: under 10, interval is rough' END"
+    notes = [cell("treated, converted", "y_t"), cell("treated, not converted", "n_t - y_t"), cell("control, converted", "y_c"), cell("control, not converted", "n_c - y_c"),
+             "CASE WHEN y_t + y_c = 0 OR y_t + y_c = n_t + n_c THEN 'outcome does not vary: no z' END", "CASE WHEN n_exposed = 0 THEN 'nobody is exposed: no complier effect' END"]
+    warnings = f"concat_ws('; ', {', '.join(notes)})" if status == "ok" else "''"
+    ci = f"CASE WHEN y_t IN (0, n_t) OR y_c IN (0, n_c) THEN 'unavailable' WHEN {' OR '.join(f'({c} > 0 AND {c} < 10)' for c in ('y_t', 'n_t - y_t', 'y_c', 'n_c - y_c'))} THEN 'approximate' ELSE 'ok' END" if status == "ok" else "CAST(NULL AS VARCHAR)"
+    source = "SELECT * REPLACE (" + ", ".join(f"{v} AS {c}" for c, v in change.items()) + ") FROM @ac@" if change else "SELECT * FROM @ac@"
+    return f"SELECT segment, '{case}' AS \"case\", '{status}' AS status, {ci} AS itt_ci_status, '{problems}' AS problems, {warnings} AS warnings FROM ({source})"
+
+
+oracle("experiment_feasibility", " UNION ALL ".join((
+    feasible("as counted", {}, "ok", ""), feasible("too many", {"y_t": "n_t + 1"}, "invalid", "y_t: more than n_t; y_t - y_exposed: more than n_t - n_exposed"),
+    feasible("below zero", {"n_c": "-1"}, "invalid", "n_c: below zero; y_c: more than n_c"), feasible("no count", {"y_exposed": "NULL"}, "invalid", "y_exposed: no count"),
+    feasible("none converted", {"y_c": "0"}, "ok", ""), feasible("few converted", {"y_c": "3"}, "ok", ""),
+    feasible("no arm", {"n_c": "0", "y_c": "0"}, "invalid", "n_c: an arm without units"))))
+
+
+def tail_p(z: str) -> tuple[str, str]:
+    """p and log10 p of a normal z: the power series of the error function below 8, the tail series beyond."""
+    series = f"list_sum(list_transform(range(0, 220), lambda k: exp(k * ln(greatest({z} * {z}, 1e-300)) - list_sum(list_transform(range(0, k + 1), lambda j: ln(2 * j + 1))))))"
+    inner = f"1 - 2 * {z} * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series}"
+    tail = f"1 - 1 / ({z} * {z}) + 3 / pow({z}, 4) - 15 / pow({z}, 6)"
+    return inner, f"(ln(2) - {z} * {z} / 2 - ln(2 * pi()) / 2 - ln({z}) + ln({tail})) / ln(10)"
+
+
+_P, _LOGP = tail_p("abs(z)")
+oracle("experiment_p_values", f"""SELECT segment, {r6('z', 'z')}, {r6(f"CASE WHEN abs(z) >= 8 THEN 0.0 ELSE {_P} END", 'p_value')},
+  {r6(f"CASE WHEN abs(z) >= 8 THEN {_LOGP} ELSE log10({_P}) END", 'log10_p')} FROM @st@""")

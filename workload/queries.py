@@ -13,7 +13,7 @@ from ledgerloom.functions import measures as ms
 from ledgerloom.functions.status import flatten
 from ledgerloom.operators import extracts, grain, infer, order_stats, point_in_time, ranking
 from ledgerloom.plans import cohorts, experiment, facts, lead_features, marts, order_grain, rollups, segments
-from ledgerloom.session import staging_root
+from ledgerloom.session import stage, staging_root
 from ledgerloom.sources import readers, sinks, trade_tables
 
 from .world import HORIZON, WINDOW, World, tidy
@@ -24,8 +24,8 @@ QUERIES: dict[str, Query] = {}
 FIRST, LAST = "1997-01", "1999-12"
 #: Dates of the cohort queries; the leads cover January 2024.
 DESIGN = cohorts.CohortDesign(
-    name="one-week outcome", train_start=dt.date(2024, 1, 1), as_of=dt.date(2024, 1, 20), score_start=dt.date(2024, 1, 20),
-    score_end=dt.date(2024, 1, 23), outcome_observed_through=dt.date(2024, 1, 30), horizon_days=7)
+    name="one-week outcome", learn_from=dt.date(2024, 1, 1), cut=dt.date(2024, 1, 20),
+    judge=cohorts.Days(dt.date(2024, 1, 20), dt.date(2024, 1, 23)), seen_to=dt.date(2024, 1, 30), window=7)
 
 
 def query(build: Callable[[World], DataFrame]) -> Callable[[World], DataFrame]:
@@ -329,6 +329,14 @@ def equal_rowcounts(w: World) -> DataFrame:
     return grain.equal_rowcount(w.staged("orders"), w.enriched)
 
 
+@query
+def fanout_hot_keys(w: World) -> DataFrame:
+    """The same for all orders, lines and payments on three keys: products of counts far beyond any real join."""
+    few = lambda role: w.staged(role).withColumn("order_id", F.col("order_id").cast("bigint") % 3)
+    children = {"items": few("order_items"), "payments": few("order_payments")}
+    return grain.fanout_report(few("orders"), children, "order_id", {"items": "item_total_brl", "payments": "payment_value_brl"})
+
+
 @query
 def money_survives(w: World) -> DataFrame:
     items = [("item_price_brl", "items_price_brl"), ("item_freight_brl", "items_freight_brl"), ("item_total_brl", "items_total_brl")]
@@ -405,7 +413,7 @@ def inferred_denominators(w: World) -> DataFrame:
     w.keep("state")
     printed = F.round("aov_brl", 4).cast("decimal(24,4)").cast("string")
     solved = w.state.withColumn("i", infer.aov_denominator(F.col("gmv_brl").cast("string"), printed, F.col("orders")))
-    return solved.select("month_label", "customer_state", F.col("i.value").alias("value"), F.col("i.status").alias("status"), F.col("i.candidates").alias("candidates"))
+    return solved.select("month_label", "customer_state", F.col("i.value").alias("value"), F.col("i.status").alias("status"), F.col("i.candidates").alias("candidates"), F.col("i.reason").alias("reason"))
 
 
 @query
@@ -414,7 +422,7 @@ def inferred_numerators(w: World) -> DataFrame:
     w.keep("monthly")
     printed = F.round("low_score_rate_pct", 1).cast("decimal(24,1)").cast("string")
     solved = w.monthly.withColumn("i", infer.infer_numerator(printed, F.col("reviewed_orders")))
-    return solved.select("month_label", F.col("i.value").alias("value"), F.col("i.status").alias("status"), F.col("i.candidates").alias("candidates"))
+    return solved.select("month_label", F.col("i.value").alias("value"), F.col("i.status").alias("status"), F.col("i.candidates").alias("candidates"), F.col("i.reason").alias("reason"))
 
 
 @query
@@ -422,7 +430,7 @@ def typed_parse_of_text(w: World) -> DataFrame:
     """Strict parsing of line columns as text: how many cells are money, counts, numbers."""
     from ledgerloom.functions.text import finite_number, money_cents, whole_count
 
-    texts = union([w.table("lineitem").select(F.col(c).cast("string").alias("t")) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_returnflag")])
+    texts = union([w.table("lineitem").select(F.col(c).cast("string").alias("t")) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")])
     read = texts.selectExpr(f"{money_cents('t')} AS m", f"{whole_count('t')} AS c", f"{finite_number('t')} AS f")
     return read.agg(F.count("m.value").alias("money"), F.sum("m.value").alias("cents"), F.count("c.value").alias("counts"),
                     F.sum("c.value").alias("count_sum"), F.count("f.value").alias("numbers"), F.count("f.problem").alias("not_numbers"))
@@ -434,6 +442,19 @@ def overview(w: World) -> DataFrame:
     return flatten(rollups.overview(w.rollup_input("monthly"), FIRST, LAST))
 
 
+@query
+def month_selections(w: World) -> DataFrame:
+    """Ranges with both ends in the data, with unknown ends and reversed ones."""
+    return rollups.selections(w.rollup_input("monthly"), [(FIRST, LAST), (FIRST, FIRST), ("2030-01", "2030-02"), (FIRST, "2030-01"), (LAST, FIRST)])
+
+
+@query
+def category_view_sparse(w: World) -> DataFrame:
+    """A month that the data has and the category mart lacks is no error."""
+    sparse = w.rollup_input("category").where(F.col("month_label") != FIRST)
+    return flatten(rollups.categories(sparse, FIRST, LAST, months=w.rollup_input("monthly")).rows)
+
+
 @query
 def overview_single_month(w: World) -> DataFrame:
     return flatten(rollups.overview(w.rollup_input("monthly"), FIRST, FIRST))
@@ -538,8 +559,8 @@ def landing_page_cardinality(w: World) -> DataFrame:
 def cohort_labels(w: World) -> DataFrame:
     """Both cohorts of a design: size, positives, immature labels."""
     parts = []
-    for name, cohort, known in (("train", DESIGN.training(w.leads), DESIGN.as_of), ("score", DESIGN.scoring(w.leads), DESIGN.as_of)):
-        mature_on = F.date_add("first_contact_date", DESIGN.horizon_days + 1)
+    for name, cohort, known in (("train", DESIGN.training(w.leads), DESIGN.cut), ("score", DESIGN.scoring(w.leads), DESIGN.cut)):
+        mature_on = F.date_add("first_contact_date", DESIGN.window + 1)
         parts.append(cohort.agg(F.count("*").alias("leads"), F.sum("label").alias("positives"), F.count_if(mature_on > F.lit(known)).alias("immature"))
                      .select(F.lit(name).alias("cohort"), "leads", "positives", "immature"))
     return union(parts)
@@ -571,9 +592,18 @@ def encoder_moments(w: World) -> DataFrame:
 
 @query
 def lead_model_metrics(w: World) -> DataFrame:
-    """Fitted models evaluated on the scoring cohort; boosting with few rounds to keep the query short."""
+    """Both baselines and both fitted models, with all their rounds, evaluated on the scoring cohort."""
     w.keep("leads")
-    return cohorts.run_design(w.leads, DESIGN, rounds=10).metrics
+    return cohorts.run_design(w.leads, DESIGN).metrics
+
+
+@query
+def lead_baseline_metrics(w: World) -> DataFrame:
+    """The part of the evaluation that needs no fitted model: the overall and the channel rate as scores."""
+    train, score = (lead_features.design_matrix(x) for x in (DESIGN.training(w.leads), DESIGN.scoring(w.leads)))
+    scored, _ = stage(cohorts.baselines(train, score).select("mql_id", "label", "score_base", "score_channel"), "baselines")
+    return ranking.evaluate_scores(scored, ["score_base", "score_channel"], "mql_id", "label").select(
+        "model", "n", "positives", "prevalence", "mean_score", "brier", "auc")
 
 
 @query
@@ -582,6 +612,15 @@ def lead_model_weights(w: World) -> DataFrame:
     return cohorts.run_design(w.leads, DESIGN, boosted=False).weights
 
 
+@query
+def lead_model_is_optimal(w: World) -> DataFrame:
+    """The fitted logistic weights are where the gradient of the penalised loss is zero."""
+    w.keep("leads")
+    run = cohorts.run_design(w.leads, DESIGN, boosted=False)
+    return cohorts.penalised_gradient(run.inputs, run.logistic).select(
+        F.col("n").alias("training_rows"), (F.col("largest") < 1e-3 * F.col("n")).alias("gradient_is_zero"))
+
+
 # ------------------------------------------------------------------ score rankings
 @query
 def score_steps(w: World) -> DataFrame:
@@ -629,7 +668,18 @@ def arm_counts(w: World) -> DataFrame:
 @query
 def experiment_readout(w: World) -> DataFrame:
     """Every statistic but the tail areas, per year."""
-    return experiment.analyse(w.rct, ["segment"]).drop("problems", "p_value", "log10_p")
+    return experiment.analyse(w.rct, ["segment"]).drop("problems", "warnings", "p_value", "log10_p")
+
+
+@query
+def experiment_feasibility(w: World) -> DataFrame:
+    """Counts that no experiment can have, boundary and small cells, made from the real arm counts per segment."""
+    counts = experiment.arm_counts(w.rct, ["segment"])
+    cases = {"as counted": {}, "too many": {"y_t": F.col("n_t") + 1}, "below zero": {"n_c": F.lit(-1).cast("bigint")}, "no count": {"y_exposed": F.lit(None).cast("bigint")},
+             "none converted": {"y_c": F.lit(0).cast("bigint")}, "few converted": {"y_c": F.lit(3).cast("bigint")}, "no arm": {"n_c": F.lit(0).cast("bigint"), "y_c": F.lit(0).cast("bigint")}}
+    damaged = union([counts.withColumns({c: v for c, v in change.items()}).withColumn("case", F.lit(name)) for name, change in cases.items()])
+    out = experiment.analyse_counts(damaged)
+    return out.select("segment", "case", "status", "itt_ci_status", F.array_join("problems", "; ").alias("problems"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query
