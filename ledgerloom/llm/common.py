@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +98,19 @@ class SpanHasher:
         return mix((sums[ends] - sums[starts]) * self.inverses[starts] + length)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs that run inside the block, where a task makes several times the
+    size of a batch from it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pieces(total: int, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` a total makes; grows with the data, so that no part does."""
     return int(max(least, -(-total // each)))
