@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from .queries import DESIGN, FIRST, LAST
+from .queries import DESIGN, FIRST, GAP, LAST
 from .world import HORIZON, SCOPE_FROM, WINDOW
 
 SQL: dict[str, str] = {}
@@ -462,6 +462,13 @@ def older_checks() -> str:
 
 oracle("extract_reconciliation_without_components", f"SELECT check_name, result, count(*) AS n FROM ({older_checks()}) GROUP BY check_name, result")
 oracle("extract_violations", "SELECT '' AS extract, '' AS row_key, '' AS problem WHERE false")
+oracle("extract_violations_damaged", " UNION ALL ".join([
+    "SELECT 'monthly' AS extract, '' AS row_key, 'months are not contiguous' AS problem",
+    *[f"SELECT '{n}' AS extract, '{GAP}' AS row_key, 'month outside the monthly extract' AS problem" for n in ("category", "state", "payment")],
+    "SELECT 'state', '2031-01', 'month outside the monthly extract'",
+    f"SELECT 'payment', concat_ws('/', label, primary_type), 'date is no first of a month' FROM @mp@ WHERE label = '{LAST}'",
+    f"SELECT 'category', concat_ws('/', label, category), 'duplicate key' FROM @mc@ WHERE label = '{LAST}'",
+    f"SELECT 'category', concat_ws('/', label, category), 'orders between 1 and lines' FROM @mc@ WHERE label = '{FIRST}'"]))
 oracle("inferred_denominators", """SELECT label AS month_label, state AS customer_state, CASE WHEN candidates = 1 THEN owi END AS value,
   CASE WHEN candidates = 1 THEN 'inferred' ELSE 'unavailable' END AS status, candidates,
   CASE WHEN printed IS NULL THEN 'no ratio printed' WHEN candidates = 0 THEN 'nothing fits' WHEN candidates = 1 THEN 'one fits' ELSE 'more than one fits' END AS reason FROM @fit@""")
@@ -561,6 +568,9 @@ oracle("lead_features_table", f"""SELECT mql_id, won AS is_won, ever AS is_won_e
   dayofweek(contact) IN (0, 6) AS is_weekend_contact, date_diff('day', (SELECT min(contact) FROM @lead@), contact) AS days_since_campaign_start FROM @lf@""")
 oracle("lead_contract", f"""SELECT mql_id, won AS is_won, lag AS days_to_win, contact + {HORIZON + 1} AS label_mature_on, page_n AS page_lead_volume, prior_n AS page_lead_volume_prior
   FROM @lf@ WHERE won <> coalesce(lag BETWEEN 0 AND {HORIZON}, false) OR prior_n > page_n - 1""")
+oracle("lead_contract_damaged", f"""SELECT mql_id, CASE WHEN mql_id % 97 = 0 THEN NOT won ELSE won END AS is_won, lag AS days_to_win,
+  contact + {HORIZON + 1} + CASE WHEN mql_id % 97 = 1 THEN 1 ELSE 0 END AS label_mature_on, page_n AS page_lead_volume, CASE WHEN mql_id % 97 = 2 THEN page_n ELSE prior_n END AS page_lead_volume_prior
+  FROM @lf@ WHERE mql_id % 97 < 2 OR mql_id % 97 = 2 AND page_n IS NOT NULL""")
 oracle("prior_counts_agree", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM @lead@")
 _CONV = f"count(*) AS leads, count(*) FILTER (won) AS won, {r6(share('count(*) FILTER (won)', 'count(*)'), 'conversion_pct')}"
 oracle("conversion_by_cohort", f"SELECT CAST(date_trunc('month', contact) AS DATE) AS cohort_month, {_CONV} FROM @lf@ GROUP BY 1")

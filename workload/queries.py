@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 FIRST, LAST = "1997-01", "1999-12"
+#: The month that the damaged extracts lack.
+GAP = "1998-06"
 #: Dates of the cohort queries; the leads cover January 2024.
 DESIGN = cohorts.CohortDesign(
     name="one-week outcome", learn_from=dt.date(2024, 1, 1), cut=dt.date(2024, 1, 20),
@@ -407,6 +409,21 @@ def extract_violations(w: World) -> DataFrame:
     return extracts.assemble(w.text_extracts()).violations
 
 
+@query
+def extract_violations_damaged(w: World) -> DataFrame:
+    """What the contract finds inside damaged files and in their month lists: a month missing from the monthly file, dates that
+    are no first of a month, a month that only one file has, repeated rows, and counts that break a rule.
+    (Totals across files have queries of their own.)"""
+    texts = w.text_extracts()
+    label = F.col("month_label")
+    texts["monthly"] = texts["monthly"].where(label != GAP)
+    texts["payment"] = texts["payment"].withColumn("purchase_month", F.when(label == LAST, F.lit(f"{LAST}-02")).otherwise(F.col("purchase_month")))
+    texts["state"] = texts["state"].withColumns({
+        "purchase_month": F.when(label == LAST, F.lit("2031-01-01")).otherwise(F.col("purchase_month")), "month_label": F.when(label == LAST, F.lit("2031-01")).otherwise(label)})
+    texts["category"] = union([texts["category"].withColumn("orders", F.when(label == FIRST, F.lit("0")).otherwise(F.col("orders"))), texts["category"].where(label == LAST)])
+    return extracts.assemble(texts).violations.where("extract <> 'all'")
+
+
 @query
 def inferred_denominators(w: World) -> DataFrame:
     """Orders with items per state and month, recovered from order value printed to four decimals."""
@@ -528,6 +545,17 @@ def lead_contract(w: World) -> DataFrame:
     return grain.lead_label_contract(w.leads, HORIZON)
 
 
+@query
+def lead_contract_damaged(w: World) -> DataFrame:
+    """The same with some labels turned over, some maturity dates a day late, some counts that include the lead."""
+    turn = F.col("mql_id").cast("bigint") % 97
+    damaged = w.leads.withColumns({
+        "is_won": F.when(turn == 0, ~F.col("is_won")).otherwise(F.col("is_won")),
+        "label_mature_on": F.when(turn == 1, F.date_add("label_mature_on", 1)).otherwise(F.col("label_mature_on")),
+        "page_lead_volume_prior": F.when((turn == 2) & F.col("page_lead_volume").isNotNull(), F.col("page_lead_volume")).otherwise(F.col("page_lead_volume_prior"))})
+    return grain.lead_label_contract(damaged, HORIZON)
+
+
 @query
 def prior_counts_agree(w: World) -> DataFrame:
     """The running-day count against a range window over rows."""
