@@ -1,4 +1,4 @@
-"""Exact medians per key that never hold a whole group in one task."""
+"""Exact medians per key; at most a five-hundredth of the distinct values of a group meet in one task."""
 
 from __future__ import annotations
 
@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sketch brackets the middle between these ranks; its own rank error is 1 / 10,000.
-BRACKET = (0.45, 0.55)
+#: The sketch brackets the middle between these ranks, ten times its own rank error of 1 / 10,000 to either side.
+BRACKET = (0.499, 0.501)
 SKETCH_ACCURACY = 10_000
 
 
 def exact_medians(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """One row per key (that has any value) with the interpolated median of each column.
 
-    Pass 1 is a mergeable quantile sketch per key, which brackets the middle tenth of each group.
+    Pass 1 is a mergeable quantile sketch per key, which brackets the middle five-hundredth of each group.
     Pass 2 counts what lies below the bracket and ranks only the distinct values inside it. The
     bracket is checked against the exact counts, so the result never depends on sketch accuracy.
     """

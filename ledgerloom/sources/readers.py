@@ -12,11 +12,15 @@ from pyspark.sql import types as T
 from .schemas import COST_WORDS, raw_schema
 
 
+#: Roles whose cells may hold line breaks; files of all others can be split.
+FREE_TEXT = frozenset({"order_reviews"})
+
+
 def read_raw(spark: SparkSession, path: str, role: str, fmt: str = "csv") -> DataFrame:
     """A raw source with its declared schema; header order must match, as the CSV reader enforces."""
     reader = spark.read.schema(raw_schema(role))
     if fmt == "csv":
-        return reader.option("header", True).option("enforceSchema", False).option("multiLine", True).option(
+        return reader.option("header", True).option("enforceSchema", False).option("multiLine", role in FREE_TEXT).option(
             "escape", '"').csv(path)
     return reader.format(fmt).load(path)
 

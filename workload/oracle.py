@@ -191,6 +191,7 @@ oracle("staged_products", f"""SELECT product_id, cat_pt AS product_category_pt,
 oracle("staged_sellers", "SELECT seller_id, zip AS seller_zip_prefix, city AS seller_city, state AS seller_state FROM @sell@")
 oracle("staged_geolocation", f"SELECT zip AS zip_prefix, {r6('lat', 'latitude')}, {r6('lng', 'longitude')}, city, state FROM @pt@")
 oracle("staged_product_categories", "SELECT cat_pt AS product_category_pt, cat_en AS product_category_en FROM @lookup@")
+oracle("csv_round_trip", "SELECT CAST(mql_id AS VARCHAR) AS mql_id, contact AS first_contact_date, page AS landing_page_id, origin AS lead_origin_channel FROM @lead@")
 oracle("staged_leads", "SELECT mql_id, contact AS first_contact_date, page AS landing_page_id, origin AS lead_origin_channel FROM @lead@")
 _NONE = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in (
     "sdr_id", "sr_id", "business_segment", "lead_type", "lead_behaviour_profile", "has_company", "has_gtin", "average_stock", "business_type"))
@@ -692,6 +693,7 @@ def stats(source: str) -> str:
 block("st", stats("@ac@"))
 block("sa", stats("@aa@"))
 _SIX = ", ".join(big(c, c) for c in ("n_t", "y_t", "n_c", "y_c", "n_exposed", "y_exposed"))
+oracle("documented_counts", f"SELECT {_SIX} FROM @aa@")
 oracle("arm_counts", f"SELECT segment, {_SIX} FROM @ac@")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import reduce, wraps
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import measures as ms
 from ledgerloom.functions.status import flatten
 from ledgerloom.operators import extracts, grain, infer, order_stats, point_in_time, ranking
-from ledgerloom.plans import cohorts, experiment, facts, lead_features, marts, order_grain, rollups, segments
+from ledgerloom.plans import cohorts, experiment, facts, lead_features, marts, order_grain, rollups, segments, staging
 from ledgerloom.session import stage, staging_root
 from ledgerloom.sources import readers, sinks, trade_tables
 
@@ -68,6 +69,28 @@ for _role in trade_tables.RAW:
     _staging_query(_role)
 
 
+def _scratch(w: World, name: str) -> str:
+    return f"{staging_root(w.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(w: World) -> DataFrame:
+    """A raw role with NULLs, written as unordered CSV files and read with its declared schema."""
+    path = _scratch(w, "leads-csv")
+    sinks.export_csv(w.raw("leads"), path)
+    return staging.stage_all({"leads": readers.read_raw(w.spark, path, "leads")})["leads"]
+
+
+@query
+def documented_counts(w: World) -> DataFrame:
+    """Arm counts written as one JSON document and read back."""
+    path = _scratch(w, "counts")
+    counts = experiment.arm_counts(w.rct)
+    inferred = F.struct(F.struct(F.col("y_exposed").alias("value")).alias("y_exposed"))
+    counts.select(F.to_json(F.struct(F.struct("n_t", "y_t", "n_c", "y_c", "n_exposed").alias("counts"), inferred.alias("inferred")))).write.text(path)
+    return readers.read_documented_counts(w.spark, path)
+
+
 @query
 def verified_exports(w: World) -> DataFrame:
     """Each mart written as ordered CSV, read back and compared to the cent."""
