@@ -193,15 +193,14 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: F.Column | None = None, scal
         for r in rows.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
             m = np.frombuffer(r["matrix"], r["kind"]).reshape(len(ids), r["width"])
+            width = max(1, r["width"], *queries.column("width").to_pylist())
+            m = np.pad(m, ((0, 0), (0, width - r["width"])))
+            slices, low = slices_of(m.astype(np.int64), n_slices)
             for q in queries.to_pylist():
                 asked_ids = np.frombuffer(q["ids"], np.int64)
                 qs = np.frombuffer(q["matrix"], q["kind"]).reshape(len(asked_ids), q["width"]).astype(np.int64)
-                width = max(m.shape[1], qs.shape[1], 1)
-                wide = np.pad(m, ((0, 0), (0, width - m.shape[1])))
-                qs = np.pad(qs, ((0, 0), (0, width - qs.shape[1])))
-                slices, low = slices_of(wide.astype(np.int64), n_slices)
-                for query_id, query in zip(asked_ids, qs, strict=True):
-                    found, scores = best_of_block(ids, wide, slices, low, query_id, query, k)
+                for query_id, query in zip(asked_ids, np.pad(qs, ((0, 0), (0, width - q["width"]))), strict=True):
+                    found, scores = best_of_block(ids, m, slices, low, query_id, query, k)
                     out += [(int(query_id), None if i == LAST else int(i), int(s)) for i, s in zip(found, scores, strict=True)]
         return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
