@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,14 @@ def _share_of_month(value: str) -> Column:
     return percent(value, F.sum(value).over(Window.partitionBy("purchase_month")))
 
 
+def _with_people(sums: DataFrame, inside: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds exact distinct people per cell from an aggregate of its own: its rows carry keys only, and the sums
+    collapse to cells before they move."""
+    people = inside.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.countDistinct("customer_unique_id").alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return sums.join(people, same).drop(*[f"_{k}" for k in keys])
+
+
 def monthly_performance(orders: DataFrame) -> DataFrame:
     """One row per month of the analysis window: headline metrics, their additive components, and
     the population that a by-instrument mart leaves out."""
@@ -23,9 +34,9 @@ def monthly_performance(orders: DataFrame) -> DataFrame:
     low = F.col("latest_review_score") <= 2
     no_primary = F.col("primary_payment_type").isNull()
     days = "days_purchase_to_delivery"
-    sums = orders.where("is_in_analysis_window").groupBy("purchase_month").agg(
+    inside = orders.where("is_in_analysis_window")
+    sums = inside.groupBy("purchase_month").agg(
         F.count("*").alias("orders"),
-        F.countDistinct("customer_unique_id").alias("active_customers"),
         F.sum("items_total_brl").alias("gmv_brl"),
         F.sum("items_price_brl").alias("goods_brl"),
         F.sum("items_freight_brl").alias("freight_brl"),
@@ -54,7 +65,7 @@ def monthly_performance(orders: DataFrame) -> DataFrame:
         F.coalesce(sum_where("items_total_brl", no_primary), F.lit(0)).alias("gmv_no_primary_payment_brl"),
         F.coalesce(sum_where("payment_total_brl", no_primary), F.lit(0)).alias("payment_no_primary_payment_brl"),
     )
-    return sums.select(
+    return _with_people(sums, inside, ["purchase_month"], "active_customers").select(
         "purchase_month", month_label("purchase_month").alias("month_label"),
         "orders", "active_customers", "gmv_brl", "goods_brl", "freight_brl", "payment_brl", "orders_with_items",
         ratio("gmv_brl", "orders_with_items").alias("aov_brl"),
@@ -106,9 +117,9 @@ def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame
 def state_performance(orders: DataFrame) -> DataFrame:
     """One row per month and customer state."""
     days = "days_purchase_to_delivery"
-    sums = orders.where("is_in_analysis_window").groupBy("purchase_month", "customer_state").agg(
+    inside = orders.where("is_in_analysis_window")
+    sums = inside.groupBy("purchase_month", "customer_state").agg(
         F.count("*").alias("orders"),
-        F.countDistinct("customer_unique_id").alias("customers"),
         F.sum("items_total_brl").alias("gmv_brl"),
         F.sum("items_freight_brl").alias("freight_brl"),
         avg_where(days, "is_delivered").alias("avg_delivery_days"),
@@ -121,7 +132,7 @@ def state_performance(orders: DataFrame) -> DataFrame:
         F.sum("avg_review_score").alias("review_score_sum"),
         F.count("avg_review_score").alias("review_score_n"),
     )
-    return sums.select(
+    return _with_people(sums, inside, ["purchase_month", "customer_state"], "customers").select(
         "purchase_month", month_label("purchase_month").alias("month_label"), "customer_state",
         "orders", "customers", "gmv_brl", "freight_brl",
         ratio("gmv_brl", "orders_with_items").alias("aov_brl"),

@@ -94,7 +94,7 @@ def documented_counts(w: World) -> DataFrame:
 @query
 def verified_exports(w: World) -> DataFrame:
     """Each mart written as ordered CSV, read back and compared to the cent."""
-    w.keep("fct_orders")
+    w.keep("mart_orders")
     root = f"{staging_root(w.spark)}/exports-{w.spark.sparkContext.applicationId}-{id(w)}"
     keys = {"monthly": ["purchase_month"], "category": ["purchase_month", "product_category"],
             "state": ["purchase_month", "customer_state"], "payment": ["purchase_month", "primary_payment_type"]}
@@ -192,21 +192,18 @@ def payment_performance(w: World) -> DataFrame:
 
 @query
 def customer_segments(w: World) -> DataFrame:
-    w.keep("enriched")
     w.keep("people")
     return segments.customer_segments(w.people, w.fct_orders)
 
 
 @query
 def segment_profile(w: World) -> DataFrame:
-    w.keep("enriched")
     w.keep("people")
     return segments.segment_profile(segments.customer_segments(w.people, w.fct_orders))
 
 
 @query
 def segment_matrix(w: World) -> DataFrame:
-    w.keep("enriched")
     w.keep("people")
     return segments.score_matrix(segments.customer_segments(w.people, w.fct_orders))
 
@@ -214,7 +211,6 @@ def segment_matrix(w: World) -> DataFrame:
 @query
 def quintile_evenness(w: World) -> DataFrame:
     """Bucket count and size spread on both axes."""
-    w.keep("enriched")
     w.keep("people")
     scored = segments.customer_segments(w.people, w.fct_orders)
     return union([grain.bucket_spread(scored.groupBy(axis).agg(F.count("*").alias("n")), axis) for axis in ("r_score", "m_score")])
@@ -375,16 +371,17 @@ def facts_agree(w: World) -> DataFrame:
 
 @query
 def metric_layer_reconciles(w: World) -> DataFrame:
-    w.keep("fct_orders")
-    return grain.metric_layer_reconciles(w.fct_orders, w.fct_lines, w.monthly, w.category, w.state, w.payment,
+    w.keep("mart_orders")
+    w.keep("mart_lines")
+    return grain.metric_layer_reconciles(w.mart_orders, w.mart_lines, w.monthly, w.category, w.state, w.payment,
                                          ms.in_half_open("purchased_at", *WINDOW))
 
 
 @query
 def additive_components_agree(w: World) -> DataFrame:
-    for name in ("fct_orders", "monthly", "payment"):
+    for name in ("mart_orders", "monthly", "payment"):
         w.keep(name)
-    return grain.additive_components_agree(w.fct_orders, w.monthly, w.state, w.payment)
+    return grain.additive_components_agree(w.mart_orders, w.monthly, w.state, w.payment)
 
 
 @query

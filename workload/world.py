@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.measures import in_half_open
 from ledgerloom.plans import facts, lead_features, marts, order_grain, rollups, staging
 from ledgerloom.session import stage
 from ledgerloom.sources import trade_tables
@@ -15,6 +16,13 @@ from ledgerloom.sources import trade_tables
 WINDOW = ("1996-01-01", "2001-01-01")
 HORIZON = 90
 SCOPE_FROM = "2024-01-10"
+MART_ORDERS = (
+    "order_id", "purchase_month", "is_in_analysis_window", "customer_unique_id", "customer_state", "items_total_brl", "items_price_brl",
+    "items_freight_brl", "payment_total_brl", "has_no_items", "has_no_review", "latest_review_score", "primary_payment_type", "days_purchase_to_delivery",
+    "is_canceled", "is_delivered", "is_delivered_late", "delivered_at", "avg_review_score", "item_count", "max_installments")
+MART_LINES = (
+    "purchased_at", "purchase_month", "product_category", "order_id", "customer_unique_id", "product_id", "seller_id", "item_total_brl", "item_price_brl",
+    "item_freight_brl", "has_no_category", "missing_translation")
 
 
 class World:
@@ -63,6 +71,16 @@ class World:
     def fct_orders(self) -> DataFrame:
         return facts.fct_orders(self.enriched, facts.dim_geography(self.centroid), WINDOW)
 
+    @cached_property
+    def mart_orders(self) -> DataFrame:
+        """What marts and their checks read of the order fact; this is what is written when several of them do."""
+        return self.fct_orders.where("is_in_analysis_window").select(*MART_ORDERS)
+
+    @cached_property
+    def mart_lines(self) -> DataFrame:
+        """The same of the line fact."""
+        return self.fct_lines.where(in_half_open("purchased_at", *WINDOW)).select(*MART_LINES)
+
     @cached_property
     def products(self) -> DataFrame:
         return facts.dim_products(self.staged("products"), self.staged("product_categories"))
@@ -78,19 +96,19 @@ class World:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return marts.monthly_performance(self.fct_orders)
+        return marts.monthly_performance(self.mart_orders)
 
     @cached_property
     def category(self) -> DataFrame:
-        return marts.category_performance(self.keep("fct_lines"), WINDOW)
+        return marts.category_performance(self.keep("mart_lines"), WINDOW)
 
     @cached_property
     def state(self) -> DataFrame:
-        return marts.state_performance(self.fct_orders)
+        return marts.state_performance(self.mart_orders)
 
     @cached_property
     def payment(self) -> DataFrame:
-        return marts.payment_performance(self.fct_orders)
+        return marts.payment_performance(self.mart_orders)
 
     @cached_property
     def leads(self) -> DataFrame:
@@ -109,7 +127,7 @@ class World:
         an extract several times want it ``written``."""
         from ledgerloom.sources.schemas import EXTRACT_COLUMNS
 
-        self.keep("fct_orders")
+        self.keep("mart_orders")
         texts = {}
         for name, columns in EXTRACT_COLUMNS.items():
             mart = self.keep(name) if written else getattr(self, name)
