@@ -31,7 +31,7 @@ REACH, EVERY, LEAST, MOST = 32, 1024, 256, 8192
 #: Bytes of a window on either side of a cut; a piece's extent depends on no more than ``LOOK`` bytes behind it.
 WINDOW, LOOK = 48, 16
 #: Bytes of distinct chunks that a task remembers.
-REMEMBER = 32 << 20
+REMEMBER = 12 << 20
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:

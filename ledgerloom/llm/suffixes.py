@@ -34,8 +34,9 @@ from .common import SpanHasher, column_bytes, mix, pieces, slices, text_bytes
 
 #: Bytes of a match; bytes of a sampled gram.
 LENGTH, GRAM = 50, 8
-#: Text in one part of the suffix space, in one group of documents, in one pass of a map task, all in bytes.
-PART, GROUP, TASK = 3 << 20, 6 << 20, 8 << 20
+#: Text in one part of the suffix space, in one group of documents, in what a map task
+#: packs together, and in one pass of array work, all in bytes.
+PART, GROUP, TASK, PASS = 3 << 20, 6 << 20, 16 << 20, 1 << 20
 #: Windows in a batch of a part.
 BATCH = 1 << 18
 
@@ -101,11 +102,11 @@ def span_rows(documents: DataFrame, parts: int, length: int, gram: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher(3)
-        for batch in batches:
-            data, at = column_bytes(batch.column("text"))
-            ids, marks = batch.column("doc_id").to_numpy(zero_copy_only=False), tags(data, at)
+        for piece in (batch.slice(a, b - a) for batch in batches for a, b in slices(column_bytes(batch.column("text"))[1], TASK)):
+            data, at = column_bytes(piece.column("text"))
+            ids, marks = piece.column("doc_id").to_numpy(zero_copy_only=False), tags(data, at)
             found = []
-            for a, b in slices(at, TASK):
+            for a, b in slices(at, PASS):
                 owner, first, count, key = sampled(data[at[a]:at[b]], at[a:b + 1] - at[a], length, gram)
                 found.append((owner + a, first + at[a], count, key))
             owner, first, count, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
