@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,16 @@ class SpanHasher:
         return mix((sums[ends] - sums[starts]) * self.inverses[starts] + length)
 
 
+def lean() -> None:
+    """For the start of a task's work and for after a large piece of it: freed arrays go back to the system at once, so that a
+    Python worker, which lives on from task to task, holds what it uses and not what it once used. Only glibc has this."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: blocks from 1 MB on are mapped, and unmapped when freed
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of fewer rows for the jobs that run inside the block, where a task makes several times the

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, column_bytes, pieces, word_spans
+from .common import ALNUM, LOWER, column_bytes, lean, pieces, word_spans
 
 #: Words in a window; windows in one automaton (at about 80 characters each, some 100 MB).
 WIDTH, WINDOWS = 13, 20_000
@@ -60,6 +60,7 @@ def scan(documents: DataFrame, patterns: list[tuple[bytes, list[str]]]) -> DataF
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
+        lean()
         automaton = ahocorasick.Automaton()
         for k, (window, _) in enumerate(shared.value):
             automaton.add_word(f" {window.decode('latin-1')} ", k)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytepair import Coder, Vocabulary
-from .common import SpanHasher, column_bytes, slices
+from .common import SpanHasher, column_bytes, lean, slices
 
 #: Bytes that decide on a cut; one cut in so many bytes; shortest and longest chunk.
 REACH, EVERY, LEAST, MOST = 32, 1024, 256, 8192
@@ -163,6 +163,7 @@ def encoded(vocabulary: Vocabulary, text: Column, documents: DataFrame, with_ids
     shared = documents.sparkSession.sparkContext.broadcast(vars(vocabulary))  # the size of a vocabulary file
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
         coder = ChunkCoder(SimpleNamespace(**shared.value))
         for column in texts:
             data, at = column_bytes(column)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, column_bytes, mix, pieces, slices, text_bytes
+from .common import SpanHasher, column_bytes, lean, mix, pieces, slices, text_bytes
 
 #: Bytes of a match; bytes of a sampled gram.
 LENGTH, GRAM = 50, 8
@@ -101,6 +101,7 @@ def span_rows(documents: DataFrame, parts: int, length: int, gram: int) -> DataF
     """One row for each batch of a task and part: the distinct spans, and where each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hasher = SpanHasher(3)
         for piece in (batch.slice(a, b - a) for batch in batches for a, b in slices(column_bytes(batch.column("text"))[1], TASK)):
             data, at = column_bytes(piece.column("text"))
@@ -192,6 +193,7 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
     """Long matches of every part as (document, first byte, bytes), one row for each group of documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         hasher, family = SpanHasher(9), Family()
         ids, marks, owners, places, counts, texts, base = [], [], [], [], [], [], 0
         names_of, firsts_of, shown = [], [], 0
@@ -281,6 +283,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
             yield pa.array(group_of(column.to_numpy(zero_copy_only=False).astype(np.int64), groups), pa.int32())
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
+        lean()
         spans: dict[tuple[int, int], list] = {}
         for r in found.to_pylist():
             ids, marks = unsqueeze_ids(r["ids"]), unsqueeze(r["tags"], "<u2")
