@@ -1,49 +1,53 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with interpolated backoff over words, pairs and triples, all counts exact.
 
-Learning counts, over all training documents, every word, then the pairs and triples that are frequent. An n-gram
-is kept when it occurs at least once in ``SHARE`` bytes of the corpus; as an n-gram is no more frequent than its parts,
-each order only counts what the kept lower order allows, and every count is exact. The bound on kept n-grams is
-``SHARE`` over the bytes of a word and its separator, whatever the corpus, so the automaton may be broadcast.
+A pair or triple is kept when it occurs ``LEAST`` times in training, whatever the size of the corpus. The weight of a
+word w after u, after t:
 
-States are the empty history, the kept words and the kept pairs. A kept n-gram is an arc of its history's state, with
-the log-probability of interpolated absolute discounting; a failure arc leads from a state to that of the
-shorter history, with the log of the mass left over. The empty history has an arc for every word: (c + 1) / (N + V + 1).
-Scoring passes once over the tokens from left to right: the longest kept history is the state, its arc or its failure
-arcs give the weight, and weights add up. (A state follows from the last two words, so a batch advances as arrays.)
+- alone (c(w) + 1) / (N + V + 1);
+- after u the share of absolute discounting, (c(u, w) - d) / h for a kept pair with h = c(u) + ``PRIOR``, plus the mass
+  that the kept pairs of u leave over times the weight of w alone;
+- after t, u the same with kept triples, h = c(t, u) + ``PRIOR``, and the weight of w after u. A history without kept
+  n-grams leaves everything to the shorter one.
 
-Words below the threshold are exact as well: their occurrences go to parts by hash, meet their training counts
-there, and come back as sums for each document. Only packed arrays are shuffled, so no word is a hot key.
+No model is gathered anywhere. Documents are cut into written slices; a slice sends its distinct words and pairs with
+their counts in training to parts by hash, and each part sends back the totals, so that a slice knows the exact counts
+at each of its tokens. Triples of which both pairs are kept follow, and the sums over what each history keeps: each kept n-gram
+belongs to one of the slices that have it, and this slice alone adds it to the history's sum. An n-gram is one entry of
+a slice however often it occurs there, so none is a hot key, and only packed arrays are shuffled.
 
 Words are runs of bytes other than space and 9-13 after lower-casing A-Z, named by 64-bit hashes; a document ends
 with an end token, which is also the history of its first word. A null text is empty: it has the end token only. A row
-without doc_id is held out. Repeated rows count as often as they occur. An empty table gives an empty result.
+without doc_id is held out. Repeated rows count as often as they occur. Held-out rows never change what is learned. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
 
-from .common import LOWER, NOT_SPACE, SpanHasher, column_bytes, pieces, slices, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, SpanHasher, column_bytes, lean, mix, pieces, slices, text_bytes, word_spans
 
-#: Bytes of corpus for each occurrence that keeps an n-gram; least count of a kept pair or triple; longest n-gram.
-SHARE, LEAST, ORDER = 5_000_000, 2, 3
+#: Least count in training of a kept pair or triple, at every size of the corpus.
+LEAST = 2
 #: What each kept count gives up, and occurrences that a history is taken to have had of the shorter one's kind:
 #: they keep rare histories close to the shorter ones.
 DISCOUNT, PRIOR = 0.75, 5.0
-#: Text for each part of the counts.
-PART = 8 << 20
+#: Text for each part of the counts, and in a slice.
+PART, SLICE = 8 << 20, 4 << 20
 FOLDS, HELD = 7, 2
-#: Name of the end token, and what a word's place is multiplied by in the code of an n-gram.
-END, BASE = np.uint64(0), np.int64(1 << 22)
+#: Name of the end token; keys of slices that teach nothing begin here.
+END, FOREIGN = np.uint64(0), 1 << 60
 
 
 def fold_is_held(id_column: str = "doc_id") -> Column:
@@ -53,7 +57,7 @@ def fold_is_held(id_column: str = "doc_id") -> Column:
 def token_slices(batch: pa.RecordBatch, hasher: SpanHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, last, names of all tokens with an end after each document, first token of each document)."""
     data, at = column_bytes(batch.column("text"))
-    for a, b in slices(at):
+    for a, b in slices(at, SLICE):
         text, offsets = LOWER[data[at[a]:at[b]]], at[a:b + 1] - at[a]
         starts, ends, first = word_spans(text, offsets, NOT_SPACE)
         n = b - a
@@ -71,232 +75,240 @@ def unpack(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
-@dataclass
-class Automaton:
-    words: np.ndarray  # sorted names of kept words; place 0 is the end token
-    unigram: np.ndarray  # log10 of each kept word's share
-    counts: np.ndarray  # of each kept word in training
-    total: int = 0  # N
-    distinct: int = 0  # V
-    arcs: list[np.ndarray] = field(default_factory=list)  # sorted codes: state * BASE + word, for pairs, then triples
-    arc_counts: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)  # log10 probability of each arc
-    failure: list[np.ndarray] = field(default_factory=list)  # log10 of the mass a state leaves to the shorter history
-
-    def places(self, names: np.ndarray) -> np.ndarray:
-        """Place of each token's word, or -1."""
-        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
-        return np.where(self.words[at] == names, at, -1)
-
-    def find(self, level: int, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The arc of each state and word at a level, or -1."""
-        arcs = self.arcs[level]
-        out = np.full(len(states), -1, np.int64)
-        ok = np.flatnonzero((states >= 0) & (words >= 0))
-        if len(arcs) and len(ok):
-            code = states[ok] * BASE + words[ok]
-            at = np.minimum(np.searchsorted(arcs, code), len(arcs) - 1)
-            out[ok] = np.where(arcs[at] == code, at, -1)
-        return out
+def planes(x: np.ndarray) -> bytes:
+    """Numbers, all first bytes together, then all second ones, deflated."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
-    def histories(self, words: np.ndarray) -> list[np.ndarray]:
-        """For each token the state of its last word, then of its last two words, as far as these are kept (-1)."""
-        last = np.concatenate(([0], words[:-1]))
-        out = [last]
-        for level in range(len(self.arcs)):
-            # the arc that was taken to the last token is the longer state; an end begins anew
-            taken = self.find(level, out[level], words)
-            shifted = np.concatenate(([-1], taken[:-1]))
-            out.append(np.where(last == 0, -1, shifted))
-        return out
 
-    def add_order(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the n-grams of the next order, with interpolated weights, and the failure arcs of their histories."""
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        level = len(self.arcs)
-        history = self.counts if level == 0 else self.arc_counts[level - 1]
-        state, word = codes // BASE, codes % BASE
-        kept = np.bincount(state, weights=counts - DISCOUNT, minlength=len(history))
-        seen = history + PRIOR
-        mass = np.where(kept > 0, (seen - kept) / seen, 1.0)
-        lower = 10 ** self.unigram[word]
-        if level:
-            # the word after the shorter history: its arc there, or what that history's failure leaves
-            shorter = self.arcs[level - 1][state] % BASE
-            at = self.find(level - 1, shorter, word)
-            lower = np.where(at >= 0, 10 ** self.weights[level - 1][np.maximum(at, 0)], 10 ** self.failure[level - 1][shorter] * lower)
-        self.weights.append(np.log10((counts - DISCOUNT) / seen[state] + mass[state] * lower))
-        self.failure.append(np.log10(np.maximum(mass, 1e-300)))
-        self.arcs.append(codes)
-        self.arc_counts.append(counts)
-
-    def traverse(self, words: np.ndarray) -> np.ndarray:
-        """log10 weight of each token from its state; for words that are not kept without their unigram share."""
-        states = self.histories(words)
-        out, open_ = np.zeros(len(words)), np.arange(len(words))
-        for level in range(len(self.arcs) - 1, -1, -1):
-            state = states[level][open_]
-            arc = self.find(level, state, words[open_])
-            out[open_[arc >= 0]] += self.weights[level][arc[arc >= 0]]
-            fails = (arc < 0) & (state >= 0)
-            out[open_[fails]] += self.failure[level][state[fails]]
-            open_ = open_[arc < 0]
-        known = open_[words[open_] >= 0]
-        out[known] += self.unigram[words[known]]
-        return out
+def unplanes(blob: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
 
-COUNTED = "part int, codes binary, counts binary, everywhere binary, total long, learned long, distinct long"
+def steps(x: np.ndarray) -> bytes:
+    """Ascending codes as differences."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
 
 
-def count_codes(documents: DataFrame, codes_of: Callable[[np.ndarray], np.ndarray], least: int, parts: int, everywhere: bool) -> pa.Table:
-    """Exact counts of codes over all documents; returns the frequent ones of each part, with totals.
+def unsteps(blob: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(blob, np.uint64), dtype=np.uint64)
 
-    ``codes_of`` maps the token names of a slice to one code for each token, with those to leave out marked as the
-    largest number. ``everywhere`` counts held-out documents too and keeps by that count.
-    """
-    skip = np.uint64(2**64 - 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher(2)
-        for batch in batches:
-            held = np.asarray(batch.column("held").to_numpy(zero_copy_only=False), bool)
-            codes, learned = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            for a, b, names, first in token_slices(batch, hasher):
-                mine, learn = codes_of(names), np.repeat(~held[a:b], np.diff(first))
-                use = (mine != skip) & (learn | everywhere)
-                codes.append(mine[use])
-                learned.append(learn[use])
-            every, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-            n_all = np.bincount(inverse, minlength=len(every))
-            n_learned = np.bincount(inverse, weights=np.concatenate(learned), minlength=len(every)).astype(np.int64)
-            part = ((every * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(int(p), *(pack(x[order[bounds[p]:bounds[p + 1]]]) for x in (every, n_all.astype(np.uint32), n_learned.astype(np.uint32)))) for p in np.flatnonzero(np.diff(bounds))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
-                                                 ["part", "codes", "every", "learned"])
-
-    def add(group: pa.Table) -> pa.Table:
-        codes, n_all, n_learned = (np.concatenate([unpack(x, kind) for x in group.column(c).to_pylist()])
-                                   for c, kind in (("codes", np.uint64), ("every", np.uint32), ("learned", np.uint32)))
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        n_all, n_learned = (np.bincount(inverse, weights=x).astype(np.int64) for x in (n_all, n_learned))
-        keep = n_all >= least
-        return pa.table({
-            "part": pa.array(group.column("part").to_pylist()[:1], pa.int32()), "codes": [pack(distinct[keep])], "counts": [pack(n_learned[keep])], "everywhere": [pack(n_all[keep])],
-            "total": pa.array([int(n_all.sum())]), "learned": pa.array([int(n_learned.sum())]), "distinct": pa.array([int((n_learned > 0).sum())])})
-
-    rows = documents.select("text", "held").mapInArrow(count, "part int, codes binary, every binary, learned binary")
-    return rows.groupBy("part").applyInArrow(add, COUNTED).toArrow()
-
-
-def kept(counted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    codes = [unpack(x, np.uint64) for x in counted.column("codes").to_pylist()]
-    counts = [unpack(x, np.int64) for x in counted.column("counts").to_pylist()]
-    return (np.concatenate(codes), np.concatenate(counts)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def learn(documents: DataFrame, order: int = ORDER, share: int = SHARE) -> Automaton:
-    """Counts words, then n-grams up to ``order``, and builds the automaton; ``documents`` has text and held."""
-    total = text_bytes(documents)
-    parts, least = pieces(total, PART, least=24), max(1, -(-total // share))
-    counted = count_codes(documents, lambda names: names, least, parts, everywhere=True)
-    words, counts = kept(counted)
-    n, v = sum(counted.column("learned").to_pylist()), sum(counted.column("distinct").to_pylist())
-    place = np.argsort(words)
-    words, counts = words[place], counts[place]
-    if not len(words) or words[0] != END:  # fewer documents than the threshold: the end is a token all the same
-        ends = documents.where("NOT held").count()
-        words, counts = np.concatenate(([END], words)), np.concatenate(([ends], counts))
-    model = Automaton(words, np.log10((counts + 1) / (n + v + 1)), counts, n, v)
-    for _ in range(1, order):
-        shared = documents.sparkSession.sparkContext.broadcast(dict(vars(model)))  # bounded by ``share``, see above
-        level = len(model.arcs)
-
-        def codes_of(names: np.ndarray, shared=shared, level=level) -> np.ndarray:
-            auto = Automaton(**shared.value)
-            at = auto.places(names)
-            state = auto.histories(at)[level]
-            return np.where((state >= 0) & (at >= 0), state * BASE + at, -1).astype(np.int64).view(np.uint64)
-
-        codes, arc_counts = kept(count_codes(documents, codes_of, max(LEAST, least), parts, everywhere=False))
-        model.add_order(codes.view(np.int64), arc_counts)
-    return model
-
-
-PACKED = "kind int, key long, a binary, b binary, c binary, d binary, e binary, f binary"
+SLICES = "key long, ids binary, marks binary, n binary, words binary, place binary"
+SENT = "part int, key long, codes binary, a binary, b binary"
+TOTALS = "part int, key long, a binary, b binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: What a part adds up: counts of words, of pairs, what the pairs of a word keep, counts of triples, what the triples of a pair keep.
+KIND_WORD, KIND_PAIR, KIND_AFTER_WORD, KIND_TRIPLE, KIND_AFTER_PAIR = range(5)
+
 
+def follow(history: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Codes of n-grams from those of their histories."""
+    return mix(history * np.uint64(0x9E3779B97F4A7C15) + names)
 
-def score(documents: DataFrame, model: Automaton, parts: int) -> DataFrame:
-    """Scores every row of ``documents`` (doc_id, text, held)."""
-    shared = documents.sparkSession.sparkContext.broadcast(dict(vars(model)))
-    size = model.total + model.distinct + 1
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def walk(documents: DataFrame, first_key: int = 0) -> DataFrame:
+    """Slices of ``documents`` (doc_id, text, held), written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hasher, part, number, auto = SpanHasher(2), TaskContext.get().partitionId(), 0, Automaton(**shared.value)
+        lean()
+        hasher, part, number = SpanHasher(2), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, held = batch.column("doc_id"), np.asarray(batch.column("held").to_numpy(zero_copy_only=False), bool)
             for a, b, names, first in token_slices(batch, hasher):
-                key, number = (part << 32) + number, number + 1
-                words = auto.places(names)
-                here = words >= 0
-                base = np.add.reduceat(np.where(here, auto.unigram[np.maximum(words, 0)], 0.0), first[:-1])
-                whole = np.add.reduceat(auto.traverse(words), first[:-1])
-                known = np.add.reduceat((here & (auto.counts[np.maximum(words, 0)] > 0)).astype(np.int64), first[:-1])
+                key, number = first_key + (part << 32) + number, number + 1
+                words, place = np.unique(names, return_inverse=True)
                 doc_ids = ids.slice(a, b - a)
-                rows = [(0, key, pack(np.asarray(doc_ids.fill_null(0)).astype(np.int64)), pack(np.asarray(doc_ids.is_null()).astype(np.uint8) | (held[a:b].astype(np.uint8) << 1)),
-                         pack(np.diff(first)), pack(known), pack(base), pack(whole))]
-                # what the automaton has no word for goes to the part that counts it
-                rare = np.flatnonzero(~here)
-                owner = np.searchsorted(first, rare, "right") - 1
-                name = names[rare]
-                to = ((name * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
-                order = np.lexsort((name, to))
-                bounds = np.searchsorted(to[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(bounds)):
-                    mine = order[bounds[p]:bounds[p + 1]]
-                    rows.append((1, int(p), np.int64(key).tobytes(), pack(name[mine]), pack(owner[mine].astype(np.uint32)), pack(~held[a:b][owner[mine]]), None, None))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                                                  *(pa.array([r[i] for r in rows], pa.binary()) for i in range(2, 8))], ["kind", "key", "a", "b", "c", "d", "e", "f"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        keys = [int(np.frombuffer(x, np.int64)[0]) for x in group.column("a").to_pylist()]
-        names, owners, learned = ([unpack(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("b", np.uint64), ("c", np.uint32), ("d", bool)))
-        distinct, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate(learned), minlength=len(distinct))
-        weight = np.log10((count + 1) / size)
-        out, at = [], 0
-        for key, name, owner in zip(keys, names, owners, strict=True):
-            mine, at = inverse[at:at + len(name)], at + len(name)
-            docs, local = np.unique(owner, return_inverse=True)
-            out.append((key, pack(docs), pack(np.bincount(local, weights=weight[mine])), pack(np.bincount(local, weights=count[mine] > 0).astype(np.int64))))
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], ["key", "docs", "weight", "known"])
-
-    def finish(plain: pa.Table, rare: pa.Table) -> pa.Table:
+                marks = np.asarray(doc_ids.is_null()).astype(np.uint8) | (held[a:b].astype(np.uint8) << 1)
+                row = (pack(np.asarray(doc_ids.fill_null(0)).astype(np.int64)), pack(marks), pack(np.diff(first)), steps(words), planes(place.astype(np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], ["key", "ids", "marks", "n", "words", "place"])
+
+    out, _ = stage(documents.select("doc_id", "text", "held").mapInArrow(run, SLICES), "slices")
+    return out
+
+
+class Slice:
+    """A slice's tokens and n-grams, with the totals that parts have sent back so far."""
+
+    def __init__(self, row: dict, totals: list[dict], parts: int, least: int):
+        self.parts, self.least, self.key = parts, least, row["key"]
+        self.ids, self.marks, self.n = unpack(row["ids"], np.int64), unpack(row["marks"], np.uint8), unpack(row["n"], np.int64)
+        self.learn = np.repeat((self.marks & 2) == 0, self.n)
+        self.words, self.place = unsteps(row["words"]), unplanes(row["place"], np.uint32).astype(np.int64)
+        self.names = self.words[self.place]
+        self.last = np.concatenate(([END], self.names[:-1]))
+        self.grams = follow(self.last, self.names)
+        self.pairs, self.pair_first, self.pair_at = np.unique(self.grams, return_index=True, return_inverse=True)
+        self.found: dict[int, list[dict]] = {}
+        for r in sorted(totals, key=lambda r: r["part"]):
+            self.found.setdefault(r["part"] // parts, []).append(r)
+        if KIND_WORD in self.found:
+            # an end has the least name, so it is the first word of every slice
+            self.c1, self.c2 = self.total(KIND_WORD)[0] >> 1, self.total(KIND_PAIR)[0] >> 1
+            kept = self.c2[self.pair_at] >= least
+            # a triple needs both of its pairs; none goes beyond the end before its last word
+            self.longer = np.flatnonzero(kept & np.concatenate(([False], kept[:-1])) & (self.last != END))
+            self.triples, self.triple_first, self.triple_at = np.unique(follow(self.grams[self.longer - 1], self.names[self.longer]), return_index=True, return_inverse=True)
+            self.asks1 = np.flatnonzero(self.c1 >= least)
+            inner = np.flatnonzero(self.last != END) - 1  # tokens whose pair is a history
+            self.asks2 = np.unique(self.pair_at[inner[kept[inner]]])
+
+    def total(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.found.get(kind, [])
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(unplanes(r[c], np.int64) for r in rows)]) for c in ("a", "b"))
+
+    def counts(self, at: np.ndarray, n: int, where: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Occurrences in training of each of n codes, ``at`` being the code of each token in ``where``."""
+        return np.bincount(at, weights=self.learn[where], minlength=n).astype(np.int64)
+
+    def kept_after(self, histories: np.ndarray, totals: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of n histories the counts, and the number, of kept n-grams that belong to this slice."""
+        mine = np.flatnonzero((totals & 1 == 1) & (totals >> 1 >= self.least))
+        return (np.bincount(histories[mine], weights=totals[mine] >> 1, minlength=n).astype(np.int64), np.bincount(histories[mine], minlength=n))
+
+    def send(self, kind: int, codes: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> list[tuple]:
+        """Rows for the parts; ``codes`` ascend, and so do parts."""
+        b = np.zeros(len(a), np.int64) if b is None else b
+        part = ((codes >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
+        bounds = np.searchsorted(part, np.arange(self.parts + 1).astype(np.uint64))
+        return [(kind * self.parts + int(p), self.key, *(f(x[bounds[p]:bounds[p + 1]]) for f, x in ((steps, codes), (planes, a), (planes, b)))) for p in np.flatnonzero(np.diff(bounds))]
+
+    def first_round(self) -> list[tuple]:
+        return [*self.send(KIND_WORD, self.words, self.counts(self.place, len(self.words))),
+                *self.send(KIND_PAIR, self.pairs, self.counts(self.pair_at, len(self.pairs)))]
+
+    def second_round(self) -> list[tuple]:
+        before = np.concatenate(([0], self.place[:-1]))  # the word before each token; the end is word 0
+        a, b = self.kept_after(before[self.pair_first], self.total(KIND_PAIR)[0], len(self.words))
+        return [*self.send(KIND_AFTER_WORD, self.words[self.asks1], a[self.asks1], b[self.asks1]),
+                *self.send(KIND_TRIPLE, self.triples, self.counts(self.triple_at, len(self.triples), self.longer))]
+
+    def third_round(self) -> list[tuple]:
+        a, b = self.kept_after(self.pair_at[self.longer - 1][self.triple_first], self.total(KIND_TRIPLE)[0], len(self.pairs))
+        return self.send(KIND_AFTER_PAIR, self.pairs[self.asks2], a[self.asks2], b[self.asks2])
+
+    def weigh(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: occurrences of its word in training, weight of the word alone, and after its history."""
+        c1 = self.c1[self.place]
+        alone = (c1 + 1) / size
+        before = np.concatenate(([0], self.place[:-1]))
+        left, seen = self.left(KIND_AFTER_WORD, self.asks1, self.c1)
+        c2 = self.c2[self.pair_at]
+        whole = np.where(c2 >= self.least, c2 - DISCOUNT, 0.0) / seen[before] + left[before] * alone
+        left, seen = self.left(KIND_AFTER_PAIR, self.asks2, self.c2)
+        c3 = np.zeros(len(whole), np.int64)
+        c3[self.longer] = (self.total(KIND_TRIPLE)[0] >> 1)[self.triple_at]
+        inner = np.flatnonzero(self.last != END)
+        history = self.pair_at[inner - 1]
+        whole[inner] = np.where(c3[inner] >= self.least, c3[inner] - DISCOUNT, 0.0) / seen[history] + left[history] * whole[inner]
+        return c1, alone, whole
+
+    def left(self, kind: int, asked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mass that each history leaves to the shorter one, and what its n-grams are shares of."""
+        seen, kept = counts + PRIOR, np.zeros(len(counts))
+        a, b = self.total(kind)
+        kept[asked] = (a >> 1) - DISCOUNT * b
+        return (seen - kept) / seen, seen
+
+
+def add_up(group: pa.Table) -> pa.Table:
+    """Totals of each code over all slices, for each slice; the lowest bit of the first marks the slice a code belongs to. The
+    row of key -1 has the sum and the number of all codes that occur in training."""
+    lean()
+    group = group.sort_by("key")
+    codes = [unsteps(x) for x in group.column("codes").to_pylist()]
+    distinct, first, inverse = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+    a, b = (np.bincount(inverse, weights=np.concatenate([unplanes(x, np.int64) for x in group.column(c).to_pylist()]), minlength=len(distinct)).astype(np.int64) for c in ("a", "b"))
+    first_total, second_total = a[inverse] << 1, b[inverse]
+    first_total[first] |= 1
+    bounds = np.cumsum([0, *map(len, codes)])
+    cut = [slice(x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    keys = group.column("key").to_pylist() + [-1]
+    return pa.table([pa.array(group.column("part").to_pylist()[:1] * len(keys), pa.int32()), pa.array(keys, pa.int64()),
+                     pa.array([*(planes(first_total[c]) for c in cut), planes(a.sum(keepdims=True))], pa.binary()),
+                     pa.array([*(planes(second_total[c]) for c in cut), planes(np.array([(a > 0).sum()], np.int64))], pa.binary())], ["part", "key", "a", "b"])
+
+
+@dataclass
+class Model:
+    documents: DataFrame
+    slices: DataFrame  # written; what is not held out is counted when documents are scored
+    least: int
+
+
+def learn(documents: DataFrame, share: int | None = None) -> Model:
+    """``documents`` has doc_id, text and held. ``share`` makes a smaller model: n-grams that occur once in so many bytes."""
+    least = max(LEAST, -(-text_bytes(documents) // share)) if share else LEAST
+    return Model(documents, walk(documents), least)
+
+
+def score(documents: DataFrame, model: Model, parts: int) -> DataFrame:
+    """Scores every row of ``documents`` (doc_id, text, held) by what ``model`` has learned from its own."""
+    spark, least, slices = documents.sparkSession, model.least, model.slices
+    other = documents is not model.documents
+    if other:  # these are scored, but teach nothing
+        slices = slices.union(walk(documents.withColumn("held", F.lit(True)), FOREIGN))
+
+    def rows_of(rows: list[tuple]) -> pa.Table:
+        kinds = (("part", pa.int32()), ("key", pa.int64()), ("codes", pa.binary()), ("a", pa.binary()), ("b", pa.binary()))
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from rows_of(Slice(batch.slice(i, 1).to_pylist()[0], [], parts, least).first_round()).to_batches()
+
+    def second(own: pa.Table, found: pa.Table) -> pa.Table:
+        lean()
+        return rows_of([x for r in own.to_pylist() for x in Slice(r, found.to_pylist(), parts, least).second_round()])
+
+    def third(own: pa.Table, found: pa.Table) -> pa.Table:
+        lean()
+        return rows_of([x for r in own.to_pylist() for x in Slice(r, found.to_pylist(), parts, least).third_round()])
+
+    def with_totals(totals: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, slices: DataFrame = slices) -> DataFrame:
+        return slices.groupBy("key").cogroup(totals.where("key >= 0").groupBy("key")).applyInArrow(work, schema)
+
+    def added(sent: DataFrame) -> DataFrame:
+        out, _ = stage(sent.groupBy("part").applyInArrow(add_up, TOTALS), "totals")
+        return out
+
+    totals = added(slices.mapInArrow(begin, SENT))
+    sums = totals.where((F.col("key") == -1) & (F.floor(F.col("part") / parts) == KIND_WORD)).select("a", "b").collect()  # a row for each part
+    n, v = (sum(int(unplanes(bytes(r[c]), np.int64)[0]) for r in sums) for c in ("a", "b"))
+    for work in (second, third):
+        free_shuffles(spark)
+        totals = totals.union(added(with_totals(totals, work, SENT)))
+    free_shuffles(spark)
+
+    def finish(own: pa.Table, found: pa.Table) -> pa.Table:
+        lean()
         out = []
-        for r in plain.to_pylist():
-            ids, marks, n = unpack(r["a"], np.int64), unpack(r["b"], np.uint8), unpack(r["c"], np.int64)
-            known, base, whole = unpack(r["d"], np.int64).copy(), unpack(r["e"], np.float64).copy(), unpack(r["f"], np.float64).copy()
-            for x in sorted(rare.to_pylist(), key=lambda x: x["weight"]):
-                docs, weight = unpack(x["docs"], np.uint32), unpack(x["weight"], np.float64)
-                known[docs] += unpack(x["known"], np.int64)
-                base[docs] += weight
-                whole[docs] += weight
-            out.append(pa.table([pa.array(ids, mask=(marks & 1).astype(bool)), pa.array((marks & 2) > 0), pa.array(n), pa.array(known), pa.array(np.full(len(ids), model_total)),
-                                 pa.array(base), pa.array(whole)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        for r in own.to_pylist():
+            x = Slice(r, found.to_pylist(), parts, least)
+            count, alone, whole = x.weigh(n + v + 1)
+            begins = np.cumsum(x.n) - x.n
+            held = np.ones(len(x.ids), bool) if other else (x.marks & 2) > 0
+            out.append(pa.table([pa.array(x.ids, mask=(x.marks & 1).astype(bool)), pa.array(held), pa.array(x.n), pa.array(np.add.reduceat((count > 0).astype(np.int64), begins)),
+                                 pa.array(np.full(len(x.ids), n)), pa.array(np.add.reduceat(np.log10(alone), begins)), pa.array(np.add.reduceat(np.log10(whole), begins))],
+                                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (
             ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
-    model_total = model.total
-    walked, _ = stage(documents.select("doc_id", "text", "held").mapInArrow(walk, PACKED), "walked")
-    rare = walked.where("kind = 1").select("key", "a", "b", "c", "d").groupBy("key").applyInArrow(meet, "key long, docs binary, weight binary, known binary")
-    return walked.where("kind = 0").groupBy("key").cogroup(rare.groupBy("key")).applyInArrow(finish, SCORED)
+    scored = slices.where(F.col("key") >= FOREIGN) if other else slices
+    return with_totals(totals.where(F.col("key") >= FOREIGN) if other else totals, finish, SCORED, scored)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs stay until the driver collects its garbage; written totals have replaced them."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)  # py4j tells the JVM of dropped objects once a second, and Spark's cleaner works apart
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(1.5)
 
 
 def learn_and_score(documents: DataFrame) -> DataFrame:

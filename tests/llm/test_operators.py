@@ -278,6 +278,16 @@ def test_backoff_edge_cases(spark):
     assert len(rows) == 3
 
 
+def test_backoff_keeps_ngrams_whatever_the_corpus(spark):
+    """A phrase with a few occurrences has its arcs, also among so much other text that it is less than one in 5 MB."""
+    taught = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    phrases = [(i, "zig zag zog zug") for i in taught[:4]]
+    other = [(100 + i, f"w{i} " * 300) for i in range(20)]
+    padding = [(1000 + i, "x" * 1_000_000) for i in range(30)]
+    rows = {r.doc_id: r for r in backoff.learn_and_score(spark.createDataFrame(phrases + other + padding, "doc_id long, text string")).collect()}
+    assert rows[taught[0]].score > rows[taught[0]].base_score + 3
+
+
 # ------------------------------------------------------------------ benchmark decontamination
 def brute_contamination(docs, items, width=13):
     def words(t):
