@@ -143,12 +143,24 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         model.temperature = float(min(loss)[1])
         p = softmax(z / model.temperature)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-        # a chance answer is 1/n; below the least right answers lies what the model can't tell
-        least = right[int(len(right) * FALSE_REJECTIONS)] if len(right) else 0.0
-        model.threshold = float(min(least, 1.2 / len(languages)))
+        model.threshold = rejection(right)
     return model
 
 
+def rejection(right: np.ndarray) -> float:
+    """The score that a share ``FALSE_REJECTIONS`` of right answers lies below; ``right`` are their held-back scores, ascending.
+    With too few for that share, the log-odds go on below the least of them as the lowest ones fall (exponentially)."""
+    n = len(right)
+    if n < 2:
+        return 0.0
+    at = int(n * FALSE_REJECTIONS)
+    odds = np.log(np.clip(right, 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(right, 1e-9, 1 - 1e-9))
+    k = min(n - 1, int(np.sqrt(n)))
+    # the least of n has a share of ln 2 / (n + 1) below it, in the median
+    beyond = max(0.0, np.log(np.log(2) / ((n + 1) * FALSE_REJECTIONS))) * (odds[k] - odds[:k]).mean()
+    return float(1 / (1 + np.exp(beyond - odds[at])))
+
+
 def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` with lang_pred, score and rejected, which replace columns of these names. Only the text is read."""
     plain = documents.drop("lang_pred", "score", "rejected").withColumn("_letters", has_letter(text)).withColumn("_text", F.when(F.col("_letters"), F.col(text)))

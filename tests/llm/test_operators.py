@@ -472,3 +472,26 @@ def test_language(spark):
     none = language.identify(spark.createDataFrame([(1, "abc", None), (2, None, "aa")], "doc_id long, text string, lang string")).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert language.identify(empty(spark)).count() == 0
+
+
+def test_language_rejects_what_it_never_learned(spark):
+    """Texts of a language that no label names are rejected by their score; clean texts stay."""
+    rng = random.Random(8)
+    stems = {"aa": ["ka", "lo", "mi", "ne"], "bb": ["sch", "ung", "ber", "ein"], "cc": ["eau", "ille", "ment", "oi"], "dd": ["the", "ing", "wh", "ly"], None: ["кош", "дом", "лес"]}
+
+    def prose(lang):
+        return " ".join("".join(rng.choice(stems[lang]) for _ in range(3)) for _ in range(rng.randint(3, 40)))
+
+    rows = [(i, prose(lang), lang) for i in range(4000) for lang in [rng.choice(["aa", "bb", "cc", "dd"])]] + [(5000 + i, prose(None), None) for i in range(40)]
+    out = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.rejected for r in out if r.doc_id >= 5000)
+    assert sum(r.rejected for r in out if r.doc_id < 4000) <= 12
+
+
+def test_language_threshold_with_few_rows():
+    """Few held-back answers say less about the lowest share, so the threshold lies below all of them."""
+    rng = np.random.default_rng(3)
+    right = np.sort(1 / (1 + np.exp(-rng.exponential(1.5, 50))))
+    assert language.rejection(right) < right[0]
+    many = np.sort(1 / (1 + np.exp(-rng.exponential(1.5, 5000))))
+    assert language.rejection(many) == pytest.approx(many[5])
