@@ -288,6 +288,17 @@ def test_backoff_keeps_ngrams_whatever_the_corpus(spark):
     assert rows[taught[0]].score > rows[taught[0]].base_score + 3
 
 
+def test_backoff_held_out_texts_teach_nothing(spark):
+    """Other documents score the same when held-out texts grow, also by so much that a share of all bytes would move."""
+    ids = {h: [i for i in range(200) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (True, False)}
+    docs = [(i, "rare pair of words") for i in ids[False][:5]] + [(i, "y" * 1_000_000) for i in ids[False][5:24]]
+    scores = []
+    for held in ("rare pair of words", "z" * 1_000_000):
+        frame = spark.createDataFrame(docs + [(i, held) for i in ids[True][:9]], "doc_id long, text string")
+        scores.append({r.doc_id: r.score for r in backoff.learn_and_score(frame).collect() if not r.held_out})
+    assert scores[0] == pytest.approx(scores[1])
+
+
 # ------------------------------------------------------------------ benchmark decontamination
 def brute_contamination(docs, items, width=13):
     def words(t):
