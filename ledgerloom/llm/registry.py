@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, decontaminate, language, repair, roundtrip, shingles, suffixes, topk, warc
+from . import backoff, chat, decontaminate, language, recipes, repair, roundtrip, shingles, suffixes, topk, warc
 from .common import table
 
 #: The byte-level vocabulary that the contracts name; the file stays where its package put it.
@@ -152,3 +152,15 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return roundtrip.encode_documents(documents, vocabulary_path(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op12_exact_dedup"] = """
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  row_number() OVER best = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW best AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
+"""

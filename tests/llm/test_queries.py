@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {name.split("_")[0] for name in QUERIES} >= {f"op{n}" for n in range(1, 11)} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
