@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, decontaminate, language, recipes, repair, roundtrip, shingles, suffixes, topk, warc
+from . import backoff, chat, collocations, decontaminate, language, recipes, repair, roundtrip, shingles, suffixes, topk, trie, warc
 from .common import table
 
 #: The byte-level vocabulary that the contracts name; the file stays where its package put it.
@@ -164,3 +164,70 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
   row_number() OVER best = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW best AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
 """
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL["op13_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, m, array_to_string(words[k:k + m - 1], ' ') AS phrase
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS k FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(words) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND a >= 10),
+x AS (SELECT c.*, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+s AS (
+  SELECT x.lang, x.m, x.phrase, x.a, k, h.a AS l, t.a AS r,
+    CAST(CAST(1000000 AS HUGEINT) * x.a * x.a // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+  FROM x JOIN f h ON h.lang = x.lang AND h.phrase = head AND h.m = k JOIN f t ON t.lang = x.lang AND t.phrase = tail AND t.m = x.m - k),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(words[1:2], ' ') AS part FROM c WHERE m = 3 UNION ALL SELECT lang, a, array_to_string(words[2:3], ' ') FROM c WHERE m = 3)
+  GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN o ON m = 2 AND o.lang = b.lang AND part = phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+SQL["op11_conversation_trie"] = """
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS h, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'h': h, 'size': size} ORDER BY turn NULLS FIRST, h) AS l FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, xor(list_reduce(string_split(CAST(conv_id AS VARCHAR), ''), lambda acc, ch:
+    list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda z, i: CASE WHEN z % 2 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END, xor(CAST(acc AS BIGINT), CAST(ascii(ch) AS BIGINT))),
+    CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc FROM own),
+told AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l, [])[1:crc % 9], c.l[crc % 9 + 1:]) AS l
+  FROM own c JOIN crc ON crc.conv_id = c.conv_id LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (
+  SELECT conv_id, d, sha256(array_to_string(list_transform(l[1:d], lambda x: x.h), ',')) AS key, sha256(array_to_string(list_transform(l[1:d - 1], lambda x: x.h), ',')) AS above,
+    CASE WHEN d > 0 THEN l[d].size ELSE 0 END AS size, d = len(l) AS last
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM told)),
+n AS (
+  SELECT key, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n, max(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM p GROUP BY key, d),
+k AS (SELECT above, count(*) AS children FROM n WHERE d > 0 GROUP BY above),
+u AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k ON k.above = n.key),
+s AS (
+  SELECT p.key, p.d, sum(CASE WHEN u.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.size) AS saved
+  FROM u JOIN p ON p.conv_id = u.conv_id AND p.d <= u.d GROUP BY p.key, p.d)
+SELECT u.conv_id, u.d AS depth, q.conv_id AS parent_conv_id, u.n AS n_convs, u.children AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, u.ends AS ends_sha256
+FROM u JOIN s ON s.key = u.key AND s.d = u.d LEFT JOIN n q ON u.d > 0 AND q.key = u.above AND q.d = u.d - 1
+"""
