@@ -5,8 +5,8 @@
 2. Names are verified: each task sends a chunk it has not sent before once, and of all chunks of one name the smallest and the
    largest bytes are kept, also map-side. Where these differ, the name stands for two chunks; all names then get twice as many
    bytes, and the check is made again. After it, a name is an identifier: equal recipes are equal texts.
-3. Recipes are compared as a whole, counted map-side, and only lists that occur twice go back to their rows. The long texts
-   themselves move once, in chunks, however many rows share them.
+3. Recipes are compared as a whole, counted map-side, and only lists that occur twice go back to their rows; the rows of a
+   frequent list are salted. The long texts themselves move once, in chunks, however many rows share them.
 
 Of equal texts the row with the largest doc_id stays; of rows that share this doc_id too, one. A row without doc_id comes after
 all others, so it stays only where no row of the group has an id, and keep_id is null then. A null text is an empty one. Only the
@@ -32,6 +32,8 @@ from .roundtrip import cuts
 NAME_BYTES, MOST_BYTES = 16, 64
 #: Bytes of chunks that a task remembers as sent.
 REMEMBER = 32 << 20
+#: Rows of one recipe that may meet in a task: so many at least, and no smaller a share of all rows than one in FREQUENT.
+SOME, FREQUENT = 256, 50_000
 
 
 def chunks(column: pa.Array, hasher: SpanHasher) -> Iterator[list[bytes]]:
@@ -93,8 +95,14 @@ def deduplicate(documents: DataFrame, name_bytes: int = NAME_BYTES) -> DataFrame
     rows = recipes(texts, name_bytes)
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"))).alias("best")
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best).where("group_size > 1").select("recipe", "group_size", "best.keep_id", "best.keep_rid")
-    # keys are unique in ``groups``, so a hot recipe's rows may be split over tasks
-    both = rows.join(groups, "recipe", "left")
+    # fewer than FREQUENT marks can have more rows than ``most``; a mark only says into how many salts its rows go
+    most = max(SOME, rows.count() // FREQUENT)
+    mark = F.xxhash64("recipe").alias("mark")
+    frequent = F.broadcast(rows.groupBy(mark).agg(F.ceil(F.count("*") / most).cast("int").alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.withColumn("mark", mark).join(frequent, "mark", "left").withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int"))
+    copied = groups.withColumn("mark", mark).join(frequent, "mark", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    both = dealt.join(copied.select("recipe", "salt", "group_size", "keep_id", "keep_rid"), ["recipe", "salt"], "left")
     alone = F.col("group_size").isNull()
     return both.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
                        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"), "text_sha256")
