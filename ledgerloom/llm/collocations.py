@@ -33,7 +33,7 @@ from .common import column_bytes, lean, mix, pieces
 
 LEAST, BEST, COVER = 10, 2000, 50
 #: Bytes of text in a block; phrases in a filter of a task; phrases that meet in a part; bits of quotient dealt at a time.
-BLOCK, FILTER, PART, FAN = 8 << 20, 1 << 22, 1 << 21, 8
+BLOCK, FILTER, PART, FAN = 4 << 20, 1 << 20, 1 << 20, 8
 
 _TABLE = bytearray(range(256))
 _TABLE[0x41:0x5B] = range(0x61, 0x7B)
@@ -80,6 +80,8 @@ def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang]), pa.array([list(number)[1:]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())),
                      pa.array([zstandard.compress(stream.tobytes(), 1)], pa.binary())], ["lang", "words", "counts", "stream"])
+                del tokens, number, stream
+                lean()
 
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
@@ -89,7 +91,7 @@ def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
                 sizes[lang] = sizes.get(lang, 0) + b - a + 1
                 if sizes[lang] >= size:
                     yield from give(lang)
-            if sum(sizes.values()) >= 4 * size or len(sizes) > 1000:
+            if sum(sizes.values()) >= 2 * size or len(sizes) > 1000:
                 for lang in list(sizes):
                     yield from give(lang)
         for lang in list(sizes):
@@ -201,6 +203,7 @@ def phrase_counts(texts: DataFrame, dictionary: DataFrame, words: DataFrame, n_w
                 if size >= FILTER:
                     yield give()
                     held, size = [], 0
+                    lean()
         if held:
             yield give()
 
