@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.order_stats import with_position
 from ledgerloom.session import stage
 
 from .common import column_bytes, lean, mix, pieces
@@ -103,15 +104,10 @@ def blocks(documents: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def numbered(words: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f, id) of the frequent words, written; ids run from 1 without gaps."""
+    """(lang, word, f, id) of the frequent words, written; ids run from 1, the most frequent first, so that most have few bits."""
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    placed, _ = stage(frequent.withColumn("at", F.monotonically_increasing_id()), "frequent-words")
-    slices = placed.groupBy(F.shiftright("at", 33).alias("slice")).agg(F.count("*").alias("n"))
-    starts = slices.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("start"))  # one row per partition
-    inside = F.col("at") - F.shiftleft(F.col("slice"), 33) + 1
-    out, _ = stage(placed.withColumn("slice", F.shiftright("at", 33)).join(F.broadcast(starts), "slice").select(
-        "lang", "word", "f", (F.col("start") + inside).alias("id")), "word-numbers")
-    return out
+    counted_once, _ = stage(frequent, "frequent-words")
+    return with_position(counted_once, [F.desc("f"), F.asc("lang"), F.asc("word")], "id")
 
 
 def permuted(first: np.ndarray, rest: np.ndarray, bits: int) -> np.ndarray:
@@ -137,24 +133,28 @@ def counted(quotient: np.ndarray, rest: np.ndarray, count: np.ndarray | None, bi
 
 
 def pack(quotient: np.ndarray, rest: np.ndarray, count: np.ndarray, bits: int) -> bytes:
-    """A filter of at least one phrase as bytes: steps, remainders and counters of fixed width, then the long counters."""
+    """A filter of at least one phrase as bytes, deflated: steps, the bytes of both words of the remainder place by place, counters, and
+    then the long counters."""
     steps = np.diff(quotient, prepend=quotient[:1])
     wide = 1 << max(0, (int(steps.max()).bit_length() + 7) // 8 - 1).bit_length()
-    long = count >= 255
-    columns = (steps.astype(f"<u{wide}").tobytes(), rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :-(-bits // 4)].tobytes(),
-               np.where(long, 255, count).astype(np.uint8).tobytes(), count[long].astype("<i8").tobytes())
-    return struct.pack("<QQB", len(rest), int(quotient[0]), wide) + b"".join(columns)
+    long, narrow = count >= 255, -(-bits // 8)
+    halves = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :narrow].T.tobytes() for x in (rest & np.uint64((1 << bits) - 1), rest >> np.uint64(bits))]
+    columns = (steps.astype(f"<u{wide}").tobytes(), *halves, np.where(long, 255, count).astype(np.uint8).tobytes(), count[long].astype("<i8").tobytes())
+    return struct.pack("<QQB", len(rest), int(quotient[0]), wide) + zstandard.compress(b"".join(columns), 1)
 
 
 def unpack(blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    head, narrow = struct.calcsize("<QQB"), -(-bits // 8)
     n, base, wide = struct.unpack_from("<QQB", blob)
-    at, narrow = struct.calcsize("<QQB"), -(-bits // 4)
-    quotient = np.cumsum(np.frombuffer(blob, f"<u{wide}", n, at), dtype=np.uint64) + np.uint64(base)
-    rest = np.zeros((n, 8), np.uint8)
-    rest[:, :narrow] = np.frombuffer(blob, np.uint8, n * narrow, at + n * wide).reshape(n, narrow)
-    count = np.frombuffer(blob, np.uint8, n, at + n * (wide + narrow)).astype(np.int64)
-    count[count == 255] = np.frombuffer(blob, "<i8", -1, at + n * (wide + narrow + 1))
-    return quotient, rest.reshape(-1).view("<u8").astype(np.uint64), count
+    raw = zstandard.decompress(blob[head:])
+    quotient = np.cumsum(np.frombuffer(raw, f"<u{wide}", n), dtype=np.uint64) + np.uint64(base)
+    halves = np.zeros((2, n, 8), np.uint8)
+    halves[:, :, :narrow] = np.frombuffer(raw, np.uint8, 2 * narrow * n, n * wide).reshape(2, narrow, n).transpose(0, 2, 1)
+    second, third = halves.reshape(2, -1).view("<u8").astype(np.uint64)
+    at = n * (wide + 2 * narrow)
+    count = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    count[count == 255] = np.frombuffer(raw, "<i8", -1, at + n)
+    return quotient, second | (third << np.uint64(bits)), count
 
 
 def dealt(quotient: np.ndarray, rest: np.ndarray, count: np.ndarray, bits: int, top: int, salt: int) -> pa.RecordBatch:
