@@ -10,25 +10,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .order_stats import rows_at, running_sums
 
 
-def score_steps(df: DataFrame, label: str = "label", score: str = "score", parts: int | None = None) -> DataFrame:
-    """Distinct scores in descending order with row and positive counts, own and cumulative."""
-    steps = df.groupBy(F.col(score).cast("double").alias("score")).agg(
+def score_steps(df: DataFrame, label: str = "label", score: str = "score", parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores in descending order with row and positive counts, own and cumulative; for each key of ``by`` apart."""
+    steps = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    return running_sums(steps, [F.desc("score")], ["n", "pos"], parts)
+    return running_sums(steps, [F.desc("score")], ["n", "pos"], parts, by)
 
 
-def summary(steps: DataFrame) -> DataFrame:
-    """One row from one pass over the distinct scores: sizes, Brier score, ROC AUC (ties count half) and
+def summary(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each key of ``by``) from one pass over the distinct scores: sizes, Brier score, ROC AUC (ties count half) and
     average precision (step sum). The areas are NULL when only one class exists.
 
     A positive beats the negatives that no better or equal score holds, and half of those it ties with.
     """
     s, n, pos = F.col("score"), F.col("n"), F.col("pos")
     not_beaten = (F.col("n_upto") - F.col("pos_upto")).cast("double") - (n - pos) / 2
-    sums = steps.agg(
+    sums = steps.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
         F.count("*").alias("distinct_scores"), F.sum(n * s).alias("score_sum"),
         F.sum(pos * (1 - s) * (1 - s) + (n - pos) * s * s).alias("squares"),
@@ -36,7 +37,7 @@ def summary(steps: DataFrame) -> DataFrame:
     positives, negatives = F.col("positives").cast("double"), (F.col("n") - F.col("positives")).cast("double")
     two_classes = (positives > 0) & (negatives > 0)
     return sums.select(
-        "n", "positives", F.try_divide(positives, F.col("n")).alias("prevalence"), F.try_divide("score_sum", "n").alias("mean_score"),
+        *by, "n", "positives", F.try_divide(positives, F.col("n")).alias("prevalence"), F.try_divide("score_sum", "n").alias("mean_score"),
         F.try_divide("squares", "n").alias("brier"), "distinct_scores",
         F.when(two_classes, 1 - F.try_divide(F.col("not_beaten"), positives * negatives)).alias("auc"),
         F.when(two_classes, F.try_divide(F.col("precision_sum"), positives)).alias("pr_auc"))
@@ -61,12 +62,12 @@ def _cut_fields(k: Column) -> list[Column]:
     ]
 
 
-def hits_at(steps: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """One row per k (between 1 and the number of rows): expected hits over all orders of the tied
-    block at the cut, and the least and most any order could give."""
+def hits_at(steps: DataFrame, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """One row per k (between 1 and the number of rows; for each key of ``by`` apart): expected hits over all orders of the
+    tied block at the cut, and the least and most any order could give."""
     candidates = F.array(*[F.lit(k).cast("long") for k in sorted(set(ks))])
     held = F.filter(candidates, lambda k: (k > F.col("n_upto") - F.col("n")) & (k <= F.col("n_upto")))
-    return steps.select("*", F.explode(held).alias("_k")).select(*_cut_fields(F.col("_k")))
+    return steps.select("*", F.explode(held).alias("_k")).select(*by, *_cut_fields(F.col("_k")))
 
 
 def share_to_k(n: int, share: float) -> int:
@@ -97,7 +98,7 @@ def top_k(
     if at["slots"] == at["tie_block"]:
         taken = tied
     else:
-        last = rows_at(df.where(tied).select(id_col), [F.asc(id_col)], [at["slots"]])[0]
+        last = rows_at(df.where(tied).select(id_col), [(id_col, True)], [at["slots"]])[0]
         taken = tied & (F.col(id_col) <= F.lit(last[id_col]))
     chosen = df.where((F.col(score).cast("double") > F.lit(at["cut_score"])) | taken)
     repeated = F.raise_error(F.lit(f"{id_col} repeats among the rows that tie at the cut")).cast("long")
@@ -137,14 +138,7 @@ def lift_at(df: DataFrame, share: float = 0.1, label: str = "label", score: str
 
 def evaluate(df: DataFrame, id_col: str = "id", label: str = "label", score: str = "score", share: float = 0.1) -> DataFrame:
     """One row: size, prevalence, AUC, average precision, Brier score and hits among the best ``share``."""
-    steps = score_steps(df, label, score)
-    whole = summary(steps)
-    row = whole.first()
-    hits = top_k(df, share_to_k(row["n"], share), id_col, label, score, steps, row["n"])
-    values = df.sparkSession.createDataFrame([row], whole.schema)  # already computed: one row
-    named = [F.col(c).alias(f"top_{c}") for c in hits.columns if c != "n"]
-    wide = values.join(hits.select("n", *named), "n")
-    return wide.withColumn("top_k", F.col("top_k").cast("bigint")).withColumn("random_expected_hits", F.col("prevalence") * F.col("top_k"))
+    return _evaluated(df, [score], id_col, label, share).drop("model")
 
 
 def evaluate_scores(df: DataFrame, score_cols: Sequence[str], id_col: str, label: str, share: float = 0.1) -> DataFrame:
@@ -152,8 +146,43 @@ def evaluate_scores(df: DataFrame, score_cols: Sequence[str], id_col: str, label
     repeats = df.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).agg(F.count("*")).first()[0]
     if repeats:
         raise ValueError(f"{repeats} value(s) of {id_col} repeat")
-    parts = [evaluate(df, id_col, label, c, share).select(F.lit(c).alias("model"), "*") for c in score_cols]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return _evaluated(df, score_cols, id_col, label, share)
+
+
+def _evaluated(df: DataFrame, score_cols: Sequence[str], id_col: str, label: str, share: float) -> DataFrame:
+    """All models from one sort and one write of their distinct scores, keyed by model.
+
+    The cuts are read from the written steps. Where a tied block is cut, the id that closes it is selected by rank, and the
+    hits of all models are one last aggregate over the rows.
+    """
+    spark = df.sparkSession
+    models = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("score")) for c in score_cols]))
+    tall = df.select(F.col(label).alias("label"), models.alias("m")).select("label", "m.*")
+    steps = score_steps(tall, by=["model"])
+    whole, _ = stage(summary(steps, ["model"]), "summaries")  # one row for each model
+    total = max((r["n"] for r in whole.collect()), default=0)
+    if not total:
+        empty = summary(steps.limit(0)).select(*[F.lit(c).alias(f"m{i}") for i, c in enumerate(score_cols)], "*")
+        nothing = {"top_k": "bigint", "top_deterministic_hits": "bigint", "top_expected_hits": "double", "top_min_hits": "bigint", "top_max_hits": "bigint",
+                   "top_tie_block": "bigint", "top_tie_block_positives": "bigint", "top_strictly_above": "bigint", "random_expected_hits": "double"}
+        named = empty.select(F.explode(F.array(*[f"m{i}" for i in range(len(score_cols))])).alias("model"), *[c for c in empty.columns if not c[1:].isdigit()])
+        return named.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    k = share_to_k(total, share)
+    cuts = {r["model"]: r for r in hits_at(steps, [k], ["model"]).collect()}  # one row for each model
+    hits = []
+    for name, at in cuts.items():
+        score = F.col(name).cast("double")
+        tied = score.eqNullSafe(F.lit(at["cut_score"]).cast("double"))
+        taken = tied
+        if at["slots"] != at["tie_block"]:
+            last = rows_at(df.where(tied).select(id_col), [(id_col, True)], [at["slots"]])[0]
+            taken = tied & (F.col(id_col) <= F.lit(last[id_col]))
+        chosen = F.coalesce(score > F.lit(at["cut_score"]), F.lit(False)) | taken
+        repeated = F.raise_error(F.lit(f"{id_col} repeats among the rows that tie at the cut")).cast("long")
+        hits.append(F.when(F.count_if(chosen) == k, F.coalesce(F.sum(F.when(chosen, F.col(label).cast("long"))), F.lit(0))).otherwise(repeated).alias(name))
+    found = df.agg(*hits).first()
+    fields = ("expected_hits", "min_hits", "max_hits", "tie_block", "tie_block_positives", "strictly_above")
+    rows = [(name, k, found[name], *[at[f] for f in fields]) for name, at in cuts.items()]
+    top = spark.createDataFrame(rows, "model string, top_k bigint, top_deterministic_hits bigint, top_expected_hits double, top_min_hits bigint, "
+                                "top_max_hits bigint, top_tie_block bigint, top_tie_block_positives bigint, top_strictly_above bigint")
+    return whole.join(F.broadcast(top), "model").withColumn("random_expected_hits", F.col("prevalence") * F.col("top_k"))  # one row for each model

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import rows_where
-from ..operators.order_stats import ntile_column
+from ..operators.order_stats import ntile_columns
 
 
 def person_behaviour(orders: DataFrame) -> DataFrame:
@@ -24,10 +24,10 @@ def customer_segments(people: DataFrame, orders: DataFrame, k: int = 5) -> DataF
     """One row per person with r_score (k = most recent), m_score (k = highest value; no payment is
     lowest) and a label. Ties split by person id, the same way on every run.
 
-    ``people`` is read three times (twice for the bucket ends); pass a stored table when it is large.
+    ``people`` is read a few times (the bucket ends of both axes are found together); pass a stored table when it is large.
     """
-    recency = ntile_column(people, [("days_since_last_order", False), ("customer_unique_id", False)], k)
-    money = ntile_column(people, [("lifetime_payment_brl", True), ("customer_unique_id", False)], k)
+    recency, money = ntile_columns(people, [
+        ([("days_since_last_order", False), ("customer_unique_id", False)], k), ([("lifetime_payment_brl", True), ("customer_unique_id", False)], k)])
     scored = people.withColumn("r_score", F.lit(k + 1) - recency).withColumn("m_score", money)
     r, m = F.col("r_score"), F.col("m_score")
     high, low = k - 1, 2
