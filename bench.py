@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from ledgerloom.session import build_session
+from ledgerloom.session import build_session, release_staged
 from workload.queries import QUERIES
 
 HEADLINE = (
@@ -32,6 +32,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    release_staged(spark)
     spark.stop()
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",

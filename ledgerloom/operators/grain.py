@@ -252,27 +252,24 @@ def facts_agree(orders: DataFrame, lines: DataFrame) -> DataFrame:
         [("same item money", "order money", "=", "line money"), ("same orders with items", "orders with items", "=", "orders in lines")])
 
 
-def metric_layer_reconciles(
-    orders: DataFrame, lines: DataFrame, monthly: DataFrame, category: DataFrame, state: DataFrame, payment: DataFrame,
-    line_window: Column,
-) -> DataFrame:
-    """The four marts against the two facts, over the whole analysis window."""
-    no_primary = F.col("primary_payment_type").isNull()
+def metric_layer_reconciles(cells: DataFrame, lines: DataFrame, monthly: DataFrame, category: DataFrame, state: DataFrame, payment: DataFrame, line_window: Column) -> DataFrame:
+    """The four marts against the two facts, over the whole analysis window. ``cells`` are stored ``marts.order_cells``: their grain
+    ``all`` is the order fact as a whole and ``month`` its calendar, from the same scan as the marts."""
     number = month_number("purchase_month")
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    truth = orders.where("is_in_analysis_window").agg(
-        F.count("*").alias("orders"), F.sum("items_total_brl").alias("gmv"),
-        rows_where(~no_primary).alias("orders with primary"),
-        F.coalesce(F.sum(F.when(~no_primary, F.col("items_total_brl"))), F.lit(0)).alias("gmv with primary"),
-        rows_where(~F.col("has_no_items")).alias("orders with items"),
-        F.countDistinct("purchase_month").alias("months"), (F.max(number) - F.min(number) + 1).alias("month span"))
+    truth = cells.where("grain = 'all'").agg(
+        F.sum("orders").alias("orders"), F.sum("gmv_brl").alias("gmv"),
+        F.sum(F.col("orders") - F.col("orders_no_primary_payment")).alias("orders with primary"),
+        whole(F.coalesce("gmv_brl", F.lit(0)) - F.col("gmv_no_primary_payment_brl")).alias("gmv with primary"),
+        F.sum("orders_with_items").alias("orders with items"))
+    calendar = cells.where("grain = 'month'").agg(F.count("purchase_month").alias("months"), (F.max(number) - F.min(number) + 1).alias("month span"))
     line_truth = lines.where(line_window).agg(F.count("*").alias("lines"))
     m = monthly.agg(F.count("*").alias("m months"), F.sum("orders").alias("m orders"), F.sum("gmv_brl").alias("m gmv"),
                     F.sum("orders_with_items").alias("m orders with items"))
     c = category.agg(F.sum("gmv_brl").alias("c gmv"), F.sum("order_lines").alias("c lines"), F.sum("orders").alias("c summed orders"))
     s = state.agg(F.sum("gmv_brl").alias("s gmv"), F.sum("orders").alias("s orders"))
     p = payment.agg(whole("gmv_brl").alias("p gmv"), F.sum("orders").alias("p orders"))
-    return compare_totals([truth, line_truth, m, c, s, p], [
+    return compare_totals([truth, calendar, line_truth, m, c, s, p], [
         ("monthly has every month", "m months", "=", "months"), ("no month is skipped", "months", "=", "month span"),
         ("monthly orders", "m orders", "=", "orders"), ("monthly gmv", "m gmv", "=", "gmv"),
         ("monthly orders with items", "m orders with items", "=", "orders with items"),
@@ -299,17 +296,17 @@ def payment_scope_by_month(monthly: DataFrame, payment: DataFrame) -> DataFrame:
     ).select("month_label")
 
 
-def additive_components_agree(orders: DataFrame, monthly: DataFrame, state: DataFrame, payment: DataFrame) -> DataFrame:
-    """Components of the marts agree with each other and with the order fact."""
-    primary = F.col("primary_payment_type").isNotNull()
+def additive_components_agree(cells: DataFrame, monthly: DataFrame, state: DataFrame, payment: DataFrame) -> DataFrame:
+    """Components of the marts agree with each other and with the order fact as a whole (the grain ``all`` of ``cells``)."""
     sums = lambda df, tag, cols: df.agg(*[F.sum(c).alias(f"{tag} {c}") for c in cols])
     m = sums(monthly, "m", ["orders_with_items", "delivered_orders", "late_orders", "delivery_days_n", "delivery_days_sum",
                             "review_score_n", "reviewed_orders", "items_n", "low_score_orders"])
     s = sums(state, "s", ["orders_with_items", "delivered_orders", "late_orders", "delivery_days_n", "delivery_days_sum", "review_score_n"])
     p = sums(payment, "p", ["orders_with_items", "installments_n", "orders"])
-    f = orders.where("is_in_analysis_window").agg(
-        rows_where(primary & ~F.col("has_no_items")).alias("f orders_with_items"), rows_where(primary).alias("f orders"),
-        rows_where(F.col("is_delivered_late") & ~F.col("is_delivered")).alias("late but not delivered"), F.lit(0).alias("zero"))
+    f = cells.where("grain = 'all'").agg(
+        F.sum(F.col("orders_with_items") - F.col("owi_no_primary_payment")).alias("f orders_with_items"),
+        F.sum(F.col("orders") - F.col("orders_no_primary_payment")).alias("f orders"),
+        F.sum("late_not_delivered").alias("late but not delivered"), F.lit(0).alias("zero"))
     broken_months = payment_scope_by_month(monthly, payment).agg(F.count("*").alias("broken months"))
     shared = ["orders_with_items", "delivered_orders", "late_orders", "delivery_days_n", "delivery_days_sum", "review_score_n"]
     return compare_totals([m, s, p, f, broken_months], [(f"state {c}", f"s {c}", "=", f"m {c}") for c in shared] + [

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import (
-    as_col, avg_where, count_where, in_half_open, month_label, percent, ratio, rows_where, sum_where,
+    as_col, count_where, in_half_open, month_label, percent, ratio, rows_where, sum_where,
 )
 
 
@@ -27,15 +27,16 @@ def _with_people(sums: DataFrame, inside: DataFrame, keys: Sequence[str], name:
     return sums.join(people, same).drop(*[f"_{k}" for k in keys])
 
 
-def monthly_performance(orders: DataFrame) -> DataFrame:
-    """One row per month of the analysis window: headline metrics, their additive components, and
-    the population that a by-instrument mart leaves out."""
+#: The grains that the order marts and their checks need, coarse to fine.
+GRAINS = {"all": [], "month": ["purchase_month"], "state": ["purchase_month", "customer_state"], "instrument": ["purchase_month", "primary_payment_type"]}
+
+
+def _order_sums() -> list[Column]:
     has_items, has_review = ~F.col("has_no_items"), ~F.col("has_no_review")
     low = F.col("latest_review_score") <= 2
-    no_primary = F.col("primary_payment_type").isNull()
+    no_primary = ~F.col("_primary")
     days = "days_purchase_to_delivery"
-    inside = orders.where("is_in_analysis_window")
-    sums = inside.groupBy("purchase_month").agg(
+    return [
         F.count("*").alias("orders"),
         F.sum("items_total_brl").alias("gmv_brl"),
         F.sum("items_price_brl").alias("goods_brl"),
@@ -45,11 +46,7 @@ def monthly_performance(orders: DataFrame) -> DataFrame:
         rows_where("is_canceled").alias("canceled_orders"),
         rows_where("is_delivered").alias("delivered_orders"),
         rows_where("is_delivered_late").alias("late_orders"),
-        avg_where(days, "is_delivered").alias("avg_delivery_days"),
         rows_where(has_review).alias("reviewed_orders"),
-        F.avg("avg_review_score").alias("avg_review_score"),
-        F.avg("item_count").alias("avg_items_per_order"),
-        F.avg("max_installments").alias("avg_installments"),
         rows_where(low).alias("low_score_orders"),
         sum_where(days, "is_delivered").alias("delivery_days_sum"),
         count_where(days, "is_delivered").alias("delivery_days_n"),
@@ -60,26 +57,73 @@ def monthly_performance(orders: DataFrame) -> DataFrame:
         F.count("item_count").alias("items_n"),
         F.sum("max_installments").alias("installments_sum"),
         F.count("max_installments").alias("installments_n"),
+        rows_where(F.col("max_installments") > 1).alias("installment_orders"),
         rows_where(no_primary).alias("orders_no_primary_payment"),
         rows_where(no_primary & has_items).alias("owi_no_primary_payment"),
         F.coalesce(sum_where("items_total_brl", no_primary), F.lit(0)).alias("gmv_no_primary_payment_brl"),
         F.coalesce(sum_where("payment_total_brl", no_primary), F.lit(0)).alias("payment_no_primary_payment_brl"),
-    )
-    return _with_people(sums, inside, ["purchase_month"], "active_customers").select(
+        rows_where(F.col("is_delivered_late") & ~F.col("is_delivered")).alias("late_not_delivered"),
+    ]
+
+
+def order_cells(orders: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
+    """Additive measures of the analysis window at several grains from one scan: one grouping set for each, told apart by ``grain``, so
+    that a NULL state or instrument is a group of its own and never a total. Rows collapse to cells before they move."""
+    inside = orders.where("is_in_analysis_window").withColumn("_primary", F.col("primary_payment_type").isNotNull())
+    keys = list(dict.fromkeys(k for g in grains for k in GRAINS[g]))
+    if len(grains) == 1:
+        return inside.groupBy(*keys).agg(*_order_sums()).select(F.lit(grains[0]).alias("grain"), "*")
+    label = F.lit(None).cast("string")
+    for g in grains:
+        label = F.when(F.grouping_id() == sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in GRAINS[g]), F.lit(g)).otherwise(label)
+    sums = inside.groupingSets([[F.col(k) for k in GRAINS[g]] for g in grains], *keys).agg(label.alias("grain"), *_order_sums())
+    return sums.select("grain", *[c for c in sums.columns if c != "grain"])
+
+
+def _cells(orders: DataFrame | None, cells: DataFrame | None, grain: str) -> DataFrame:
+    return (cells if cells is not None else order_cells(orders, [grain])).where(F.col("grain") == grain)
+
+
+def monthly_sums(orders: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """The monthly mart without its distinct people: headline metrics, their additive components, and the population that a
+    by-instrument mart leaves out."""
+    return _cells(orders, cells, "month").select(
         "purchase_month", month_label("purchase_month").alias("month_label"),
-        "orders", "active_customers", "gmv_brl", "goods_brl", "freight_brl", "payment_brl", "orders_with_items",
+        "orders", "gmv_brl", "goods_brl", "freight_brl", "payment_brl", "orders_with_items",
         ratio("gmv_brl", "orders_with_items").alias("aov_brl"),
         "canceled_orders", percent("canceled_orders", "orders").alias("cancel_rate_pct"),
         "delivered_orders", "late_orders", percent("late_orders", "delivered_orders").alias("late_delivery_rate_pct"),
-        "avg_delivery_days", "reviewed_orders", "avg_review_score",
+        ratio("delivery_days_sum", "delivery_days_n").alias("avg_delivery_days"), "reviewed_orders",
+        ratio("review_score_sum", "review_score_n").alias("avg_review_score"),
         percent("low_score_orders", "reviewed_orders").alias("low_score_rate_pct"),
-        "avg_items_per_order", "avg_installments", "low_score_orders", "delivery_days_sum", "delivery_days_n",
+        ratio("items_sold", "items_n").alias("avg_items_per_order"), ratio("installments_sum", "installments_n").alias("avg_installments"),
+        "low_score_orders", "delivery_days_sum", "delivery_days_n",
         "delivered_missing_delivery_date", "review_score_sum", "review_score_n", "items_sold", "items_n",
         "installments_sum", "installments_n", "orders_no_primary_payment", "owi_no_primary_payment",
         "gmv_no_primary_payment_brl", "payment_no_primary_payment_brl",
     )
 
 
+def state_sums(orders: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """The state mart without its distinct people."""
+    return _cells(orders, cells, "state").select(
+        "purchase_month", month_label("purchase_month").alias("month_label"), "customer_state",
+        "orders", "gmv_brl", "freight_brl",
+        ratio("gmv_brl", "orders_with_items").alias("aov_brl"),
+        percent("freight_brl", "gmv_brl").alias("freight_share_pct"),
+        ratio("delivery_days_sum", "delivery_days_n").alias("avg_delivery_days"), percent("late_orders", "delivered_orders").alias("late_delivery_rate_pct"),
+        ratio("review_score_sum", "review_score_n").alias("avg_review_score"), _share_of_month("gmv_brl").alias("pct_of_month_gmv"),
+        "orders_with_items", "delivered_orders", "late_orders", "delivery_days_sum", "delivery_days_n",
+        "review_score_sum", "review_score_n",
+    )
+
+
+def monthly_performance(orders: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """One row per month of the analysis window; ``cells`` are stored ``order_cells``, where several marts are built."""
+    people = _with_people(monthly_sums(orders, cells), orders.where("is_in_analysis_window"), ["purchase_month"], "active_customers")
+    return people.select("purchase_month", "month_label", "orders", "active_customers", *[c for c in people.columns[3:] if c != "active_customers"])
+
+
 def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame:
     """One row per month and category at line grain. The window is tested on the line's own purchase
     time, so no join back to the order fact is needed.
@@ -114,54 +158,20 @@ def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame
     )
 
 
-def state_performance(orders: DataFrame) -> DataFrame:
+def state_performance(orders: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """One row per month and customer state."""
-    days = "days_purchase_to_delivery"
-    inside = orders.where("is_in_analysis_window")
-    sums = inside.groupBy("purchase_month", "customer_state").agg(
-        F.count("*").alias("orders"),
-        F.sum("items_total_brl").alias("gmv_brl"),
-        F.sum("items_freight_brl").alias("freight_brl"),
-        avg_where(days, "is_delivered").alias("avg_delivery_days"),
-        F.avg("avg_review_score").alias("avg_review_score"),
-        rows_where(~F.col("has_no_items")).alias("orders_with_items"),
-        rows_where("is_delivered").alias("delivered_orders"),
-        rows_where("is_delivered_late").alias("late_orders"),
-        sum_where(days, "is_delivered").alias("delivery_days_sum"),
-        count_where(days, "is_delivered").alias("delivery_days_n"),
-        F.sum("avg_review_score").alias("review_score_sum"),
-        F.count("avg_review_score").alias("review_score_n"),
-    )
-    return _with_people(sums, inside, ["purchase_month", "customer_state"], "customers").select(
-        "purchase_month", month_label("purchase_month").alias("month_label"), "customer_state",
-        "orders", "customers", "gmv_brl", "freight_brl",
-        ratio("gmv_brl", "orders_with_items").alias("aov_brl"),
-        percent("freight_brl", "gmv_brl").alias("freight_share_pct"),
-        "avg_delivery_days", percent("late_orders", "delivered_orders").alias("late_delivery_rate_pct"),
-        "avg_review_score", _share_of_month("gmv_brl").alias("pct_of_month_gmv"),
-        "orders_with_items", "delivered_orders", "late_orders", "delivery_days_sum", "delivery_days_n",
-        "review_score_sum", "review_score_n",
-    )
+    people = _with_people(state_sums(orders, cells), orders.where("is_in_analysis_window"), ["purchase_month", "customer_state"], "customers")
+    return people.select("purchase_month", "month_label", "customer_state", "orders", "customers", *[c for c in people.columns[4:] if c != "customers"])
 
 
-def payment_performance(orders: DataFrame) -> DataFrame:
+def payment_performance(orders: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """One row per month and primary instrument; orders without one are left out, and counted in the
     monthly mart. Amounts are those of whole orders, not of the instrument."""
-    sums = orders.where("is_in_analysis_window and primary_payment_type is not null").groupBy(
-        "purchase_month", "primary_payment_type").agg(
-        F.count("*").alias("orders"),
-        F.sum("payment_total_brl").alias("payment_brl"),
-        F.sum("items_total_brl").alias("gmv_brl"),
-        F.avg("max_installments").alias("avg_installments"),
-        rows_where(F.col("max_installments") > 1).alias("installment_orders"),
-        rows_where(~F.col("has_no_items")).alias("orders_with_items"),
-        F.sum("max_installments").alias("installments_sum"),
-        F.count("max_installments").alias("installments_n"),
-    )
-    return sums.select(
+    source = orders.where("primary_payment_type is not null") if cells is None else None
+    return _cells(source, cells, "instrument").where("primary_payment_type is not null").select(
         "purchase_month", month_label("purchase_month").alias("month_label"), "primary_payment_type",
         "orders", "payment_brl", "gmv_brl", ratio("gmv_brl", "orders_with_items").alias("aov_brl"),
-        "avg_installments", "installment_orders", percent("installment_orders", "orders").alias("installment_rate_pct"),
+        ratio("installments_sum", "installments_n").alias("avg_installments"), "installment_orders", percent("installment_orders", "orders").alias("installment_rate_pct"),
         _share_of_month("orders").alias("pct_of_month_orders"),
         "orders_with_items", "installments_sum", "installments_n",
     )

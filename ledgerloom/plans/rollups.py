@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +38,19 @@ def selection_problem(months: DataFrame, first: str, last: str) -> Column:
     return F.when(seen < len(ends), F.lit(f"no data for an end of {first}..{last}"))
 
 
+class SelectionError(PySparkValueError):
+    """A range of months that can't be selected."""
+
+
 def month_range(df: DataFrame, first: str, last: str, months: DataFrame | None = None) -> DataFrame:
-    """Rows of ``first`` .. ``last``. A reversed range is an error now. An end that is not among ``months`` (by default
-    those of ``df``) is an error when the result is computed, also where no row lies in the range; a mart that merely has no
-    row in a known month is none."""
-    if first > last:
-        raise ValueError(f"{first} lies after {last}")
-    problem = selection_problem(months if months is not None else df, first, last)
-    # a scalar subquery is computed whether or not rows remain
-    usable = (months if months is not None else df).agg(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))).scalar()
-    return df.where(F.col("month_label").between(first, last) & usable)
+    """Rows of ``first`` .. ``last``. A reversed range is an error, and so is an end that is not among ``months`` (by default
+    those of ``df``); the ends are looked up in one small aggregate when the range is asked for. A mart that merely has no row in
+    a known month is no error."""
+    known = months if months is not None else df
+    problem = known.agg(selection_problem(known, first, last)).first()[0] if first <= last else f"{first} lies after {last}"
+    if problem:
+        raise SelectionError(message=problem)
+    return df.where(F.col("month_label").between(first, last))
 
 
 def selections(months: DataFrame, ranges: Sequence[tuple[str, str]]) -> DataFrame:

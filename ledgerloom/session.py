@@ -71,6 +71,13 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared area, for files that a job writes by itself; ``release_staged`` removes it too."""
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_key, rows
 from ledgerloom.operators import grain
+from ledgerloom.plans import marts
 from ledgerloom.sources.schemas import GRAIN, ORDER_STATUSES, PAYMENT_TYPES, REVIEW_SCORES
 from ledgerloom.functions.measures import in_half_open
 from market import CUSTOMERS, ITEMS, ORDERS, PAYMENTS, REVIEWS, WINDOW, Market
@@ -39,9 +40,9 @@ def model_checks(m):
         "money": grain.money_survives([(m.staged["order_items"], [("item_total_brl", "items_total_brl")]),
                                        (m.staged["order_payments"], [("payment_value_brl", "payment_total_brl")])], m.enriched).where("not holds"),
         "facts": grain.facts_agree(m.fct_orders, m.fct_lines).where("not holds"),
-        "marts": grain.metric_layer_reconciles(m.fct_orders, m.fct_lines, m.monthly, m.category, m.state, m.payment,
+        "marts": grain.metric_layer_reconciles(marts.order_cells(m.fct_orders), m.fct_lines, m.monthly, m.category, m.state, m.payment,
                                                in_half_open("purchased_at", *WINDOW)).where("not holds"),
-        "components": grain.additive_components_agree(m.fct_orders, m.monthly, m.state, m.payment).where("not holds"),
+        "components": grain.additive_components_agree(marts.order_cells(m.fct_orders), m.monthly, m.state, m.payment).where("not holds"),
         "recency": grain.recency_anchor(m.people),
     }
 
@@ -67,13 +68,13 @@ def test_injected_source_defects_are_caught(spark, table, data, broken):
 
 def test_model_defects_are_caught(spark, market):
     late = market.fct_orders.withColumn("is_delivered_late", F.col("is_delivered_late") | (F.col("order_id") == "o04"))
-    broken = grain.additive_components_agree(late, market.monthly, market.state, market.payment).where("not holds")
+    broken = grain.additive_components_agree(marts.order_cells(late), market.monthly, market.state, market.payment).where("not holds")
     assert [r["check_name"] for r in broken.collect()] == ["late implies delivered"]
     lost = market.fct_lines.where("order_id <> 'o06'")
     assert {r["check_name"] for r in grain.facts_agree(market.fct_orders, lost).where("not holds").collect()} == {"same item money", "same orders with items"}
     doubled = market.state.union(market.state.limit(1))
     names = {r["check_name"] for r in grain.metric_layer_reconciles(
-        market.fct_orders, market.fct_lines, market.monthly, market.category, doubled, market.payment, in_half_open("purchased_at", *WINDOW)).where("not holds").collect()}
+        marts.order_cells(market.fct_orders), market.fct_lines, market.monthly, market.category, doubled, market.payment, in_half_open("purchased_at", *WINDOW)).where("not holds").collect()}
     assert names and names <= {"state gmv", "state orders"}
     gone = market.payment.where("month_label <> '2017-01'")
     assert [r["month_label"] for r in grain.payment_scope_by_month(market.monthly, gone).collect()] == ["2017-01"]

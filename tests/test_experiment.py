@@ -2,6 +2,7 @@ import math
 from statistics import NormalDist
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from conftest import by_key, rows
@@ -94,3 +95,18 @@ def test_counts_from_document(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"note": 1,\n "counts": {"n_t": 10, "y_t": 4, "n_c": 8, "y_c": 2, "n_exposed": 3},\n "inferred": {"y_exposed": {"value": 2}}}')
     got = rows(read_documented_counts(spark, str(tmp_path / "c.json")))[0]
     assert [got[c] for c in ex.COUNTS] == [10, 4, 8, 2, 3, 2]
+
+
+def test_tail_areas_are_column_arithmetic(spark):
+    """To thirteen digits of the library function, on both sides of the joint, without Python in the plan."""
+    import math
+
+    from ledgerloom.functions.normal import two_sided_p
+
+    zs = [0.0, -0.0, 1e-9, 0.3, -1.96, 2.5, 2.999999, 3.0, 3.000001, -4.4, 7.99, 12.0, 25.0, 37.0, 39.0, 1e6]
+    df = spark.createDataFrame([(z,) for z in zs] + [(None,), (float("nan"),)], "z double").select("z", two_sided_p(F.col("z")).alias("p"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = df.collect()
+    for r in got[:-2]:
+        assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), rel=1e-12, abs=1e-300), r
+    assert [r["p"] for r in got[-2:]] == [None, None]

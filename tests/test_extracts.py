@@ -76,8 +76,8 @@ def test_older_extracts_are_inferred_and_bounded(spark, table_rows, tmp_path):
     ("monthly", "gmv_brl", "1e3", "gmv_brl"), ("monthly", "gmv_brl", "59.301", "gmv_brl"), ("monthly", "orders", "2.5", "orders"),
     ("monthly", "orders", "-3", "orders"), ("monthly", "orders", "", "required"), ("monthly", "avg_review_score", "NaN", "avg_review_score"),
     ("monthly", "avg_review_score", "1e999", "avg_review_score"), ("monthly", "gmv_brl", "Infinity", "gmv_brl"),
-    ("monthly", "month_label", "2017-1", "canonical"), ("monthly", "purchase_month", "2017-01-02", "first day"),
-    ("monthly", "month_label", "2017-04", "disagrees"), ("monthly", "late_orders", "4", "late within delivered"),
+    ("monthly", "month_label", "2017-1", "label is no YYYY-MM"), ("monthly", "purchase_month", "2017-01-02", "date is no first of a month"),
+    ("monthly", "month_label", "2017-04", "name different months"), ("monthly", "late_orders", "4", "late within delivered"),
     ("monthly", "active_customers", "99", "active_customers within orders"), ("monthly", "goods_brl", "1.00", "goods and freight"),
     ("monthly", "orders", "0", "a month has orders"), ("category", "product_category", "", "product_category"),
     ("category", "orders", "99", "orders between 1 and lines"), ("payment", "installment_orders", "99", "installment orders"),

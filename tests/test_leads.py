@@ -164,3 +164,35 @@ def test_lag_distribution_and_cardinality(features):
     got = rows(marts.lag_distribution(features))[0]
     assert (got["wins"], got["min_days"], got["max_days"], got["median_days"]) == (4, -2, 91, 45.0)
     assert rows(marts.key_cardinality(features, "landing_page_id"))[0] == {"distinct_keys": 2, "single_row_keys": 1, "largest_group": 5}
+
+
+def test_many_channels_stay_sparse_and_on_the_jvm(spark):
+    """50,000 levels: a row has one indicator and the numbers, the plan has no Python node, and the gradient has a term for each input of a row."""
+    n = 50_000
+    names = F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    train = spark.range(n).select(names.alias("channel"), (F.col("id") % 7 == 0).cast("int").alias("label"), *[(F.col("id") % (5 + i)).cast("double").alias(c) for i, c in enumerate(lf.NUMERIC_FEATURES)])
+    enc = cohorts.fit_encoder(train)
+    out = enc.transform(train.union(train.limit(1).withColumn("channel", F.lit("never seen"))))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r["channel"]: r["features"] for r in out.where("channel IN ('c000000', 'c000001', 'c049999', 'never seen')").collect()}
+    wide, numbers = n - 1, len(lf.NUMERIC_FEATURES)
+    assert all(v.size == wide + numbers for v in rows.values())
+    active = {c: [int(i) for i in v.indices if i < wide] if hasattr(v, "indices") else None for c, v in rows.items()}
+    assert active == {"c000000": [], "c000001": [0], "c049999": [wide - 1], "never seen": []}
+
+    class Fitted:
+        intercept = 0.25
+
+        class coefficients:  # noqa: N801
+            @staticmethod
+            def toArray():  # noqa: N802
+                import numpy as np
+
+                return np.concatenate((np.full(wide, 0.5), np.zeros(numbers)))
+
+    gradient = cohorts.penalised_gradient(out.where("channel <> 'never seen'"), Fitted)
+    assert "Python" not in gradient._jdf.queryExecution().executedPlan().toString()
+    got = gradient.first()
+    p, p0 = 1 / (1 + 2.718281828459045 ** -0.75), 1 / (1 + 2.718281828459045 ** -0.25)
+    positives = sum(i % 7 == 0 for i in range(n))
+    assert got["n"] == n and got["largest"] == pytest.approx((n - 1) * p + p0 - positives, rel=1e-3)

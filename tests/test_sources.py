@@ -83,3 +83,46 @@ def test_staged_tables_can_be_released(spark):
     table, path = session.stage(spark.range(4), "r")
     assert table.count() == 4 and session.release_staged(spark) >= 1
     assert not session.remove_path(spark, path)
+
+
+def test_replacing_a_month_leaves_the_files_of_others(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE month_files LOCATION '{tmp_path}/month_files'")
+    fact = spark.range(600).select("id", (F.col("id") % 10).alias("v"), F.concat(F.lit("2020-0"), F.col("id") % 3 + 1).alias("month"))
+    table = sinks.save_fact(fact, "month_files.fact", "month", "id", 2)
+    files = lambda m: {r[0] for r in spark.table(table).where(F.col("month") == m).select(F.input_file_name()).distinct().collect()}
+    before = {m: files(m) for m in ("2020-01", "2020-02", "2020-03")}
+    assert all(len(x) == 2 for x in before.values())
+    sinks.replace_months(fact.withColumn("v", F.lit(99).cast("long")), table, "month", "id", 2, ["2020-02"])
+    spark.catalog.refreshTable(table)
+    assert files("2020-01") == before["2020-01"] and files("2020-03") == before["2020-03"] and not files("2020-02") & before["2020-02"]
+    got = {r["month"]: (r["n"], r["v"]) for r in spark.table(table).groupBy("month").agg(F.count("*").alias("n"), F.max("v").alias("v")).collect()}
+    assert got == {"2020-01": (200, 9), "2020-02": (200, 99), "2020-03": (200, 9)}
+    both = spark.table(table).hint("merge").join(spark.table(table).withColumnRenamed("v", "w"), "id").groupBy("id").agg(F.sum("w").alias("w"))
+    assert sinks.exchanges(both) == [] and both.count() == 600
+    assert sinks.exchanges(fact.groupBy("v").count())
+
+
+def test_order_of_files_is_proved_or_refuted(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") % 40).alias("k"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("s"), F.col("id") % 7)).alias("s"), F.col("id").alias("u"))
+
+    def proof(order, claimed, **conf):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        sinks.export_csv(df, path, order)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf.get("block", "128m"))
+        try:
+            return sinks.files_in_order(spark.read.schema(df.schema).option("header", True).csv(path), claimed).first().asDict()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    by = [F.desc("k"), F.asc("s"), F.asc("u")]
+    for block in ("128m", "700"):
+        got = proof(by, by, block=block)
+        assert got["in_order"] and got["n_rows"] == 1000 and (got["n_blocks"] > 8 or block == "128m")
+        assert proof(by, [F.desc("k")], block=block)["in_order"] and not proof(by, ["k"], block=block)["in_order"]
+        assert not proof(by, [F.desc("k"), F.desc("s")], block=block)["in_order"] and not proof([F.asc("u")], by, block=block)["in_order"]
+
+
+def test_checks_are_taken_while_writing(spark, tmp_path):
+    df = spark.range(500).select("id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    got = {r["check_name"]: r["value"] for r in sinks.save_checked(df, str(tmp_path / "fact"), {"rows": F.count("*"), "null v": F.count_if(F.col("v").isNull()), "sum": F.sum("v")}).collect()}
+    assert got == {"rows": 500, "null v": 100, "sum": sum(i for i in range(500) if i % 5)} and spark.read.parquet(str(tmp_path / "fact")).count() == 500

@@ -199,9 +199,29 @@ oracle("staged_closed_deals", f"""SELECT mql_id, mql_id AS seller_id, won_at, {_
   {r6('value * 10', 'declared_monthly_revenue_brl')} FROM @deal@""")
 oracle("verified_exports", " UNION ALL ".join(
     f"""SELECT '{n}' AS extract, count(*) AS rows_meant, count(*) AS rows_found, count(*) - count(gmv) AS nulls_meant, count(*) - count(gmv) AS nulls_found,
-    {big('sum(gmv) * 100', 'cents_meant')}, {big('sum(gmv) * 100', 'cents_found')}, true AS verified FROM @{t}@"""
+    {big('sum(gmv) * 100', 'cents_meant')}, {big('sum(gmv) * 100', 'cents_found')}, true AS in_order, true AS verified FROM @{t}@"""
     for n, t in (("monthly", "mm"), ("category", "mc"), ("state", "ms"), ("payment", "mp"))))
-oracle("ranked_score_export", f"SELECT count(*) AS n, {big('sum(label)', 'positives')}, {r6('sum(score)', 'score_sum')}, count(DISTINCT id) AS ids FROM @sc@")
+oracle("shuffled_export", f"""SELECT count(*) AS rows_meant, count(*) AS rows_found, count(*) - count(gmv) AS nulls_meant, count(*) - count(gmv) AS nulls_found,
+  {big('sum(gmv) * 100', 'cents_meant')}, {big('sum(gmv) * 100', 'cents_found')}, false AS in_order, true AS verified FROM @ms@""")
+oracle("ranked_score_export", f"SELECT count(*) AS n, {big('sum(label)', 'positives')}, {r6('sum(score)', 'score_sum')}, count(DISTINCT id) AS ids, true AS in_order FROM @sc@")
+
+# ---------------------------------------------------------------------------- stored layers
+oracle("rebuilt_month", f"""SELECT order_id, person AS customer_unique_id, state AS customer_state, {money('total', 'items_total_brl')}, {money('paid', 'payment_total_brl')},
+  is_late AS is_delivered_late, strftime(month, '%Y-%m') AS month_label FROM @fo@""")
+oracle("stored_facts_join", f"""SELECT order_id, strftime(month, '%Y-%m') AS month_label, items AS n_lines, {money('total', 'items_total_brl')}, {money('total', 'lines_brl')},
+  true AS agrees FROM @fo@""")
+oracle("checks_of_a_write", " UNION ALL ".join(f"SELECT '{name}' AS check_name, CAST({value} AS BIGINT) AS value FROM @fo@" for name, value in (
+    ("rows", "count(*)"), ("null order_id", "count(*) - count(order_id)"), ("null delivered_at", "count(*) - count(delivered_at)"),
+    ("null primary_payment_type", "count(*) - count(primary_type)"), ("item cents", "sum(total) * 100"), ("payment cents", "sum(paid) * 100"),
+    ("unaccepted statuses", "count(*) FILTER (order_status NOT IN ('delivered', 'canceled'))"), ("late but not delivered", "count(*) FILTER (is_late AND NOT is_delivered)"),
+    ("days since the last order", "date_diff('day', max(purchased_at) FILTER (in_window), max(purchased_at))"))))
+oracle("order_marts_together", " UNION ALL ".join(
+    f"""SELECT '{grain}' AS grain, {month} AS purchase_month, {state} AS state, {kind} AS instrument, count(*) AS orders, count(*) FILTER (NOT no_items) AS orders_with_items,
+    count(*) FILTER (is_delivered) AS delivered_orders, count(*) FILTER (is_late) AS late_orders, count(mean_score) AS review_score_n, count(inst) AS installments_n,
+    {money('sum(total)', 'gmv_brl')}, {money('sum(paid)', 'payment_brl')}, {money('sum(freight)', 'freight_brl')} FROM @fo@ WHERE in_window {group}"""
+    for grain, month, state, kind, group in (
+        ("all", "CAST(NULL AS DATE)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", ""), ("month", "month", "NULL", "NULL", "GROUP BY month"),
+        ("state", "month", "state", "NULL", "GROUP BY month, state"), ("instrument", "month", "NULL", "primary_type", "GROUP BY month, primary_type"))))
 
 # ---------------------------------------------------------------------------- order grain, dimensions, facts
 oracle("items_by_order", f"""SELECT order_id, n AS item_count, sellers AS distinct_sellers, products AS distinct_products,
@@ -216,7 +236,8 @@ _ORDER_BODY = f"""items AS item_count, sellers AS distinct_sellers, {money('pric
   primary_type AS primary_payment_type, {r6('mean_score', 'avg_review_score')}, {big('latest', 'latest_review_score')}, days AS days_purchase_to_delivery,
   delay AS delivery_days_vs_estimate, is_late AS is_delivered_late, no_items AS has_no_items, no_payment AS has_no_payment, no_review AS has_no_review"""
 oracle("orders_enriched", f"""SELECT order_id, customer_id, person AS customer_unique_id, zip AS customer_zip_prefix, city AS customer_city, state AS customer_state,
-  order_status, purchased_at, delivered_at, products AS distinct_products, types AS distinct_payment_types, reviews AS review_count, {_ORDER_BODY} FROM @fo@""")
+  order_status, purchased_at, delivered_at, products AS distinct_products, types AS distinct_payment_types, reviews AS review_count,
+  purchased_at AS approved_at, purchased_at + INTERVAL 2 DAY AS handed_to_carrier_at, purchased_at + INTERVAL 20 DAY AS estimated_delivery_at, {_ORDER_BODY} FROM @fo@""")
 oracle("fct_orders", f"""SELECT order_id, person AS customer_unique_id, purchased_at, CAST(purchased_at AS DATE) AS purchase_date, month AS purchase_month,
   f.state AS customer_state, f.city AS customer_city, {r6('g.lat', 'customer_latitude')}, {r6('g.lng', 'customer_longitude')},
   g.zip IS NULL AS customer_zip_not_geocoded, order_status, is_delivered, is_canceled, delivered_at, in_window AS is_in_analysis_window, {_ORDER_BODY}
@@ -604,6 +625,21 @@ oracle("channel_baselines", f"""SELECT mql_id, CAST(label AS BIGINT) AS label, {
 oracle("encoder_moments", "SELECT " + ", ".join(
     f"{r6(f'avg({x})', f'mean_{n}')}, {r6(f'stddev_pop({x})', f'spread_{n}')}" for n, x in (("log_page_volume", _LOGV), ("contact_weekday", _DOW), ("is_weekend", _WKD))) + " FROM @tr@")
 
+oracle("lead_model_evidence", "SELECT count(*) AS training_rows, true AS mean_is_base_rate, true AS trees_beat_constant, true AS trees_near_channels, true AS constant_has_no_skill FROM @tr@")
+block("lv", "SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS level, count(*) OVER () AS n FROM (SELECT DISTINCT channel FROM @tr@)")
+oracle("encoded_leads", f"""SELECT mql_id, t.channel, CASE WHEN level = 0 THEN repeat('0', CAST(n - 1 AS BIGINT))
+  ELSE repeat('0', CAST(level - 1 AS BIGINT)) || '1' || repeat('0', CAST(n - 1 - level AS BIGINT)) END AS indicators, n - 1 + 3 AS width,
+  {r6(f'({_LOGV} - (SELECT avg({_LOGV}) FROM @tr@)) / (SELECT stddev_pop({_LOGV}) FROM @tr@)', 'first_number')} FROM @tr@ t JOIN @lv@ l ON l.channel = t.channel""")
+_J = DESIGN.judge
+oracle("design_problems", " UNION ALL ".join(
+    f"""SELECT '{name}' AS design, CAST({n} AS BIGINT) AS n_problems, '2024-01-01..{last}' AS learned_from, DATE '2024-01-12' AS settled, '{a}..{b}' AS judged_on,
+    (SELECT count(*) FROM @lead@ WHERE contact BETWEEN DATE '{a}' AND DATE '{b}') AS leads"""
+    for name, n, last, a, b in (
+        ("sound", 0, "2024-01-12", _J.first, _J.last), ("labels not settled", 0, "2024-01-19", _J.first, _J.last), ("judged before the cut", 1, "2024-01-12", "2024-01-15", "2024-01-23"),
+        ("outcomes not seen", 1, "2024-01-12", _J.first, _J.last), ("unknown features", 1, "2024-01-12", _J.first, _J.last), ("nobody to judge", 1, "2024-01-12", "2024-01-23", "2024-01-21"))))
+oracle("month_gaps", f"""SELECT * FROM (SELECT month AS after_month, lag(month) OVER (ORDER BY month) AS before_month
+  FROM (SELECT DISTINCT CAST(date_trunc('month', purchased_at) AS DATE) AS month FROM @o@ WHERE strftime(purchased_at, '%Y-%m') NOT IN ('1996-03', '{GAP}', '1998-07')))
+  WHERE date_diff('month', before_month, after_month) > 1""")
 oracle("lead_model_is_optimal", "SELECT count(*) AS training_rows, true AS gradient_is_zero FROM @tr@")
 
 
@@ -646,6 +682,18 @@ SQL["ranking_quality"] = with_blocks(quality("sc", False), "sc")
 SQL["ranking_quality_documents"] = with_blocks(quality("scd", True), "scd")
 
 
+def compared(population: str, source: str) -> str:
+    """One population's scores as they are, reversed and all equal, through the same measures."""
+    versions = {"score": "score", "reversed": "1 - score", "flat": "0.5"}
+    parts = []
+    for model, score in versions.items():
+        text = quality("v", True).replace("WITH_BLOCKS,", "WITH").replace("@v@", f"(SELECT id, label, CAST({score} AS DOUBLE) AS score FROM @{source}@)")
+        parts.append(f"SELECT '{population}' AS population, '{model}' AS model, * FROM ({text})")
+    return " UNION ALL ".join(parts)
+
+
+oracle("model_comparison", compared("orders", "sc") + " UNION ALL " + compared("documents", "scd"))
+
 block("flat", "SELECT id, label, 0.5 AS score FROM @sc@")
 
 

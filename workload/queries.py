@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce, wraps
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ledgerloom.functions import measures as ms
 from ledgerloom.functions.status import flatten
 from ledgerloom.operators import extracts, grain, infer, order_stats, point_in_time, ranking
 from ledgerloom.plans import cohorts, experiment, facts, lead_features, marts, order_grain, rollups, segments, staging
-from ledgerloom.session import stage, staging_root
+from ledgerloom.session import scratch, stage
 from ledgerloom.sources import readers, sinks, trade_tables
 
 from .world import HORIZON, WINDOW, World, tidy
@@ -70,7 +72,7 @@ for _role in trade_tables.RAW:
 
 
 def _scratch(w: World, name: str) -> str:
-    return f"{staging_root(w.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(w.spark, name)
 
 
 @query
@@ -95,7 +97,8 @@ def documented_counts(w: World) -> DataFrame:
 def verified_exports(w: World) -> DataFrame:
     """Each mart written as ordered CSV, read back and compared to the cent."""
     w.keep("mart_orders")
-    root = f"{staging_root(w.spark)}/exports-{w.spark.sparkContext.applicationId}-{id(w)}"
+    w.with_cells()
+    root = _scratch(w, "exports")
     keys = {"monthly": ["purchase_month"], "category": ["purchase_month", "product_category"],
             "state": ["purchase_month", "customer_state"], "payment": ["purchase_month", "primary_payment_type"]}
     return union([
@@ -103,14 +106,78 @@ def verified_exports(w: World) -> DataFrame:
         for name, by in keys.items()])
 
 
+@query
+def shuffled_export(w: World) -> DataFrame:
+    """The state mart written in no order: the same rows and money, and files that don't hold the order claimed for them."""
+    mixed = w.keep("state").repartition(3, F.xxhash64("purchase_month", "customer_state"))
+    return sinks.verified_export(mixed, _scratch(w, "mixed"), "gmv_brl", claimed=["purchase_month", "customer_state"])
+
+
 @query
 def ranked_score_export(w: World) -> DataFrame:
-    """Scores written best first, read back with typed columns."""
-    path = f"{staging_root(w.spark)}/scores-{w.spark.sparkContext.applicationId}-{id(w)}"
+    """Scores written best first, read back with typed columns, and whether the files hold that order."""
+    path = _scratch(w, "scores")
     sinks.export_ranked_scores(trade_tables.ranked_orders(w.spark, w.sf_dir), path, "score", "id")
     back = readers.read_scores(w.spark, path, "id", "label", ["score"])
+    placed = sinks.files_in_order(back.withColumn("id", F.col("id").cast("bigint")), [F.desc("score"), F.asc("id")]).first()["in_order"]
     return back.agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.sum("score").alias("score_sum"),
-                    F.countDistinct("id").alias("ids"))
+                    F.countDistinct("id").alias("ids"), F.lit(placed).alias("in_order"))
+
+
+# ------------------------------------------------------------------ stored layers
+BUCKETS = 4
+STORED_ORDERS = ("order_id", "customer_unique_id", "customer_state", "items_total_brl", "payment_total_brl", "is_delivered_late", "month_label")
+STORED_LINES = ("order_id", "product_category", "item_total_brl", "month_label")
+
+
+def _layer(w: World) -> str:
+    """A database of its own in the shared area."""
+    name = f"layer_{uuid.uuid4().hex[:12]}"
+    w.spark.sql(f"CREATE DATABASE {name} LOCATION '{_scratch(w, name)}'")
+    return name
+
+
+@query
+def rebuilt_month(w: World) -> DataFrame:
+    """A stored order fact with a stale month (money doubled, a third of its orders missing), of which only that month is replaced: the
+    whole table afterwards."""
+    label = F.col("month_label")
+    orders = w.fct_orders.withColumn("month_label", ms.month_label("purchase_month")).select(*STORED_ORDERS)
+    stale = orders.where((label != FIRST) | (F.pmod(F.xxhash64("order_id"), F.lit(3)) > 0)).withColumn(
+        "items_total_brl", F.when(label == FIRST, (F.col("items_total_brl") * 2).cast("decimal(22,2)")).otherwise(F.col("items_total_brl").cast("decimal(22,2)")))
+    table = sinks.save_fact(stale, f"{_layer(w)}.fct_orders", "month_label", "order_id", BUCKETS)
+    fresh = orders.where(label == FIRST).withColumn("items_total_brl", F.col("items_total_brl").cast("decimal(22,2)"))
+    sinks.replace_months(fresh, table, "month_label", "order_id", BUCKETS, [FIRST])
+    return w.spark.table(table)
+
+
+@query
+def stored_facts_join(w: World) -> DataFrame:
+    """Orders and lines stored in equal buckets, joined and grouped by order without an exchange; a plan that has one is an error."""
+    layer = _layer(w)
+    orders = w.fct_orders.withColumn("month_label", ms.month_label("purchase_month")).select(*STORED_ORDERS)
+    lines = w.fct_lines.withColumn("month_label", ms.month_label("purchase_month")).select(*STORED_LINES)
+    stored = [w.spark.table(sinks.save_fact(df, f"{layer}.{name}", "month_label", "order_id", BUCKETS)) for df, name in ((orders, "fct_orders"), (lines, "fct_lines"))]
+    per_order = stored[1].groupBy("order_id").agg(F.count("*").alias("n_lines"), F.sum("item_total_brl").alias("lines_brl"))
+    out = stored[0].join(per_order.hint("merge"), "order_id", "left").select(
+        "order_id", "month_label", "n_lines", "items_total_brl", "lines_brl", F.col("items_total_brl").eqNullSafe(F.col("lines_brl")).alias("agrees"))
+    moved = sinks.exchanges(out)
+    if moved:
+        raise RuntimeError(f"stored facts are moved again: {moved}")
+    return out
+
+
+@query
+def checks_of_a_write(w: World) -> DataFrame:
+    """Null counts, totals and domains of the order fact, taken while it is written: one scan for the table and its checks."""
+    cents = lambda c: (F.sum(c) * 100)
+    checks = {
+        "rows": F.count("*"), "null order_id": ms.rows_where(F.col("order_id").isNull()), "null delivered_at": ms.rows_where(F.col("delivered_at").isNull()),
+        "null primary_payment_type": ms.rows_where(F.col("primary_payment_type").isNull()), "item cents": cents("items_total_brl"), "payment cents": cents("payment_total_brl"),
+        "unaccepted statuses": ms.rows_where(~F.col("order_status").isin("delivered", "canceled")), "late but not delivered": ms.rows_where(F.col("is_delivered_late") & ~F.col("is_delivered")),
+        "days since the last order": F.datediff(F.max("purchased_at"), F.max(F.when(F.col("is_in_analysis_window"), F.col("purchased_at")))),
+    }
+    return sinks.save_checked(w.fct_orders, _scratch(w, "checked"), checks)
 
 
 # ------------------------------------------------------------------ order grain, dimensions, facts
@@ -136,7 +203,7 @@ def zip_centroids(w: World) -> DataFrame:
 
 @query
 def orders_enriched(w: World) -> DataFrame:
-    return w.enriched.drop("approved_at", "handed_to_carrier_at", "estimated_delivery_at")
+    return w.enriched
 
 
 @query
@@ -371,17 +438,26 @@ def facts_agree(w: World) -> DataFrame:
 
 @query
 def metric_layer_reconciles(w: World) -> DataFrame:
-    w.keep("mart_orders")
+    """One scan of the order fact gives the marts (here without their distinct people, which no check reads) and the totals."""
+    cells = w.with_cells()
     w.keep("mart_lines")
-    return grain.metric_layer_reconciles(w.mart_orders, w.mart_lines, w.monthly, w.category, w.state, w.payment,
-                                         ms.in_half_open("purchased_at", *WINDOW))
+    return grain.metric_layer_reconciles(cells, w.mart_lines, marts.monthly_sums(cells=cells), w.category, marts.state_sums(cells=cells),
+                                         w.payment, ms.in_half_open("purchased_at", *WINDOW))
 
 
 @query
 def additive_components_agree(w: World) -> DataFrame:
-    for name in ("mart_orders", "monthly", "payment"):
-        w.keep(name)
-    return grain.additive_components_agree(w.mart_orders, w.monthly, w.state, w.payment)
+    cells = w.with_cells()
+    return grain.additive_components_agree(cells, marts.monthly_sums(cells=cells), marts.state_sums(cells=cells), w.payment)
+
+
+@query
+def order_marts_together(w: World) -> DataFrame:
+    """The three order marts from one aggregate with grouping sets: every additive cell of each."""
+    cells = w.with_cells()
+    money = ["gmv_brl", "payment_brl", "freight_brl"]
+    return cells.select("grain", "purchase_month", F.col("customer_state").alias("state"), F.col("primary_payment_type").alias("instrument"),
+                        "orders", "orders_with_items", "delivered_orders", "late_orders", "review_score_n", "installments_n", *money)
 
 
 @query
@@ -398,7 +474,7 @@ def row_rule_breaches(w: World) -> DataFrame:
 
 @query
 def pinned_expectations(w: World) -> DataFrame:
-    """Monthly order counts against counts pinned from the raw table: nothing differs."""
+    """Monthly order counts against counts pinned from the raw table: the months outside the analysis window are missing."""
     pinned = w.table("orders").groupBy(ms.month_label(ms.month_start("o_orderdate")).alias("month_label")).agg(F.count("*").alias("orders"))
     return grain.expect(w.monthly.select("month_label", "orders"), pinned, ["month_label"])
 
@@ -660,13 +736,61 @@ def lead_model_weights(w: World) -> DataFrame:
     return cohorts.run_design(w.leads, DESIGN, boosted=False).weights
 
 
+@query
+def lead_model_evidence(w: World) -> DataFrame:
+    """What must hold of any fit: trees rank no worse than the overall rate and within a band of the channel rates, and a logistic fit
+    with a free intercept predicts the base rate on average over its training rows."""
+    w.keep("leads")
+    run = cohorts.run_design(w.leads, DESIGN, rounds=20)
+    auc = {r["model"]: r["auc"] for r in run.metrics.select("model", "auc").collect()}
+    fitted = cohorts.positive_probability(run.logistic, run.inputs, "p").agg(
+        F.count("*").alias("training_rows"), (F.abs(F.avg("p") - F.avg("label")) < 1e-6).alias("mean_is_base_rate"))
+    return fitted.withColumns({"trees_beat_constant": F.lit(auc["score_gb"] > 0.4), "trees_near_channels": F.lit(abs(auc["score_gb"] - auc["score_channel"]) < 0.15),
+                               "constant_has_no_skill": F.lit(auc["score_base"] == 0.5)})
+
+
+@query
+def encoded_leads(w: World) -> DataFrame:
+    """The sparse inputs of the models, made dense: indicator columns of all channels but the first, and the number of scaled ones."""
+    train = lead_features.design_matrix(DESIGN.training(w.leads))
+    encoder = cohorts.fit_encoder(train)
+    wide = encoder.n_levels - 1
+    dense = vector_to_array("features")
+    return encoder.transform(train).select(
+        "mql_id", "channel", F.array_join(F.transform(F.slice(dense, 1, wide), lambda x: x.cast("int").cast("string")), "").alias("indicators"),
+        F.size(dense).cast("bigint").alias("width"), F.round(F.element_at(dense, wide + 1), 6).alias("first_number"))
+
+
+@query
+def design_problems(w: World) -> DataFrame:
+    """What is wrong with designs that can't be run, and how each describes itself; the first is sound."""
+    day = dt.date
+    broken = {"sound": {}, "labels not settled": {"learn_to": day(2024, 1, 19)}, "judged before the cut": {"judge": cohorts.Days(day(2024, 1, 15), day(2024, 1, 23))},
+              "outcomes not seen": {"seen_to": day(2024, 1, 24)}, "unknown features": {"features": "x"}, "nobody to judge": {"judge": cohorts.Days(day(2024, 1, 23), day(2024, 1, 21))}}
+    rows = []
+    for name, change in broken.items():
+        design = replace(DESIGN, **change)
+        rows.append((name, len(design.problems()), str(design.learn), design.settled, str(design.judge)))
+    told = w.spark.createDataFrame(rows, "design string, n_problems bigint, learned_from string, settled date, judged_on string")
+    sizes = union([w.leads.where(F.col("first_contact_date").between(F.lit(d.judge.first), F.lit(d.judge.last))).agg(F.count("*").alias("leads")).select(F.lit(n).alias("design"), "leads")
+                   for n, d in ((n, replace(DESIGN, **c)) for n, c in broken.items())])
+    return told.join(sizes, "design")
+
+
+@query
+def month_gaps(w: World) -> DataFrame:
+    """Months on both sides of each gap, after the orders of three months are taken out."""
+    months = w.staged("orders").select(ms.month_start("purchased_at").alias("purchase_month"))
+    return grain.month_gaps(months.where(~ms.month_label("purchase_month").isin("1996-03", GAP, "1998-07")))
+
+
 @query
 def lead_model_is_optimal(w: World) -> DataFrame:
     """The fitted logistic weights are where the gradient of the penalised loss is zero."""
     w.keep("leads")
     run = cohorts.run_design(w.leads, DESIGN, boosted=False)
     return cohorts.penalised_gradient(run.inputs, run.logistic).select(
-        F.col("n").alias("training_rows"), (F.col("largest") < 1e-3 * F.col("n")).alias("gradient_is_zero"))
+        F.col("n").alias("training_rows"), (F.col("largest") < 1e-5 * F.col("n")).alias("gradient_is_zero"))
 
 
 # ------------------------------------------------------------------ score rankings
@@ -697,6 +821,16 @@ def constant_score_top(w: World) -> DataFrame:
     return ranking.top_k(flat, 500)
 
 
+@query
+def model_comparison(w: World) -> DataFrame:
+    """Three stored scores of orders and of documents (one of them reversed, one all ties), each population from one sort of all its scores."""
+    parts = []
+    for name, ranked in (("orders", trade_tables.ranked_orders), ("documents", trade_tables.ranked_documents)):
+        scored = ranked(w.spark, w.sf_dir).withColumns({"reversed": 1 - F.col("score"), "flat": F.lit(0.5)})
+        parts.append(ranking.evaluate_scores(scored, ["score", "reversed", "flat"], "id", "label").select(F.lit(name).alias("population"), "*"))
+    return union(parts)
+
+
 @query
 def cumulative_gains(w: World) -> DataFrame:
     return ranking.gains(ranking.score_steps(trade_tables.ranked_orders(w.spark, w.sf_dir)))

@@ -94,9 +94,24 @@ class World:
     def people(self) -> DataFrame:
         return facts.dim_customers(self.staged("customers"), self.enriched)
 
+    @cached_property
+    def order_cells(self) -> DataFrame:
+        return marts.order_cells(self.mart_orders)
+
+    def with_cells(self) -> DataFrame:
+        """Writes the order measures of all grains once; marts built from here on read them."""
+        self.keep("order_cells")
+        for name in {"monthly", "state", "payment"} - self.kept:
+            self.__dict__.pop(name, None)
+        return self.order_cells
+
+    @property
+    def _cells(self) -> DataFrame | None:
+        return self.order_cells if "order_cells" in self.kept else None
+
     @cached_property
     def monthly(self) -> DataFrame:
-        return marts.monthly_performance(self.mart_orders)
+        return marts.monthly_performance(self.mart_orders, self._cells)
 
     @cached_property
     def category(self) -> DataFrame:
@@ -104,11 +119,11 @@ class World:
 
     @cached_property
     def state(self) -> DataFrame:
-        return marts.state_performance(self.mart_orders)
+        return marts.state_performance(self.mart_orders, self._cells)
 
     @cached_property
     def payment(self) -> DataFrame:
-        return marts.payment_performance(self.mart_orders)
+        return marts.payment_performance(self.mart_orders, self._cells)
 
     @cached_property
     def leads(self) -> DataFrame:
@@ -128,6 +143,7 @@ class World:
         from ledgerloom.sources.schemas import EXTRACT_COLUMNS
 
         self.keep("mart_orders")
+        self.with_cells()
         texts = {}
         for name, columns in EXTRACT_COLUMNS.items():
             mart = self.keep(name) if written else getattr(self, name)
