@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,7 @@ def staging_root(spark: SparkSession) -> str:
 
 
 _STAGED: list[str] = []
+_WITHIN: ContextVar[list[str] | None] = ContextVar("staged_within", default=None)
 
 
 def release_staged(spark: SparkSession) -> int:
@@ -68,9 +70,27 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     _STAGED.append(path)
+    if (within := _WITHIN.get()) is not None:
+        within.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def staged_result(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``stage`` for the frame that ``build`` returns; what ``build`` itself has staged on the way is removed."""
+    within: list[str] = []
+    token = _WITHIN.set(within)
+    try:
+        frame = build()
+    finally:
+        _WITHIN.reset(token)
+    result, _ = stage(frame, label)
+    for path in within:
+        if path in _STAGED:
+            remove_path(spark, path)
+            _STAGED.remove(path)
+    return result
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared area, for files that a job writes by itself; ``release_staged`` removes it too."""
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
