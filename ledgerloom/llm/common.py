@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,10 +73,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of the longest span that a polynomial may name. Modulo a power of two some long words over two letters agree with
+#: their complements under every base; up to this length such words still differ in more than half of the bits.
+SHORT = 64
+
+
 class SpanHasher:
-    """64-bit polynomial hashes of byte spans, from prefix sums; equal spans hash alike at any place.
+    """64-bit hashes of byte spans; equal spans hash alike at any place, and the result depends only on the bytes and ``seed``.
 
-    The result depends only on the bytes and ``seed``. Two different spans collide with a chance of about 2**-64.
+    Short spans get polynomials from prefix sums, longer ones (rare among words and pieces) a digest of their bytes. Two given
+    spans collide with a chance of about 2**-64; among some 2**32 different ones a collision is to be expected.
     """
 
     def __init__(self, seed: int = 1):
@@ -84,6 +91,7 @@ class SpanHasher:
         base = int(rng.integers(1, 2**61)) * 8 + 5
         self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 2**64))
         self.powers = self.inverses = np.ones(0, np.uint64)
+        self.key, self.data = seed.to_bytes(8, "little"), None
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
@@ -92,11 +100,15 @@ class SpanHasher:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
+        self.data = data  # of the sums that ``spans`` is asked for next
         return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[data] * self.powers[:len(data)], dtype=np.uint64)))
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         length = (ends - starts).astype(np.uint64)
-        return mix((sums[ends] - sums[starts]) * self.inverses[starts] + length)
+        out = mix((sums[ends] - sums[starts]) * self.inverses[starts] + length)
+        for i in np.flatnonzero(length > SHORT).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i]:ends[i]].tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return out
 
 
 def lean() -> None:

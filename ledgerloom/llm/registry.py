@@ -106,7 +106,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingles.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = shingles.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_links")
 
 
 @query

@@ -506,3 +506,22 @@ def test_language_threshold_with_few_rows():
     assert language.rejection(right) < right[0]
     many = np.sort(1 / (1 + np.exp(-rng.exponential(1.5, 5000))))
     assert language.rejection(many) == pytest.approx(many[5])
+
+
+# ------------------------------------------------------------------ words that a polynomial can't tell apart
+def test_thue_morse_words_are_told_apart(spark):
+    """A word over two letters and its complement agree modulo 2**64 under every base from about a thousand bytes on."""
+    word = b"a"
+    while len(word) < 2048:
+        word += bytes(195 - c for c in word)
+    a, b = word.decode(), bytes(195 - c for c in word).decode()
+    frame = spark.createDataFrame([(1, a), (2, b), (3, a), (4, f"x {a} y {b}"), (7, "some words to learn")], "doc_id long, text string").repartition(2)
+    found = {r.doc_id: r.component_id for r in shingles.near_duplicates(frame).collect()}
+    assert found == {1: 1, 2: 2, 3: 1, 4: 4, 7: 7}
+    tokenizer = tokenizers.Tokenizer.from_file(vocabulary_path())
+    for r in roundtrip.encode_documents(frame, vocabulary_path()).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == tokenizer.encode(r.text, add_special_tokens=False).ids
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in range(100)}
+    learnt, out = next(d for d in held if not held[d]), next(d for d in held if held[d])
+    scored = backoff.learn_and_score(spark.createDataFrame([(learnt, a), (out, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_known for r in scored} == {learnt: 2, out: 1}

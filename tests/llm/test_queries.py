@@ -39,6 +39,22 @@ def test_pipeline_stages(spark):
         if k == 0:
             assert docs.where("doc_id >= 10000").count() == 0
         if k == 1:
-            assert docs.count() == docs.select("doc_id").distinct().count()
+            assert docs.count() == docs.select("doc_id", "text").distinct().count()
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.6 * sizes[0]
     assert docs.where("n_tokens IS NULL OR ids IS NULL").count() == 0
+
+
+def test_two_texts_under_one_id_are_two_documents(spark):
+    """A near copy is dropped, another text with its id stays, and rows that repeat as a whole stay once."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, near), (2, near + " more"), (2, other), (2, other), (3, None), (None, near), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(1, near), (2, other), (3, None), (None, near), (4, "")], key=str)
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, work in corpus_pipeline.STAGES[1:]:
+        assert work(spark, docs, SF).collect() == [], name
