@@ -3,7 +3,8 @@
 Each stage takes the documents its predecessor kept and returns the columns of documents; the last adds token ids.
 ``run`` writes each stage as Parquet in the shared folder and reads it again, so a lost executor costs one stage at most.
 Nulls: a row whose text is null is rejected by the first stage; a row without doc_id passes every stage, but is
-never dropped as a copy and never loses a passage.
+never dropped as a copy and never loses a passage. Columns other than those of documents are not read, so their names can't clash; an
+empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import decontaminate, language, roundtrip, shingles, suffixes
 from ledgerloom.llm.common import table
 from ledgerloom.llm.registry import vocabulary_path
-from ledgerloom.session import stage
+from ledgerloom.session import stage, staged_result
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,16 +27,26 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id in each component of near copies. Rows of one id are one document."""
+    """Keeps of each component of near copies the document of smallest id (of two texts under one id, that of the smaller
+    hash), and of rows that share id and text one. Texts without words link with nothing."""
     rows = docs.select(*COLUMNS)
-    found = shingles.near_duplicates(rows.select("doc_id", "text"))
-    dropped = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = rows.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+
+    def verdicts() -> DataFrame:
+        """(doc_id, mark, dropped) of the documents that are dropped or occur more than once."""
+        found = shingles.near_duplicates(rows.select("doc_id", "text")).where("doc_id IS NOT NULL").select("doc_id", "mark", "group")
+        seen = found.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.first("group").alias("group"))
+        stays = seen.groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("stays"))
+        judged = seen.join(stays, "group", "left").select("doc_id", "mark", "n", F.coalesce(F.struct("doc_id", "mark") != F.col("stays"), F.lit(False)).alias("dropped"))
+        return judged.where("dropped OR n > 1").select("doc_id", "mark", "dropped")
+
+    told = staged_result(spark, verdicts, "near-copies")
+    marked = rows.withColumn("mark", F.xxhash64("text")).join(told, ["doc_id", "mark"], "left")
+    once = marked.where("NOT dropped").dropDuplicates(["doc_id", "mark"])  # rows that repeat
+    return marked.where("dropped IS NULL").union(once).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document of smaller id has; a document may end up with an empty text."""
+    """Cuts passages that a document of smaller id has; a document may end up with an empty text, and a null one does."""
     cut = suffixes.deduplicate(docs.select(*COLUMNS), with_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
