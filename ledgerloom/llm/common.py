@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +134,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def free_names(columns: Iterable[str], *stems: str) -> list[str]:
+    """Helper column names that ``columns`` lack, whatever the case of their letters."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while any((stem + tail).lower() in taken for stem in stems):
+        tail += "_"
+    return [stem + tail for stem in stems]
+
+
+def without(columns: Iterable[str], *names: str) -> list[str]:
+    """The columns but those of the given names, whatever the case of their letters."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def pieces(total: int, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` a total makes; grows with the data, so that no part does."""
     return int(max(least, -(-total // each)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, column_bytes, lean, pieces, word_spans
+from .common import ALNUM, LOWER, column_bytes, free_names, lean, pieces, without, word_spans
 
 #: Words in a window; windows in one automaton (at about 80 characters each, some 100 MB).
 WIDTH, WINDOWS = 13, 20_000
@@ -52,8 +52,8 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 RESULT = "n_words long, hits array<int>, items array<string>, matches array<struct<item:string,start:int,stop:int>>"
 
 
-def scan(documents: DataFrame, patterns: list[tuple[bytes, list[str]]]) -> DataFrame:
-    """Adds ``_scan`` (words, hit words, items, matches with character spans) for one set of windows."""
+def scan(documents: DataFrame, patterns: list[tuple[bytes, list[str]]], name: str) -> DataFrame:
+    """Adds a column ``name`` (words, hit words, items, matches with character spans) for one set of windows."""
     shared = documents.sparkSession.sparkContext.broadcast(patterns)
     word, match = pa.int32(), pa.struct([("item", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
 
@@ -100,7 +100,7 @@ def scan(documents: DataFrame, patterns: list[tuple[bytes, list[str]]]) -> DataF
                 [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(word)), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(match))],
                 ["n_words", "hits", "items", "matches"])
 
-    return documents.withColumn("_scan", F.arrow_udf(run, RESULT)(F.col("text")))
+    return documents.withColumn(name, F.arrow_udf(run, RESULT)(F.col("text")))
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,17 +119,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     at least one word in twenty lies in a window."""
     every = windows(benchmark, width).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
     parts = pieces(every.count(), window_limit)
-    out = documents.drop("n_words", "n_hit", "items", "matches", "contaminated")
-    kept = out.columns
+    kept = without(documents.columns, "n_words", "n_hit", "items", "matches", "contaminated")
+    held, words, hits, items, matches = free_names(kept, "_scan", "_words", "_hits", "_items", "_matches")
+    out = documents.select(*[F.col(f"`{c}`") for c in kept])
     for part in range(parts):
         # part of a bounded size: the windows are dealt out by their hash
         rows = every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).collect()
-        out = scan(out, sorted((bytes(r.window), list(r["items"])) for r in rows))
-        found = {name: F.col(f"_scan.{name}") for name in ("hits", "items", "matches")}
+        out = scan(out, sorted((bytes(r.window), list(r["items"])) for r in rows), held)
+        found = {hits: F.col(f"{held}.hits"), items: F.col(f"{held}.items"), matches: F.col(f"{held}.matches")}
         if part:
-            found = {"hits": F.array_union("_hits", found["hits"]), "items": F.array_union("_items", found["items"]),
-                     "matches": F.concat("_matches", found["matches"])}
-        out = out.select(*[F.col(f"`{c}`") for c in kept], F.col("_scan.n_words").alias("_words"), *[v.alias(f"_{k}") for k, v in found.items()])
-    n_hit = F.size("_hits").cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.array_sort("_items").alias("items"),
-                      F.array_sort("_matches").alias("matches"), ((n_hit > 0) & (20 * n_hit >= F.col("_words"))).alias("contaminated"))
+            found = {hits: F.array_union(hits, found[hits]), items: F.array_union(items, found[items]), matches: F.concat(matches, found[matches])}
+        out = out.select(*[F.col(f"`{c}`") for c in kept], F.col(f"{held}.n_words").alias(words), *[v.alias(k) for k, v in found.items()])
+    n_hit = F.size(hits).cast("long")
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(words).alias("n_words"), n_hit.alias("n_hit"), F.array_sort(items).alias("items"),
+                      F.array_sort(matches).alias("matches"), ((n_hit > 0) & (20 * n_hit >= F.col(words))).alias("contaminated"))

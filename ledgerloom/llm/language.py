@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, column_bytes, mix, slices
+from .common import LOWER, column_bytes, free_names, mix, slices, without
 
 #: Buckets, embedding width, longest gram; rows that training may collect, at most, and the part held back.
 BUCKETS, WIDTH, LONGEST = 1 << 14, 16, 4
@@ -163,8 +163,9 @@ def rejection(right: np.ndarray) -> float:
 
 def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` with lang_pred, score and rejected, which replace columns of these names. Only the text is read."""
-    plain = documents.drop("lang_pred", "score", "rejected").withColumn("_letters", has_letter(text)).withColumn("_text", F.when(F.col("_letters"), F.col(text)))
-    fields = plain.drop("_letters", "_text").schema
+    fields = without(documents.columns, "lang_pred", "score", "rejected")
+    letters, lettered, guessed = free_names(fields, "_letters", "_text", "_guess")
+    plain = documents.select(*[F.col(f"`{c}`") for c in fields]).withColumn(letters, has_letter(text)).withColumn(lettered, F.when(F.col(letters), F.col(text)))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         logits = np.ascontiguousarray(model.logits)
@@ -182,11 +183,11 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
                 [pa.array(np.array(model.languages or [UNKNOWN], object)[p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1))], ["lang", "score"])
 
     guess = F.arrow_udf(run, "lang string, score double")
-    known = F.col("_letters") & F.lit(bool(model.languages))
-    out = plain.withColumn("_guess", guess(F.col("_text")))
-    score = F.when(known, F.least(F.greatest(F.col("_guess.score"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    known = F.col(letters) & F.lit(bool(model.languages))
+    out = plain.withColumn(guessed, guess(F.col(lettered)))
+    score = F.when(known, F.least(F.greatest(F.col(f"{guessed}.score"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     return out.select(
-        *[F.col(f"`{f.name}`") for f in fields], F.when(known, F.col("_guess.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"),
+        *[F.col(f"`{c}`") for c in fields], F.when(known, F.col(f"{guessed}.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"),
         (~known | (score < model.threshold)).alias("rejected"))
 
 

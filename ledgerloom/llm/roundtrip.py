@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytepair import Coder, Vocabulary
-from .common import SpanHasher, column_bytes, lean, slices
+from .common import SpanHasher, column_bytes, free_names, lean, slices, without
 
 #: Bytes that decide on a cut; one cut in so many bytes; shortest and longest chunk.
 REACH, EVERY, LEAST, MOST = 32, 1024, 256, 8192
@@ -189,9 +189,10 @@ def encoded(vocabulary: Vocabulary, text: Column, documents: DataFrame, with_ids
 def encode_documents(documents: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
     """``documents`` with ids, n_tokens, ids_sha256 and decoded_sha256, which replace columns of these names."""
     names = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in documents.columns if c not in names]
-    out = documents.withColumn("_coded", encoded(Vocabulary(path), F.col(text), documents, with_ids))
-    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"_coded.{n}").alias(n) for n in names])
+    kept = without(documents.columns, *names)
+    (coded,) = free_names(documents.columns, "_coded")
+    out = documents.withColumn(coded, encoded(Vocabulary(path), F.col(text), documents, with_ids))
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{coded}.{n}").alias(n) for n in names])
 
 
 def decode_ids(ids: np.ndarray, coder: Coder) -> str:

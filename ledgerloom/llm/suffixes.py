@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, column_bytes, lean, mix, pieces, slices, text_bytes
+from .common import SpanHasher, column_bytes, free_names, lean, mix, pieces, slices, text_bytes, without
 
 #: Bytes of a match; bytes of a sampled gram.
 LENGTH, GRAM = 50, 8
@@ -271,7 +271,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     """Each row of ``documents`` (doc_id, text and others) with n_bytes, n_removed, n_spans, kept_sha256 and kept in place
     of its text. ``kept``, if asked for, is the remaining text: characters that lost a byte are left out of it, while
     the digest is that of the remaining bytes. Other columns stay, but for those named like a result."""
-    others = [c for c in documents.columns if c not in RESULT and c != "text"]
+    others = without(documents.columns, *RESULT, "text")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
     total = text_bytes(rows)
     # the least numbers keep all cores of a small cluster busy; beyond that both grow with the text
@@ -311,9 +311,10 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
         return pa.concat_tables(out) if out else pa.table({name: pa.array([], kind) for name, kind in (*zip(RESULT, kinds, strict=True), *((c, texts.schema.field(c).type) for c in others))})
 
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    dealt = rows.withColumn("bundle", F.arrow_udf(deal, "int")(F.coalesce(F.col("doc_id"), F.xxhash64("text"))))
+    (bundle,) = free_names(rows.columns, "bundle")
+    dealt = rows.withColumn(bundle, F.arrow_udf(deal, "int")(F.coalesce(F.col("doc_id"), F.xxhash64("text"))))
     schema = T.StructType([*T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in RESULT.items())).fields, *(rows.schema[c] for c in others)])
-    return dealt.groupBy("bundle").cogroup(matches.groupBy("bundle")).applyInArrow(cut, schema)
+    return dealt.groupBy(bundle).cogroup(matches.groupBy("bundle")).applyInArrow(cut, schema)
 
 
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:

@@ -525,3 +525,16 @@ def test_thue_morse_words_are_told_apart(spark):
     learnt, out = next(d for d in held if not held[d]), next(d for d in held if held[d])
     scored = backoff.learn_and_score(spark.createDataFrame([(learnt, a), (out, b)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_known for r in scored} == {learnt: 2, out: 1}
+
+
+# ------------------------------------------------------------------ columns that clash with helper names
+def test_helper_names_never_clash(spark):
+    names = ("bundle", "_scan", "_words", "_hits", "_items", "_matches", "_coded", "_guess", "_text", "_letters", "_Scan_", "IDS_", "BUNDLE_")
+    frame = spark.createDataFrame([(1, "some text of words", "en", *range(len(names))), (2, None, "en", *range(len(names)))],
+                                  "doc_id long, text string, lang string, " + ", ".join(f"`{n}` long" for n in names))
+    items = spark.createDataFrame([("i1", "text of words")], "item_id string, text string")
+    for out in (suffixes.deduplicate(frame), decontaminate.decontaminate(frame, items), roundtrip.encode_documents(frame, vocabulary_path()), language.identify(frame)):
+        rows = out.collect()
+        assert len(rows) == 2 and all(r[n] == k for r in rows for k, n in enumerate(names))
+    upper = roundtrip.encode_documents(frame.withColumn("IDS", F.lit(1)), vocabulary_path())
+    assert [c.lower() for c in upper.columns].count("ids") == 1
