@@ -9,7 +9,10 @@ word w after u, after t:
 - after t, u the same with kept triples, h = c(t, u) + ``PRIOR``, and the weight of w after u. A history without kept
   n-grams leaves everything to the shorter one.
 
-No model is gathered anywhere. Documents are cut into written slices; a slice sends its distinct words and pairs with
+As these weights fall back by a factor of the history alone, they are a weighted automaton: histories are states, kept n-grams arcs, and
+what a history leaves over is the weight of its failure arc. A document is traversed once from left to right, carrying the state.
+
+No model is gathered anywhere: a slice of documents has the states and arcs that its own text can reach. Documents are cut into written slices; a slice sends its distinct words and pairs with
 their counts in training to parts by hash, and each part sends back the totals, so that a slice knows the exact counts
 at each of its tokens. Triples of which both pairs are kept follow, and the sums over what each history keeps: each kept n-gram
 belongs to one of the slices that have it, and this slice alone adds it to the history's sum. An n-gram is one entry of
@@ -189,21 +192,19 @@ class Slice:
         a, b = self.kept_after(self.pair_at[self.longer - 1][self.triple_first], self.total(KIND_TRIPLE)[0], len(self.pairs))
         return self.send(KIND_AFTER_PAIR, self.pairs[self.asks2], a[self.asks2], b[self.asks2])
 
-    def weigh(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: occurrences of its word in training, weight of the word alone, and after its history."""
-        c1 = self.c1[self.place]
-        alone = (c1 + 1) / size
+    def automaton(self, size: int) -> Automaton:
+        """The part of the model's automaton that the slice's tokens can reach."""
+        alone = (self.c1 + 1) / size
         before = np.concatenate(([0], self.place[:-1]))
-        left, seen = self.left(KIND_AFTER_WORD, self.asks1, self.c1)
-        c2 = self.c2[self.pair_at]
-        whole = np.where(c2 >= self.least, c2 - DISCOUNT, 0.0) / seen[before] + left[before] * alone
-        left, seen = self.left(KIND_AFTER_PAIR, self.asks2, self.c2)
-        c3 = np.zeros(len(whole), np.int64)
-        c3[self.longer] = (self.total(KIND_TRIPLE)[0] >> 1)[self.triple_at]
-        inner = np.flatnonzero(self.last != END)
-        history = self.pair_at[inner - 1]
-        whole[inner] = np.where(c3[inner] >= self.least, c3[inner] - DISCOUNT, 0.0) / seen[history] + left[history] * whole[inner]
-        return c1, alone, whole
+        word, last = before[self.pair_first], self.place[self.pair_first]
+        left1, seen1 = self.left(KIND_AFTER_WORD, self.asks1, self.c1)
+        kept = self.c2 >= self.least
+        after_word = np.where(kept, self.c2 - DISCOUNT, 0.0) / seen1[word] + left1[word] * alone[last]
+        left2, seen2 = self.left(KIND_AFTER_PAIR, self.asks2, self.c2)
+        count = self.total(KIND_TRIPLE)[0] >> 1
+        history, pair = self.pair_at[self.longer - 1][self.triple_first], self.pair_at[self.longer][self.triple_first]
+        after_pair = (count - DISCOUNT) / seen2[history] + left2[history] * after_word[pair]
+        return Automaton(alone, left1, left2, word, last, kept, after_word, history, pair, count >= self.least, after_pair)
 
     def left(self, kind: int, asked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mass that each history leaves to the shorter one, and what its n-grams are shares of."""
@@ -213,6 +214,49 @@ class Slice:
         return (seen - kept) / seen, seen
 
 
+class Automaton:
+    """Weighted backoff automaton. State 0 has no history, 1 + w the word w as history, and beyond them 1 + words + p the pair p.
+
+    A kept n-gram is an arc from the state of its history to the longest state that its end is in, with the smoothed weight of its
+    last word. A state without an arc for a word fails to the state of its history's tail, at the weight that its kept
+    n-grams leave over; state 0 has an arc for every word. Word 0 is the end: it is the history of a document's first
+    word, and no longer history goes beyond it.
+    """
+
+    def __init__(self, alone: np.ndarray, left1: np.ndarray, left2: np.ndarray, word: np.ndarray, last: np.ndarray, kept: np.ndarray,
+                 after_word: np.ndarray, history: np.ndarray, pair: np.ndarray, often: np.ndarray, after_pair: np.ndarray):
+        self.words = words = len(alone)
+        state = np.where(kept & (last != 0), 1 + words + np.arange(len(last)), 1 + last)  # after a pair
+        sources = np.concatenate((1 + word[kept], 1 + words + history[often]))
+        labels = np.concatenate((last[kept], last[pair[often]]))
+        self.arcs = dict(zip((sources * words + labels).tolist(), range(len(labels)), strict=True))
+        self.weight = np.log10(np.concatenate((after_word[kept], after_pair[often]))).tolist()
+        self.target = np.concatenate((state[kept], state[pair[often]])).tolist()
+        self.first = np.log10(alone).tolist()
+        self.loss = np.log10(np.concatenate(([1.0], left1, left2))).tolist()
+        self.fail = np.concatenate(([0], np.zeros(words, np.int64), 1 + last)).tolist()
+
+    def score(self, tokens: list[int]) -> float:
+        """One traversal from left to right that carries the state and adds up log10 weights."""
+        arcs, words, fail, loss = self.arcs, self.words, self.fail, self.loss
+        state, total = 1, 0.0
+        for token in tokens:
+            arc = arcs.get(state * words + token)
+            while arc is None:
+                total += loss[state]
+                state = fail[state]
+                if not state:
+                    break
+                arc = arcs.get(state * words + token)
+            if arc is None:
+                total += self.first[token]
+                state = 1 + token
+            else:
+                total += self.weight[arc]
+                state = self.target[arc]
+        return total
+
+
 def add_up(group: pa.Table) -> pa.Table:
     """Totals of each code over all slices, for each slice; the lowest bit of the first marks the slice a code belongs to. The
     row of key -1 has the sum and the number of all codes that occur in training."""
@@ -238,9 +282,8 @@ class Model:
     least: int
 
 
-def learn(documents: DataFrame, share: int | None = None) -> Model:
-    """``documents`` has doc_id, text and held. ``share`` makes a smaller model: n-grams that occur once in so many bytes."""
-    least = max(LEAST, -(-text_bytes(documents) // share)) if share else LEAST
+def learn(documents: DataFrame, least: int = LEAST) -> Model:
+    """``documents`` has doc_id, text and held."""
     return Model(documents, walk(documents), least)
 
 
@@ -289,11 +332,15 @@ def score(documents: DataFrame, model: Model, parts: int) -> DataFrame:
         out = []
         for r in own.to_pylist():
             x = Slice(r, found.to_pylist(), parts, least)
-            count, alone, whole = x.weigh(n + v + 1)
+            count = x.c1[x.place]
+            alone = (count + 1) / (n + v + 1)
             begins = np.cumsum(x.n) - x.n
+            model = x.automaton(n + v + 1)
+            scores = [model.score(x.place[a:b].tolist()) for a, b in zip(begins.tolist(), (begins + x.n).tolist(), strict=True)]
+            del model
             held = np.ones(len(x.ids), bool) if other else (x.marks & 2) > 0
             out.append(pa.table([pa.array(x.ids, mask=(x.marks & 1).astype(bool)), pa.array(held), pa.array(x.n), pa.array(np.add.reduceat((count > 0).astype(np.int64), begins)),
-                                 pa.array(np.full(len(x.ids), n)), pa.array(np.add.reduceat(np.log10(alone), begins)), pa.array(np.add.reduceat(np.log10(whole), begins))],
+                                 pa.array(np.full(len(x.ids), n)), pa.array(np.add.reduceat(np.log10(alone), begins)), pa.array(scores, pa.float64())],
                                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (
             ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})

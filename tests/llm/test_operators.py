@@ -236,7 +236,7 @@ def test_backoff_equals_recursion_and_sums_to_one(spark):
     rng = random.Random(9)
     docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))) for i in range(80)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held", F.lit(False))
-    model = backoff.learn(frame, share=10**9)
+    model = backoff.learn(frame)
     lists = [["<s>", *t.split(), "<s>"] for _, t in docs]
     uni = Counter(x for w in lists for x in w[1:])
     pairs = Counter(p for w in lists for p in zip(w, w[1:]))
