@@ -49,6 +49,8 @@ DISCOUNT, PRIOR = 0.75, 5.0
 #: Text for each part of the counts, and in a slice.
 PART, SLICE = 8 << 20, 4 << 20
 FOLDS, HELD = 7, 2
+#: Documents that are worth a common step.
+WIDE = 32
 #: Name of the end token; keys of slices that teach nothing begin here.
 END, FOREIGN = np.uint64(0), 1 << 60
 
@@ -229,32 +231,78 @@ class Automaton:
         state = np.where(kept & (last != 0), 1 + words + np.arange(len(last)), 1 + last)  # after a pair
         sources = np.concatenate((1 + word[kept], 1 + words + history[often]))
         labels = np.concatenate((last[kept], last[pair[often]]))
-        self.arcs = dict(zip((sources * words + labels).tolist(), range(len(labels)), strict=True))
-        self.weight = np.log10(np.concatenate((after_word[kept], after_pair[often]))).tolist()
-        self.target = np.concatenate((state[kept], state[pair[often]])).tolist()
-        self.first = np.log10(alone).tolist()
-        self.loss = np.log10(np.concatenate(([1.0], left1, left2))).tolist()
-        self.fail = np.concatenate(([0], np.zeros(words, np.int64), 1 + last)).tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """One traversal from left to right that carries the state and adds up log10 weights."""
-        arcs, words, fail, loss = self.arcs, self.words, self.fail, self.loss
-        state, total = 1, 0.0
-        for token in tokens:
-            arc = arcs.get(state * words + token)
-            while arc is None:
-                total += loss[state]
-                state = fail[state]
-                if not state:
-                    break
+        codes = sources * words + labels
+        order = np.argsort(codes)
+        # the last code is no arc: every search ends at a place
+        self.codes = np.append(codes[order], np.iinfo(np.int64).max)
+        self.weight = np.append(np.log10(np.concatenate((after_word[kept], after_pair[often])))[order], 0.0)
+        self.target = np.append(np.concatenate((state[kept], state[pair[often]]))[order], 0)
+        self.first = np.log10(alone)
+        self.loss = np.log10(np.concatenate(([1.0], left1, left2)))
+        self.fail = np.concatenate(([0], np.zeros(words, np.int64), 1 + last))
+
+    def score(self, tokens: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """One traversal of each document from left to right that carries its state and adds up log10 weights. All documents take
+        their next token together; a few long ones that are left go on one by one."""
+        order = np.argsort(-n, kind="stable")
+        begins, n = begins[order], n[order]
+        state, total = np.ones(len(n), np.int64), np.zeros(len(n))
+        longest, step, live = int(n.max(initial=0)), 0, len(n)
+        while step < longest:
+            live = int(np.searchsorted(-n[:live], -step))  # documents of more tokens than that
+            if live < WIDE and 100 * (longest - step) > len(self.codes):
+                break
+            state[:live], weight = self.step(state[:live], tokens[begins[:live] + step])
+            total[:live] += weight
+            step += 1
+        if step < longest:
+            walk = self.walker()
+            for i in range(live):
+                total[i] = walk(tokens[begins[i] + step:begins[i] + n[i]].tolist(), int(state[i]), float(total[i]))
+        out = np.empty(len(n))
+        out[order] = total
+        return out
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 weight) of one token from each state."""
+        state, target, weight, left = state.copy(), 1 + token, np.zeros(len(state)), np.arange(len(state))
+        while len(left):
+            wanted = state[left] * self.words + token[left]
+            arc = np.searchsorted(self.codes, wanted)
+            found = self.codes[arc] == wanted
+            weight[left[found]] += self.weight[arc[found]]
+            target[left[found]] = self.target[arc[found]]
+            left = left[~found]
+            weight[left] += self.loss[state[left]]
+            state[left] = self.fail[state[left]]
+            ground = left[state[left] == 0]
+            weight[ground] += self.first[token[ground]]
+            left = left[state[left] != 0]
+        return target, weight
+
+    def walker(self) -> Callable[[list[int], int, float], float]:
+        """The same for the rest of one document, from a state and a total."""
+        arcs, words = dict(zip(self.codes.tolist(), range(len(self.codes)), strict=True)), self.words
+        weight, target, first, loss, fail = (x.tolist() for x in (self.weight, self.target, self.first, self.loss, self.fail))
+
+        def walk(tokens: list[int], state: int, total: float) -> float:
+            for token in tokens:
                 arc = arcs.get(state * words + token)
-            if arc is None:
-                total += self.first[token]
-                state = 1 + token
-            else:
-                total += self.weight[arc]
-                state = self.target[arc]
-        return total
+                while arc is None:
+                    total += loss[state]
+                    state = fail[state]
+                    if not state:
+                        break
+                    arc = arcs.get(state * words + token)
+                if arc is None:
+                    total += first[token]
+                    state = 1 + token
+                else:
+                    total += weight[arc]
+                    state = target[arc]
+            return total
+
+        return walk
 
 
 def add_up(group: pa.Table) -> pa.Table:
@@ -336,7 +384,7 @@ def score(documents: DataFrame, model: Model, parts: int) -> DataFrame:
             alone = (count + 1) / (n + v + 1)
             begins = np.cumsum(x.n) - x.n
             model = x.automaton(n + v + 1)
-            scores = [model.score(x.place[a:b].tolist()) for a, b in zip(begins.tolist(), (begins + x.n).tolist(), strict=True)]
+            scores = model.score(x.place, begins, x.n)
             del model
             held = np.ones(len(x.ids), bool) if other else (x.marks & 2) > 0
             out.append(pa.table([pa.array(x.ids, mask=(x.marks & 1).astype(bool)), pa.array(held), pa.array(x.n), pa.array(np.add.reduceat((count > 0).astype(np.int64), begins)),

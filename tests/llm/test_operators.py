@@ -271,6 +271,28 @@ def test_backoff_equals_recursion_and_sums_to_one(spark):
         assert sum(three(t, u, w) for w in uni) + left == pytest.approx(1)
 
 
+def test_backoff_steps_together_equal_steps_of_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = np.concatenate((rng.integers(1, 40, 60), [3000, 1]))
+    begins, words = np.cumsum(n) - n, 50
+    place = rng.integers(1, words, n.sum())
+    place[begins + n - 1] = 0
+    word, last = (x.reshape(-1) for x in np.meshgrid(np.arange(words), np.arange(words), indexing="ij"))
+    kept = (rng.random(len(word)) < 0.5) & (word + last > 0)
+    history = np.repeat(np.flatnonzero(kept & (last != 0)), 3)
+    pair = last[history] * words + np.tile([0, 7, 19], len(history) // 3)
+    history, pair = history[kept[pair]], pair[kept[pair]]
+    share = [rng.uniform(0.01, 1, k) for k in (words, words, len(word), len(word), len(history))]
+    model = backoff.Automaton(*share[:3], word, last, kept, share[3], history, pair, np.ones(len(history), bool), share[4])
+    scores = []
+    for wide in (0, 32, 1000):  # all together, long rests one by one, each one by one
+        monkeypatch.setattr(backoff, "WIDE", wide)
+        scores.append(model.score(place, begins, n))
+    assert np.allclose(scores[0], scores[1], rtol=1e-12) and np.allclose(scores[0], scores[2], rtol=1e-12)
+    walk = model.walker()
+    assert np.allclose(scores[0], [walk(place[a:a + k].tolist(), 1, 0.0) for a, k in zip(begins, n, strict=True)], rtol=1e-12)
+
+
 def test_backoff_edge_cases(spark):
     assert backoff.learn_and_score(empty(spark)).count() == 0
     rows = backoff.learn_and_score(spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")).collect()
