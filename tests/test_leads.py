@@ -132,6 +132,17 @@ def test_run_design_ranks_better_than_chance(spark):
     assert cohorts.penalised_gradient(run.inputs, run.logistic).first()["largest"] < 0.05
 
 
+def test_run_design_after_an_observed_export(spark):
+    """A session in which something was observed can't be sent to tasks, so the fitted model must not hold it."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 3}
+    run = cohorts.run_design(lead_population(spark, 300), design(), boosted=False)
+    assert run.scores.where("score_lr BETWEEN 0 AND 1").count() == run.summary["score_n"] > 0
+
+
 def test_logistic_matches_a_direct_optimum(spark):
     """The fit minimises summed log loss plus half the squared weights, intercept free."""
     import numpy as np
