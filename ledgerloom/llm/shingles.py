@@ -17,7 +17,9 @@ documents, so rare tokens come first everywhere and a passage that many document
    the last round looks at all pairs of the components that are left.
 
 So every link between different components is looked at, and none is lost, while a group of near copies costs about
-one comparison for each copy. Components are found by star steps over the link table.
+one comparison for each copy. Components are found by star steps over the link table. At the end the whole sets of a
+component meet in blocks, which counts all links of each class: work that grows with the square of a component by nature,
+in memory that does not.
 
 Words are the runs of bytes other than space and 9-13, after lower-casing A-Z. A text with fewer than ``width`` words
 has its whole sequence as its one token; a null text, or one without words, has no token and no link. Equal texts
@@ -49,6 +51,8 @@ PART, OPEN, NEAREST = 1 << 18, 20_000, 1
 FEW = 24
 #: Rows of a broadcast when the texts of sets in question are read again.
 SMALL = 100_000
+#: Tokens and sets of one block when the links of a component are counted; 64-bit words of its sets held at a time.
+TOKENS, SETS, WORDS = 1 << 20, 2048, 1 << 19
 
 
 class Shingler:
@@ -119,8 +123,8 @@ def in_order(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of a power of two of bits, at least as many as tokens (64 to 65536)."""
-    bits = min(1 << 16, max(64, 1 << (len(tokens) - 1).bit_length())) if len(tokens) else 64
+    """Parity of the tokens in each of a power of two of bits, at least twice as many as tokens (64 to 65536)."""
+    bits = min(1 << 16, max(64, 2 << (len(tokens) - 1).bit_length())) if len(tokens) else 64
     odd = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -277,10 +281,8 @@ def linked(percent: int, overlap: Column, a: Column, b: Column) -> Column:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def verify(pairs: DataFrame, rows: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (written) pairs (a, b) of row numbers whose whole sets are similar, written. Sets are made again from the texts of
-    the rows in question only."""
-    asked = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+def whole_sets(asked: DataFrame, rows: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """(rid, tokens) of the row numbers in ``asked`` (rid), each once; sets are made again from the texts of these rows only."""
     wanted = asked.join(rows, "rid").select("rid", "doc_id", "mark", "set_id")
     if asked.count() <= SMALL:  # some 50 bytes a row; beyond it texts and rows meet by key
         wanted = F.broadcast(wanted)
@@ -299,7 +301,13 @@ def verify(pairs: DataFrame, rows: DataFrame, documents: DataFrame, width: int,
     texts = wanted.join(read, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")))
     # written before ids are compared: a filter on a made column would become a join key and make the sets of all texts
     made, _ = stage(texts.select("rid", "set_id", F.arrow_udf(run, "id binary, tokens binary")(F.col("text")).alias("s")), "sets")
-    sets = made.where("s.id = set_id").select("rid", "s.tokens").dropDuplicates(["rid"])  # of rows that repeat as a whole
+    return made.where("s.id = set_id").select("rid", "s.tokens").dropDuplicates(["rid"])  # of rows that repeat as a whole
+
+
+def verify(pairs: DataFrame, rows: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (written) pairs (a, b) of row numbers whose whole sets are similar, written."""
+    asked = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+    sets = whole_sets(asked, rows, documents, width)
 
     def overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
@@ -396,15 +404,72 @@ def open_pairs(rows: DataFrame, maps: DataFrame, percent: int, nearest: bool) ->
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def link_counts(sets: list[np.ndarray], cut: int, percent: int) -> np.ndarray:
+    """How many of the others each set is similar to; those ahead of ``cut`` meet those from it on, and all meet each other if it is 0."""
+    n = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        return np.full(2, similar(len(np.intersect1d(*sets, assume_unique=True)), int(n[0]), int(n[1]), percent), np.int64)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = count[place] > 1  # a token of one set is in no overlap
+    owner, place = np.repeat(np.arange(len(sets)), n)[many], (np.cumsum(count > 1) - 1)[place[many]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    columns, first = int(np.count_nonzero(count > 1)), cut or len(sets)
+    wide = min(max(1, WORDS // len(sets)), -(-columns // 64)) * 64
+    overlap = np.zeros((first, len(sets) - cut), np.int64)
+    for low in range(0, columns, max(wide, 1)):
+        a, b = np.searchsorted(place, (low, low + wide))
+        bits = np.zeros((len(sets), wide), bool)
+        bits[owner[a:b], place[a:b] - low] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(first):
+            overlap[i] += np.bitwise_count(words[i] & words[cut:]).sum(axis=1, dtype=np.int64)
+    near = 100 * overlap >= percent * (n[:first, None] + n[None, cut:] - overlap)
+    if cut:
+        return np.concatenate((near.sum(axis=1), near.sum(axis=0)))
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1)
+
+
+def class_links(members: DataFrame, rows: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, class_links) of the nodes of ``members`` (node, root): with how many other classes each is linked. All links lie inside
+    components, so the whole sets of a component all meet: in blocks of bounded size, each pair of blocks in one place."""
+    sized = members.join(rows.select(F.col("rid").alias("node"), "n"), "node")
+    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / TOKENS), F.ceil(F.count("*") / SETS)).alias("blocks"), F.sum("n").alias("tokens"))
+    blocks, _ = stage(blocks, "blocks")
+    parts = pieces(blocks.agg(F.sum(F.col("tokens") * F.col("blocks"))).first()[0] or 0, TOKENS, least=24)
+    sets = whole_sets(members.select(F.col("node").alias("rid")), rows, documents, width)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = (sets.withColumnRenamed("rid", "node").join(members.join(blocks.select("root", "blocks"), "root"), "node")
+              .select("node", "root", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+              .select("node", "root", "tokens", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
+
+    def count(group: pa.Table) -> pa.Table:
+        lean()
+        group = group.sort_by([("root", "ascending"), ("x", "ascending"), ("y", "ascending"), ("own", "ascending")])
+        root, x, y, own, node = (group.column(c).to_numpy() for c in ("root", "x", "y", "own", "node"))
+        heads = np.flatnonzero(np.concatenate(([True], (root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(root) else []
+        tokens, found = group.column("tokens"), np.zeros(len(root), np.int64)
+        for a, b in zip(heads, [*heads[1:], len(root)], strict=True):
+            cut = int(np.searchsorted(own[a:b], y[a])) if x[a] < y[a] else 0
+            if b - a > 1 and (x[a] == y[a] or 0 < cut < b - a):
+                found[a:b] = link_counts([np.frombuffer(t.as_buffer(), np.uint64) for t in tokens[a:b]], cut, percent)
+        return pa.table({"node": node, "links": found})
+
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("root", "x", "y"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("class_links"))
+
+
+def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_links, mark, group) of each row of ``documents`` (doc_id, text): component_id is
-    the smallest doc_id that similar sets reach, class_links the links that were needed to join the component, mark a hash of the text that
-    tells rows of one doc_id apart, and group a name of the component among those of this call (NULL without tokens)."""
+    the smallest doc_id that similar sets reach, class_links the number of other classes whose sets are similar, mark a hash of the text that
+    tells rows of one doc_id apart, and group a name of the component among those of this call (NULL without tokens).
+    Without ``count_links`` class_links is NULL, for callers that need components only."""
     with small_batches(documents.sparkSession):
-        return _near_duplicates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+        return _near_duplicates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent, count_links)
 
 
-def _near_duplicates(texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _near_duplicates(texts: DataFrame, width: int, percent: int, count_links: bool) -> DataFrame:
     classes = sketch(texts, width)
     found = features(texts, classes, width, percent)
     sets = found.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("rid").alias("node"), F.min("doc_id").alias("label"))
@@ -416,27 +481,26 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     first = verify(star, rows, texts, width, percent)
     roots, _ = stage(components(first), "roots")
     left = open_rows(live, nodes, roots)
-    links, tried = first, None
+    links = first
     for k in range(NEAREST + 1):
         nearest = k < NEAREST
-        pairs = open_pairs(left.where(F.col("size") > FEW) if nearest else left, maps, percent, nearest)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = stage(pairs, "pairs")
+        # a nearest pair that was no link comes again in the last round; it is one for each set at most
+        pairs, _ = stage(open_pairs(left.where(F.col("size") > FEW) if nearest else left, maps, percent, nearest), "pairs")
         if pairs.isEmpty():
             continue
         more = verify(pairs, rows, texts, width, percent)
-        links, tried = links.union(more), pairs if tried is None else tried.union(pairs)
+        links = links.union(more)
         if nearest and not more.isEmpty():
             # only large keys can have changed much; a pair that a small key gives too much is compared in vain, no more
             large, small = left.where(F.col("size") > FEW), left.where(F.col("size") <= FEW)
             now = large.drop("root", "size").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
             left = contested(now).select("key", "node", "root", "size").union(small.select("key", "node", "root", "size"))
     last = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("class_links"))
     labelled = rows.where("rid = node").select("node", "label").join(last, "node")
     lowest = labelled.groupBy("root").agg(F.min("label").alias("component"))
     named = last.join(lowest, "root").select("node", "root", "component")
-    out = rows.join(named, "node", "left").join(degree, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label", "doc_id").alias("component_id"),
-                      F.coalesce("class_links", F.lit(0)).alias("class_links"), "mark", F.coalesce("root", "node").alias("group"))
+    out = rows.join(named, "node", "left").withColumn("class_links", F.lit(None).cast("long"))
+    if count_links:
+        counted = class_links(last, rows, texts, width, percent)
+        out = out.drop("class_links").join(counted, "node", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0).cast("long")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label", "doc_id").alias("component_id"), "class_links", "mark", F.coalesce("root", "node").alias("group"))

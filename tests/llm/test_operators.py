@@ -170,6 +170,35 @@ def test_near_duplicates(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(docs)
 
 
+def brute_links(docs, width=5, percent=80):
+    """For each document the number of other sets that are similar to its own."""
+    sets = {}
+    for d, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[d] = frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    kinds = {x for x in sets.values() if x}
+    return {d: sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in kinds) if x else 0 for d, x in sets.items()}
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_class_links_are_all_links(spark, monkeypatch, block):
+    """A group of different near copies, each linked with nearly all others, and families with chains; in one block and in many."""
+    monkeypatch.setattr(shingles, "SETS", block)
+    monkeypatch.setattr(shingles, "WORDS", 64 * block)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    docs = near_texts(3)
+    for d in range(1000, 1060):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(150)] = f"own{d}"
+        docs[d] = " ".join(words)
+    docs[2000] = docs[1000].upper()
+    found = {r.doc_id: r.class_links for r in shingles.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    expected = brute_links(docs)
+    assert found == expected and max(expected.values()) > 40
+
+
 def test_near_duplicates_by_open_pairs_alone(spark, monkeypatch):
     """Without pivots the exact second step has to find every link, through combinations for frequent tokens."""
     docs = near_texts(5)
