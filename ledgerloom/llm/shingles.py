@@ -122,9 +122,9 @@ def in_order(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return tokens[np.lexsort((tokens, classes[(tokens & np.uint64(len(classes) - 1)).astype(np.int64)]))]
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of a power of two of bits, at least twice as many as tokens (64 to 65536)."""
-    bits = min(1 << 16, max(64, 2 << (len(tokens) - 1).bit_length())) if len(tokens) else 64
+def bitmap(tokens: np.ndarray, spread: int = 1) -> bytes:
+    """Parity of the tokens in each of a power of two of bits, at least ``spread`` times as many as tokens (64 to 65536)."""
+    bits = min(1 << 16, max(64, spread << (len(tokens) - 1).bit_length())) if len(tokens) else 64
     odd = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -190,26 +190,29 @@ def distinct_pairs(low: list[np.ndarray], high: list[np.ndarray]) -> tuple[np.nd
     return a[fresh], b[fresh]
 
 
-FEATURES = "n long, set_id binary, tokens array<long>, bitmap binary"
+FEATURES = "n long, set_id binary, tokens array<long>, brief binary, bitmap binary"
 
 
 def features(documents: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(rid, doc_id, mark, n, set_id, tokens, bitmap), written; tokens are the extended prefix in order."""
+    """(rid, doc_id, mark, n, set_id, tokens, brief, bitmap), written; tokens are the extended prefix in order, brief is a bitmap of
+    about a bit for each token, for keys of few rows, and bitmap one of twice the length, which lets fewer pairs of a large key pass."""
     shared = documents.sparkSession.sparkContext.broadcast(classes)  # 2**BINS bytes
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lean()
         shingler = Shingler(width)
         for column in texts:
-            n, ids, tokens, maps = [], [], [], []
+            n, ids, tokens, briefs, maps = [], [], [], [], []
             for s in shingler.sets(*column_bytes(column)):
                 n.append(len(s))
                 # two independent sums name the set
                 ids.append(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
                 tokens.append(in_order(s, shared.value)[:len(s) - needed(len(s), percent) + 2].view(np.int64))
-                maps.append(bitmap(s))
+                briefs.append(bitmap(s))
+                maps.append(bitmap(s, 2))
             yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["n", "set_id", "tokens", "bitmap"])
+                [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(briefs, pa.binary()), pa.array(maps, pa.binary())],
+                ["n", "set_id", "tokens", "brief", "bitmap"])
 
     found = documents.select("doc_id", F.xxhash64("text").alias("mark"), F.arrow_udf(run, FEATURES)(F.col("text")).alias("f"))
     out, _ = stage(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "mark", "f.*"), "shingles")
@@ -329,8 +332,8 @@ def star_pairs(live: DataFrame, nodes: DataFrame, maps: DataFrame, percent: int)
     picked = live.where("NOT extra").select("rid", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivot")).where("rid <> pivot").distinct()
     pairs = (picked.join(nodes.select("rid", F.col("node").alias("b")), "rid")
              .join(nodes.select(F.col("rid").alias("pivot"), F.col("node").alias("a")), "pivot").where("a <> b").select("a", "b").distinct())
-    sized = (pairs.join(maps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b")), "b")
-             .join(maps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a")), "a")
+    sized = (pairs.join(maps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("brief").alias("map_b")), "b")
+             .join(maps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("brief").alias("map_a")), "a")
              .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     near = sized.withColumn("apart", apart("map_a", "map_b")).where(
         linked(percent, F.floor((F.col("n_a") + F.col("n_b") - F.col("apart")) / 2), F.col("n_a"), F.col("n_b")))
@@ -400,7 +403,8 @@ def open_pairs(rows: DataFrame, maps: DataFrame, percent: int, nearest: bool) ->
         low, high = distinct_pairs([*low, np.array([p[0] for p in few], np.int64)], [*high, np.array([p[1] for p in few], np.int64)])
         return pa.table({"a": low, "b": high})
 
-    dealt = rows.select("key", "node", "root").join(maps, "node").withColumn("part", F.pmod("key", F.lit(parts)))
+    dealt = (rows.select("key", "node", "root", "size").join(maps, "node").withColumn("part", F.pmod("key", F.lit(parts)))
+             .select("part", "key", "node", "root", "n", F.when(F.col("size") > FEW, F.col("bitmap")).otherwise(F.col("brief")).alias("bitmap")))
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -475,7 +479,7 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, count_links: bo
     sets = found.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("rid").alias("node"), F.min("doc_id").alias("label"))
     rows, _ = stage(found.select("rid", "doc_id", "mark", "n", "set_id").join(sets, "set_id", "left"), "classes")
     nodes = rows.where("node IS NOT NULL").select("rid", "node")
-    maps = found.select(F.col("rid").alias("node"), "n", "bitmap").join(rows.where("rid = node").select("node"), "node", "left_semi")
+    maps = found.select(F.col("rid").alias("node"), "n", "brief", "bitmap").join(rows.where("rid = node").select("node"), "node", "left_semi")
     live = live_tokens(found, classes, found.agg(F.sum(F.size("tokens"))).first()[0] or 0, percent)
     star, _ = stage(star_pairs(live, nodes, maps, percent), "pairs")
     first = verify(star, rows, texts, width, percent)
