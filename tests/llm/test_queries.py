@@ -58,3 +58,19 @@ def test_every_stage_takes_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, work in corpus_pipeline.STAGES[1:]:
         assert work(spark, docs, SF).collect() == [], name
+
+
+def test_near_copies_move_no_texts(spark):
+    """What is dropped is a few narrow rows, so no exchange of the result carries texts, but that of rows that repeat."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "another text of its own kind"), (3, "another text of its own kind"), (None, " ".join(words)), (4, None)]
+    rows = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, rows, SF)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        assert sorted(((r.doc_id or 0), (r.text or "")[:7]) for r in kept.collect()) == [(0, "w0 w1 w"), (1, "w0 w1 w"), (3, "another"), (4, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
