@@ -98,6 +98,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def tasks_for(rows: int, each: int, least: int = 1) -> int:
+    """How many tasks (or buckets) hold ``rows`` rows when none holds more than about ``each``: the memory of one task then stays
+    the same however large the table is."""
+    return max(least, -(-rows // each))
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())

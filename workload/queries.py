@@ -17,7 +17,7 @@ from ledgerloom.functions import measures as ms
 from ledgerloom.functions.status import flatten
 from ledgerloom.operators import extracts, grain, infer, order_stats, point_in_time, ranking
 from ledgerloom.plans import cohorts, experiment, facts, lead_features, marts, order_grain, rollups, segments, staging
-from ledgerloom.session import scratch, stage
+from ledgerloom.session import scratch, stage, tasks_for
 from ledgerloom.sources import readers, sinks, trade_tables
 
 from .world import HORIZON, WINDOW, World, tidy
@@ -126,7 +126,8 @@ def ranked_score_export(w: World) -> DataFrame:
 
 
 # ------------------------------------------------------------------ stored layers
-BUCKETS = 4
+#: Buckets that a stored fact has at least, and rows for each.
+BUCKETS, BUCKET_ROWS = 4, 1_500_000
 STORED_ORDERS = ("order_id", "customer_unique_id", "customer_state", "items_total_brl", "payment_total_brl", "is_delivered_late", "month_label")
 STORED_LINES = ("order_id", "product_category", "item_total_brl", "month_label")
 
@@ -146,19 +147,21 @@ def rebuilt_month(w: World) -> DataFrame:
     orders = w.fct_orders.withColumn("month_label", ms.month_label("purchase_month")).select(*STORED_ORDERS)
     stale = orders.where((label != FIRST) | (F.pmod(F.xxhash64("order_id"), F.lit(3)) > 0)).withColumn(
         "items_total_brl", F.when(label == FIRST, (F.col("items_total_brl") * 2).cast("decimal(22,2)")).otherwise(F.col("items_total_brl").cast("decimal(22,2)")))
-    table = sinks.save_fact(stale, f"{_layer(w)}.fct_orders", "month_label", "order_id", BUCKETS)
+    buckets = tasks_for(w.table("orders").count(), BUCKET_ROWS, BUCKETS)
+    table = sinks.save_fact(stale, f"{_layer(w)}.fct_orders", "month_label", "order_id", buckets)
     fresh = orders.where(label == FIRST).withColumn("items_total_brl", F.col("items_total_brl").cast("decimal(22,2)"))
-    sinks.replace_months(fresh, table, "month_label", "order_id", BUCKETS, [FIRST])
+    sinks.replace_months(fresh, table, "month_label", "order_id", buckets, [FIRST])
     return w.spark.table(table)
 
 
 @query
 def stored_facts_join(w: World) -> DataFrame:
-    """Orders and lines stored in equal buckets, joined and grouped by order without an exchange; a plan that has one is an error."""
-    layer = _layer(w)
+    """Orders and lines stored in equal buckets, joined and grouped by order without an exchange; a plan that has one is an error.
+    A bucket is one task, so there are as many as the lines need."""
+    layer, buckets = _layer(w), tasks_for(w.table("lineitem").count(), BUCKET_ROWS, BUCKETS)
     orders = w.fct_orders.withColumn("month_label", ms.month_label("purchase_month")).select(*STORED_ORDERS)
     lines = w.fct_lines.withColumn("month_label", ms.month_label("purchase_month")).select(*STORED_LINES)
-    stored = [w.spark.table(sinks.save_fact(df, f"{layer}.{name}", "month_label", "order_id", BUCKETS)) for df, name in ((orders, "fct_orders"), (lines, "fct_lines"))]
+    stored = [w.spark.table(sinks.save_fact(df, f"{layer}.{name}", "month_label", "order_id", buckets)) for df, name in ((orders, "fct_orders"), (lines, "fct_lines"))]
     per_order = stored[1].groupBy("order_id").agg(F.count("*").alias("n_lines"), F.sum("item_total_brl").alias("lines_brl"))
     out = stored[0].join(per_order.hint("merge"), "order_id", "left").select(
         "order_id", "month_label", "n_lines", "items_total_brl", "lines_brl", F.col("items_total_brl").eqNullSafe(F.col("lines_brl")).alias("agrees"))
