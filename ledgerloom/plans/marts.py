@@ -245,9 +245,13 @@ def money_gap(items_by_order: DataFrame, payments_by_order: DataFrame) -> DataFr
     )
 
 
-def multi_label_orders(lines: DataFrame, label: str = "product_category") -> DataFrame:
-    """How many orders span 1, 2, 3, .. labels."""
-    per_order = lines.select("order_id", label).distinct().groupBy("order_id").agg(F.count(label).alias("n_labels"))
+def multi_label_orders(lines: DataFrame, label: str = "product_category", tasks: int | None = None) -> DataFrame:
+    """How many orders span 1, 2, 3, .. labels. ``tasks`` (see ``tasks_for``) deals the (order, label) pairs to as many tasks as they
+    need; without it they stay where ``lines`` has its orders, beside the join that made them."""
+    pairs = lines.select("order_id", label)
+    if tasks:
+        pairs = pairs.repartition(tasks, "order_id", label)
+    per_order = pairs.distinct().groupBy("order_id").agg(F.count(label).alias("n_labels"))
     return per_order.groupBy("n_labels").agg(F.count("*").alias("orders"))
 
 

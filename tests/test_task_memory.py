@@ -1,11 +1,17 @@
 """What one task holds must not grow with the tables."""
 
+from ledgerloom.plans import marts
 from ledgerloom.session import tasks_for
 from workload import queries
+from workload.world import World
 
 SF = "/root/testdata/sf0.001"
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
 def test_tasks_follow_the_rows():
     assert [tasks_for(n, 10, 4) for n in (0, 40, 41, 1000)] == [4, 4, 5, 100]
 
@@ -18,3 +24,12 @@ def test_buckets_follow_the_lines(spark, monkeypatch):
     assert few.rdd.getNumPartitions() == queries.BUCKETS
     assert many.rdd.getNumPartitions() == -(-lines // 500) > queries.BUCKETS
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_label_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(queries, "PAIR_ROWS", 100)
+    lines = World(spark, SF).fct_lines
+    dealt = queries.QUERIES["multi_category_orders"](spark, SF)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    assert f", {n})" in plan_of(dealt)
+    assert sorted(dealt.collect()) == sorted(marts.multi_label_orders(lines).collect())

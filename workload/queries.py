@@ -25,6 +25,8 @@ from .world import HORIZON, WINDOW, World, tidy
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Pairs of an order and a label that one task makes distinct.
+PAIR_ROWS = 500_000
 FIRST, LAST = "1997-01", "1999-12"
 #: The month that the damaged extracts lack.
 GAP = "1998-06"
@@ -330,7 +332,7 @@ def money_gap(w: World) -> DataFrame:
 
 @query
 def multi_category_orders(w: World) -> DataFrame:
-    return marts.multi_label_orders(w.fct_lines)
+    return marts.multi_label_orders(w.fct_lines, tasks=tasks_for(w.table("lineitem").count(), PAIR_ROWS, least=4))
 
 
 @query
