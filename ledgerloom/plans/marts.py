@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,12 +19,15 @@ def _share_of_month(value: str) -> Column:
     return percent(value, F.sum(value).over(Window.partitionBy("purchase_month")))
 
 
-def _with_people(sums: DataFrame, inside: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Adds exact distinct people per cell from an aggregate of its own: its rows carry keys only, and the sums
-    collapse to cells before they move."""
-    people = inside.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.countDistinct("customer_unique_id").alias(name))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return sums.join(people, same).drop(*[f"_{k}" for k in keys])
+def _with_distinct(sums: DataFrame, inside: DataFrame, keys: Sequence[str], counted: Mapping[str, str]) -> DataFrame:
+    """Adds exact distinct counts per cell, ``{name: column}``, each from an aggregate of its own: its rows carry keys only, and the
+    sums collapse to cells before they move. Several counts in one aggregate would expand every row as often, and a task of the
+    scan would hold all of its expanded rows at once."""
+    for name, column in counted.items():
+        counts = inside.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.countDistinct(column).alias(name))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        sums = sums.join(counts, same).drop(*[f"_{k}" for k in keys])
+    return sums
 
 
 #: The grains that the order marts and their checks need, coarse to fine.
@@ -120,7 +123,7 @@ def state_sums(orders: DataFrame | None = None, cells: DataFrame | None = None)
 
 def monthly_performance(orders: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """One row per month of the analysis window; ``cells`` are stored ``order_cells``, where several marts are built."""
-    people = _with_people(monthly_sums(orders, cells), orders.where("is_in_analysis_window"), ["purchase_month"], "active_customers")
+    people = _with_distinct(monthly_sums(orders, cells), orders.where("is_in_analysis_window"), ["purchase_month"], {"active_customers": "customer_unique_id"})
     return people.select("purchase_month", "month_label", "orders", "active_customers", *[c for c in people.columns[3:] if c != "active_customers"])
 
 
@@ -128,8 +131,7 @@ def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame
     """One row per month and category at line grain. The window is tested on the line's own purchase
     time, so no join back to the order fact is needed.
 
-    Sums and the four distinct counts are separate aggregates: the rows that exact distinct counting
-    expands then carry keys only. ``lines`` is read by both, so pass the stored fact.
+    Sums and each of the four distinct counts are separate aggregates, which all read ``lines``: pass the stored fact.
     """
     inside = lines.where(in_half_open("purchased_at", *window))
     sums = inside.groupBy("purchase_month", "product_category").agg(
@@ -141,14 +143,9 @@ def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame
         rows_where("has_no_category").alias("lines_missing_category"),
         rows_where("missing_translation").alias("lines_missing_translation"),
     )
-    breadth = inside.groupBy(F.col("purchase_month").alias("_month"), F.col("product_category").alias("_category")).agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_unique_id").alias("customers"),
-        F.countDistinct("product_id").alias("products_sold"),
-        F.countDistinct("seller_id").alias("active_sellers"),
-    )
-    same_cell = F.col("purchase_month").eqNullSafe(F.col("_month")) & F.col("product_category").eqNullSafe(F.col("_category"))
-    return sums.join(breadth, same_cell).select(
+    cells = _with_distinct(sums, inside, ["purchase_month", "product_category"], {
+        "orders": "order_id", "customers": "customer_unique_id", "products_sold": "product_id", "active_sellers": "seller_id"})
+    return cells.select(
         "purchase_month", month_label("purchase_month").alias("month_label"), "product_category",
         "order_lines", "orders", "customers", "products_sold", "active_sellers", "gmv_brl", "goods_brl", "freight_brl",
         ratio("gmv_brl", "priced_lines").alias("avg_line_value_brl"),
@@ -160,7 +157,7 @@ def category_performance(lines: DataFrame, window: tuple[str, str]) -> DataFrame
 
 def state_performance(orders: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """One row per month and customer state."""
-    people = _with_people(state_sums(orders, cells), orders.where("is_in_analysis_window"), ["purchase_month", "customer_state"], "customers")
+    people = _with_distinct(state_sums(orders, cells), orders.where("is_in_analysis_window"), ["purchase_month", "customer_state"], {"customers": "customer_unique_id"})
     return people.select("purchase_month", "month_label", "customer_state", "orders", "customers", *[c for c in people.columns[4:] if c != "customers"])
 
 

@@ -3,7 +3,7 @@
 from ledgerloom.plans import marts
 from ledgerloom.session import tasks_for
 from workload import queries
-from workload.world import World
+from workload.world import WINDOW, World
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,7 @@ def test_label_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch)
     n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
     assert f", {n})" in plan_of(dealt)
     assert sorted(dealt.collect()) == sorted(marts.multi_label_orders(lines).collect())
+
+
+def test_category_mart_expands_no_line(spark):
+    assert "Expand" not in plan_of(marts.category_performance(World(spark, SF).mart_lines, WINDOW))
