@@ -20,6 +20,8 @@ from .grain import ContractBroken, contiguous_months, unique_combination
 from .infer import aov_denominator, infer_numerator
 
 LABEL = {"monthly": None, "category": "product_category", "state": "customer_state", "payment": "primary_payment_type"}
+#: The column of each extract that an older file may lack and that its ratios tell.
+RECOVERABLE = {"monthly": "low_score_orders", "state": "orders_with_items", "payment": "orders_with_items"}
 CORRUPT = "_corrupt_line"
 
 
@@ -212,7 +214,7 @@ def _violations(name: str, df: DataFrame) -> list[DataFrame]:
 
 def _recovered(name: str, df: DataFrame, present: bool) -> tuple[DataFrame, DataFrame | None]:
     """The column an older file lacks, solved from its ratio; rows with unreadable text are not solved."""
-    column = {"monthly": "low_score_orders", "state": "orders_with_items", "payment": "orders_with_items"}.get(name)
+    column = RECOVERABLE.get(name)
     if column is None or present:
         return (with_status(df, column, None) if column else df), None
     readable = {c: F.when(F.size("errors") == 0, F.col(f"{c}_text")) for c in ("low_score_rate_pct", "gmv_brl", "aov_brl")}
@@ -222,13 +224,25 @@ def _recovered(name: str, df: DataFrame, present: bool) -> tuple[DataFrame, Data
     return df, inference_log(df, name, column)
 
 
+def _typed(name: str, text: DataFrame) -> tuple[DataFrame, bool]:
+    """Typed cells of one extract, and whether it has its additive components."""
+    optional = EXTRACT_COMPONENTS[name]
+    present = all(c in text.columns for c in optional)
+    return typed_parse(text, EXTRACT_COLUMNS[name] | (optional if present else {})), present
+
+
+def inferences(texts: Mapping[str, DataFrame]) -> DataFrame | None:
+    """The ``inference_log`` of ``assemble`` alone, None if nothing is inferred. Each entry comes from one extract, so only those
+    with a recoverable column need to be given."""
+    logs = [log for name, text in texts.items() if (log := _recovered(name, *_typed(name, text))[1]) is not None]
+    return reduce(DataFrame.unionByName, logs) if logs else None
+
+
 def assemble(texts: Mapping[str, DataFrame]) -> ExtractSet:
     """Typed, checked and reconciled extracts from their text frames."""
     frames, components, logs, problems = {}, {}, [], []
     for name, text in texts.items():
-        optional = EXTRACT_COMPONENTS[name]
-        components[name] = all(c in text.columns for c in optional)
-        parsed = typed_parse(text, EXTRACT_COLUMNS[name] | (optional if components[name] else {}))
+        parsed, components[name] = _typed(name, text)
         problems += _violations(name, parsed)
         frames[name], log = _recovered(name, parsed, components[name])
         logs += [log] if log is not None else []

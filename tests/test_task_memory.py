@@ -1,5 +1,6 @@
 """What one task holds must not grow with the tables."""
 
+from ledgerloom.operators.extracts import assemble
 from ledgerloom.plans import marts
 from ledgerloom.session import tasks_for
 from workload import queries
@@ -37,3 +38,10 @@ def test_label_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch)
 
 def test_category_mart_expands_no_line(spark):
     assert "Expand" not in plan_of(marts.category_performance(World(spark, SF).mart_lines, WINDOW))
+
+
+def test_inferences_need_no_lines(spark, monkeypatch):
+    whole = assemble(World(spark, SF).text_extracts(components=False)).inference_log.groupBy("extract", "field", "status").count()
+    monkeypatch.setattr(World, "mart_lines", property(lambda w: (_ for _ in ()).throw(AssertionError("lines are written"))))
+    alone = queries.QUERIES["inference_status_counts"](spark, SF)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.collect()))

@@ -632,7 +632,8 @@ def freight_extremes(w: World) -> DataFrame:
 
 @query
 def inference_status_counts(w: World) -> DataFrame:
-    log = extracts.assemble(w.text_extracts(components=False)).inference_log
+    """Outcomes of all inferences, over the extracts that have a column to recover: no line and no category is needed for them."""
+    log = extracts.inferences(w.text_extracts(components=False, names=extracts.RECOVERABLE))
     return rollups.status_counts(log, ["extract", "field", "status"])
 
 

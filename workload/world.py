@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,8 +137,8 @@ class World:
     def rollup_input(self, mart: str) -> DataFrame:
         return rollups.from_mart(self.keep(mart))
 
-    def text_extracts(self, components: bool = True, written: bool = True) -> dict[str, DataFrame]:
-        """The four marts as exported text: every cell a string, ratios to four decimals. Without
+    def text_extracts(self, components: bool = True, written: bool = True, names: Collection[str] | None = None) -> dict[str, DataFrame]:
+        """The four marts, or those of ``names``, as exported text: every cell a string, ratios to four decimals. Without
         ``components`` the files look like older ones that lack the additive columns. Checks that read
         an extract several times want it ``written``."""
         from ledgerloom.sources.schemas import EXTRACT_COLUMNS
@@ -146,6 +147,8 @@ class World:
         self.with_cells()
         texts = {}
         for name, columns in EXTRACT_COLUMNS.items():
+            if names is not None and name not in names:
+                continue
             mart = self.keep(name) if written else getattr(self, name)
             cells = []
             for f in mart.schema.fields:
