@@ -81,7 +81,8 @@ SHORT = 64
 class SpanHasher:
     """64-bit hashes of byte spans; equal spans hash alike at any place, and the result depends only on the bytes and ``seed``.
 
-    Short spans get polynomials from prefix sums, longer ones (rare among words and pieces) a digest of their bytes. Two given
+    Short spans get polynomials from prefix sums, spans up to twice as long those of both their ends, and longer ones (rare among
+    words and pieces) a digest of their bytes. Two given
     spans collide with a chance of about 2**-64; among some 2**32 different ones a collision is to be expected.
     """
 
@@ -95,8 +96,15 @@ class SpanHasher:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            self.powers, self.inverses = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64))), dtype=np.uint64)
-                                          for b in (self.base, self.inverse))
+            self.powers, self.inverses = (self._powers(b, n) for b in (self.base, self.inverse))
+
+    @staticmethod
+    def _powers(base: np.uint64, n: int) -> np.ndarray:
+        out, done = np.ones(1 << (n - 1).bit_length(), np.uint64), 1
+        while done < len(out):  # by doubling
+            out[done:2 * done] = out[:done] * (out[done - 1:done] * base)
+            done *= 2
+        return out
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
@@ -106,7 +114,14 @@ class SpanHasher:
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         length = (ends - starts).astype(np.uint64)
         out = mix((sums[ends] - sums[starts]) * self.inverses[starts] + length)
-        for i in np.flatnonzero(length > SHORT).tolist():
+        wide = np.flatnonzero(length > SHORT)
+        if not len(wide):
+            return out
+        both = wide[length[wide] <= 2 * SHORT]
+        a, b, c, d = starts[both], starts[both] + SHORT, ends[both] - SHORT, ends[both]
+        head, tail = (mix((sums[y] - sums[x]) * self.inverses[x]) for x, y in ((a, b), (c, d)))
+        out[both] = mix(head * np.uint64(0x9E3779B97F4A7C15) + tail + length[both])
+        for i in wide[length[wide] > 2 * SHORT].tolist():
             out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i]:ends[i]].tobytes(), digest_size=8, key=self.key).digest(), "little")
         return out
 

@@ -36,9 +36,9 @@ from .common import SpanHasher, column_bytes, free_names, lean, mix, pieces, sli
 LENGTH, GRAM = 50, 8
 #: Text in one part of the suffix space, in one group of documents, in what a map task
 #: packs together, and in one pass of array work, all in bytes.
-PART, GROUP, TASK, PASS = 3 << 20, 6 << 20, 16 << 20, 1 << 20
+PART, GROUP, TASK, PASS = 3 << 20, 6 << 20, 8 << 20, 1 << 20
 #: Windows in a batch of a part.
-BATCH = 1 << 18
+BATCH = 1 << 19
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,13 +108,16 @@ def span_rows(documents: DataFrame, parts: int, length: int, gram: int) -> DataF
             ids, marks = piece.column("doc_id").to_numpy(zero_copy_only=False), tags(data, at)
             found = []
             for a, b in slices(at, PASS):
-                owner, first, count, key = sampled(data[at[a]:at[b]], at[a:b + 1] - at[a], length, gram)
-                found.append((owner + a, first + at[a], count, key))
-            owner, first, count, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-            size = count + length - 1
-            names = np.concatenate([hasher.spans(hasher.sums(data[s:t]), first[m] - s, first[m] + size[m] - s) for s, t, m in ranges_of(at, owner)]) \
-                if len(owner) else np.zeros(0, np.uint64)
-            bucket = (mix(key.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+                text = data[at[a]:at[b]]
+                owner, first, count, key = sampled(text, at[a:b + 1] - at[a], length, gram)
+                name = hasher.spans(hasher.sums(text), first, first + count + length - 1)
+                bucket = mix(key + np.uint64(1)) % np.uint64(parts)
+                found.append(((owner + a).astype(np.int32), first + at[a], count.astype(np.int32), bucket.astype(np.uint16 if parts < 1 << 16 else np.int64), name))
+            if not found:
+                continue
+            owner, first, count, bucket, names = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
+            size = count + (length - 1)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(parts + 1))
             rows = []
@@ -125,7 +128,9 @@ def span_rows(documents: DataFrame, parts: int, length: int, gram: int) -> DataF
                 rank = np.empty(len(example), np.int64)
                 rank[np.argsort(example)] = np.arange(len(example))
                 shown = mine[np.sort(example)]
-                docs, doc_of = np.unique(owner[mine], return_inverse=True)
+                own = owner[mine]  # ascends
+                fresh = np.diff(own, prepend=-1) > 0
+                docs, doc_of = own[fresh], np.cumsum(fresh) - 1
                 rows.append((int(p), squeeze_ids(ids[docs]), squeeze(marks[docs], "<u2"), squeeze(np.diff(doc_of, prepend=0)), squeeze(first[mine] - at[owner[mine]]),
                              squeeze(np.diff(rank[which], prepend=0)), squeeze(size[shown]), zstandard.compress(data[spread(first[shown], size[shown])].tobytes(), 6)))
             if rows:
@@ -136,12 +141,6 @@ def span_rows(documents: DataFrame, parts: int, length: int, gram: int) -> DataF
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, SPANS)
 
 
-def ranges_of(offsets: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, slice]]:
-    """Byte range and the spans of it, document ranges of bounded size at a time; spans are in order."""
-    for a, b in slices(offsets):
-        yield int(offsets[a]), int(offsets[b]), slice(int(np.searchsorted(owner, a)), int(np.searchsorted(owner, b)))
-
-
 def squeeze(values: np.ndarray, kind: str = "<i4") -> bytes:
     """Numbers, deflated byte by byte of their width, the low bytes first."""
     planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[2])).T
@@ -161,15 +160,19 @@ def unsqueeze_ids(blob: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(blob, "<i8"))
 
 
+#: The document of a window that no level holds.
+NONE = np.iinfo(np.int32).max
+
+
 class Family:
-    """Levels of sorted window names, each with the smallest document that has the window."""
+    """Levels of sorted window names, each with the smallest document that has the window; documents are numbered by ascending id."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def scan(self, names: np.ndarray) -> np.ndarray:
-        """For each of the sorted ``names`` the document of the level that holds it, or the largest number."""
-        found = np.full(len(names), np.iinfo(np.int64).max)
+        """For each of the sorted ``names`` the document of the level that holds it, or ``NONE``."""
+        found = np.full(len(names), NONE, np.int32)
         for held, docs in self.levels:
             at = np.searchsorted(held, names)
             hit = np.flatnonzero(held[np.minimum(at, len(held) - 1)] == names)
@@ -180,12 +183,28 @@ class Family:
         """Adds a level of new windows and merges it with levels that are no larger than it."""
         while self.levels and len(self.levels[-1][0]) <= len(names):
             held, first = self.levels.pop()
-            at = np.searchsorted(held, names)
-            names, docs = np.insert(held, at, names), np.insert(first, at, docs)
+            at = np.searchsorted(names, held) + np.arange(len(held))
+            rest = np.ones(len(names) + len(held), bool)
+            rest[at] = False
+            both = []
+            for small, large in ((held, names), (first, docs)):
+                merged = np.empty(len(rest), large.dtype)
+                merged[at], merged[rest] = small, large
+                both.append(merged)
+            names, docs = both
         if len(names):
             self.levels.append((names, docs))
 
 
+def suffix_order(names: np.ndarray) -> np.ndarray:
+    """Places of the names in ascending order, equal names in the order of their places."""
+    low = np.uint64((1 << max(1, (len(names) - 1).bit_length())) - 1)
+    # the high bits of a name with its place below them are sorted by value, which is several times as fast
+    place = (np.sort((names & ~low) | np.arange(len(names), dtype=np.uint64)) & low).view(np.int64)
+    held = names[place]
+    return np.argsort(names, kind="stable") if (held[1:] < held[:-1]).any() else place
+
+
 MATCHES = "bundle int, ids binary, tags binary, owners binary, starts binary, sizes binary"
 
 
@@ -196,14 +215,14 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
         lean()
         hasher, family = SpanHasher(9), Family()
         ids, marks, owners, places, counts, texts, base = [], [], [], [], [], [], 0
-        names_of, firsts_of, shown = [], [], 0
+        names_of, shown = [], 0
         for r in table.to_pylist():
             size, text = unsqueeze(r["sizes"]), np.frombuffer(zstandard.decompress(r["texts"]), np.uint8)
             windows = size - length + 1
-            begin = np.cumsum(size) - size
-            at = spread(begin, windows)
-            names_of.append(hasher.spans(hasher.sums(text), at, at + length))
-            firsts_of.append(np.cumsum(windows) - windows)
+            begin = np.concatenate(([0], np.cumsum(size)))
+            for a, b in slices(begin, PASS):
+                at = spread(begin[a:b] - begin[a], windows[a:b])
+                names_of.append(hasher.spans(hasher.sums(text[begin[a]:begin[b]]), at, at + length))
             which = np.cumsum(unsqueeze(r["which"]))
             docs = unsqueeze_ids(r["ids"])
             ids.append(docs)
@@ -212,12 +231,13 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
             base += len(docs)
             places.append(unsqueeze(r["places"]))
             counts.append(windows[which])
-            texts.append(firsts_of[-1][which] + shown)
+            texts.append((np.cumsum(windows) - windows)[which] + shown)
             shown += int(windows.sum())
         names = np.concatenate(names_of)
+        del names_of
         ids, marks, owners, places, counts, texts = (np.concatenate(x) for x in (ids, marks, owners, places, counts, texts))
-        doc = ids[owners]
-        order = np.argsort(doc, kind="stable")  # ascending ids
+        rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)  # rows of one doc_id are one document
+        order = np.argsort(rank[owners], kind="stable")  # ascending ids
         out_owner, out_start, out_size = [], [], []
         done = 0
         ends = np.cumsum(counts[order])
@@ -225,26 +245,29 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BATCH, "right")))
             mine = order[done:stop]
             done = stop
-            name, owner = names[spread(texts[mine], counts[mine])], np.repeat(owners[mine], counts[mine])
-            place = spread(places[mine], counts[mine])
-            who = ids[owner]
-            suffix = np.argsort(name, kind="stable")  # stable: documents of one window stay in ascending order
+            own, windows = owners[mine], counts[mine]
+            begin = np.cumsum(windows) - windows
+            name, who = names[spread(texts[mine], windows)], np.repeat(rank[own], windows)
+            suffix = suffix_order(name)  # documents of one window stay in ascending order
             name, who = name[suffix], who[suffix]
-            head = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
+            head = np.ones(len(name), bool)
+            head[1:] = name[1:] != name[:-1]
             distinct = np.flatnonzero(head)
-            before = family.scan(name[distinct])
-            first = np.minimum(before, who[distinct])
-            hit = np.zeros(len(name), bool)
-            hit[suffix] = who > np.repeat(first, np.diff(np.append(distinct, len(name))))
-            new = before == np.iinfo(np.int64).max
-            family.add(name[distinct][new], who[distinct][new])
+            name, leader = name[distinct], who[distinct]
+            before = family.scan(name)
+            hit = np.empty(len(head), bool)
+            hit[suffix] = who > np.repeat(np.minimum(before, leader), np.diff(distinct, append=len(head)))
+            new = before == NONE
+            family.add(name[new], leader[new])
             # adjacent windows of one span make one match
-            span = np.repeat(np.arange(len(mine)), counts[mine])
-            run_head = np.flatnonzero(hit & ~(np.concatenate(([False], hit[:-1])) & np.concatenate(([False], span[1:] == span[:-1]))))
-            run_tail = np.flatnonzero(hit & ~(np.concatenate((hit[1:], [False])) & np.concatenate((span[1:] == span[:-1], [False]))))
-            out_owner.append(owner[run_head])
-            out_start.append(place[run_head])
-            out_size.append(place[run_tail] - place[run_head] + length)
+            edge = np.zeros(len(hit) + 1, bool)
+            edge[begin] = edge[-1] = True
+            run_head = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
+            run_tail = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False]))))
+            span = np.searchsorted(begin, run_head, "right") - 1
+            out_owner.append(own[span])
+            out_start.append(places[mine][span] + run_head - begin[span])
+            out_size.append(run_tail - run_head + length)
         owner, start, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_owner, out_start, out_size))
         bundle = group_of(ids[owner], groups)
         rows = []
@@ -299,13 +322,14 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
             marks, facts = tags(data, at), []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 text = data[at[i]:at[i + 1]]
-                depth = np.zeros(len(text) + 1, np.int64)
-                for start, size in spans.get((doc, int(marks[i])), ()) if doc is not None else ():
-                    np.add.at(depth, start, 1)
-                    np.add.at(depth, start + size, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                n_spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(text) else 0
-                facts.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(text[~gone].tobytes()).hexdigest(), whole_characters(text, gone) if with_text else None))
+                found_here = spans.get((doc, int(marks[i])), ()) if doc is not None else ()
+                runs = covered(*(np.concatenate(x) for x in zip(*found_here, strict=True))) if found_here else []
+                gone = np.zeros(len(text) if runs else 0, bool)
+                for first, last in runs:
+                    gone[first:last] = True
+                kept = text[~gone] if runs else text
+                facts.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
+                              (whole_characters(text, gone) if runs else text.tobytes().decode("utf-8", "replace")) if with_text else None))
             made = [batch.column("doc_id"), *(pa.array([f[k] for f in facts], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))]
             out.append(pa.Table.from_arrays([*made, *(batch.column(c) for c in others)], [*RESULT, *others]))
         return pa.concat_tables(out) if out else pa.table({name: pa.array([], kind) for name, kind in (*zip(RESULT, kinds, strict=True), *((c, texts.schema.field(c).type) for c in others))})
@@ -317,6 +341,14 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     return dealt.groupBy(bundle).cogroup(matches.groupBy("bundle")).applyInArrow(cut, schema)
 
 
+def covered(start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs (first, behind the last) of bytes that the given stretches cover."""
+    order = np.argsort(start)
+    start, reach = start[order], np.maximum.accumulate((start + size)[order])
+    heads = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return list(zip(start[heads].tolist(), reach[np.append(heads[1:], len(start)) - 1].tolist(), strict=True))
+
+
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     """The text without the characters of which a byte is gone."""
     number = np.cumsum((text & 0xC0) != 0x80)
