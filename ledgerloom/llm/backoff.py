@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
 
-from .common import LOWER, NOT_SPACE, SpanHasher, column_bytes, lean, mix, pieces, slices, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, SpanHasher, column_bytes, distinct, lean, mix, pieces, slices, text_bytes, word_spans
 
 #: Least count in training of a kept pair or triple, at every size of the corpus.
 LEAST = 2
@@ -49,7 +49,9 @@ DISCOUNT, PRIOR = 0.75, 5.0
 #: Text for each part of the counts, and in a slice.
 PART, SLICE = 8 << 20, 4 << 20
 FOLDS, HELD = 7, 2
-#: Documents that are worth a common step.
+#: Tokens of a document in one stretch of the traversal, and those ahead of it that lead to its state.
+STRETCH, AHEAD = 256, 2
+#: Stretches that are worth a common step.
 WIDE = 32
 #: Name of the end token; keys of slices that teach nothing begin here.
 END, FOREIGN = np.uint64(0), 1 << 60
@@ -81,13 +83,19 @@ def unpack(blob: bytes, kind: type) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers, all first bytes together, then all second ones, deflated."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+    """Numbers from 0 on, all lowest bytes together, then all next ones as far as any number goes, deflated."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    x = x.astype(np.uint64, copy=False)
+    return zstandard.compress(bytes([width]) + b"".join((x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)), 1)
 
 
 def unplanes(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    rows = raw[1:].reshape(int(raw[0]), -1)
+    out = rows[0].astype(kind)
+    for k in range(1, len(rows)):
+        out |= rows[k].astype(kind) << np.dtype(kind).type(8 * k)
+    return out
 
 
 def steps(x: np.ndarray) -> bytes:
@@ -124,7 +132,7 @@ def walk(documents: DataFrame, first_key: int = 0) -> DataFrame:
             ids, held = batch.column("doc_id"), np.asarray(batch.column("held").to_numpy(zero_copy_only=False), bool)
             for a, b, names, first in token_slices(batch, hasher):
                 key, number = first_key + (part << 32) + number, number + 1
-                words, place = np.unique(names, return_inverse=True)
+                words, _, place = distinct(names)
                 doc_ids = ids.slice(a, b - a)
                 marks = np.asarray(doc_ids.is_null()).astype(np.uint8) | (held[a:b].astype(np.uint8) << 1)
                 row = (pack(np.asarray(doc_ids.fill_null(0)).astype(np.int64)), pack(marks), pack(np.diff(first)), steps(words), planes(place.astype(np.uint32)))
@@ -145,7 +153,7 @@ class Slice:
         self.names = self.words[self.place]
         self.last = np.concatenate(([END], self.names[:-1]))
         self.grams = follow(self.last, self.names)
-        self.pairs, self.pair_first, self.pair_at = np.unique(self.grams, return_index=True, return_inverse=True)
+        self.pairs, self.pair_first, self.pair_at = distinct(self.grams)
         self.found: dict[int, list[dict]] = {}
         for r in sorted(totals, key=lambda r: r["part"]):
             self.found.setdefault(r["part"] // parts, []).append(r)
@@ -155,10 +163,12 @@ class Slice:
             kept = self.c2[self.pair_at] >= least
             # a triple needs both of its pairs; none goes beyond the end before its last word
             self.longer = np.flatnonzero(kept & np.concatenate(([False], kept[:-1])) & (self.last != END))
-            self.triples, self.triple_first, self.triple_at = np.unique(follow(self.grams[self.longer - 1], self.names[self.longer]), return_index=True, return_inverse=True)
+            self.triples, self.triple_first, self.triple_at = distinct(follow(self.grams[self.longer - 1], self.names[self.longer]))
             self.asks1 = np.flatnonzero(self.c1 >= least)
             inner = np.flatnonzero(self.last != END) - 1  # tokens whose pair is a history
-            self.asks2 = np.unique(self.pair_at[inner[kept[inner]]])
+            asked = np.zeros(len(self.pairs), bool)
+            asked[self.pair_at[inner[kept[inner]]]] = True
+            self.asks2 = np.flatnonzero(asked)
 
     def total(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.found.get(kind, [])
@@ -242,26 +252,30 @@ class Automaton:
         self.fail = np.concatenate(([0], np.zeros(words, np.int64), 1 + last))
 
     def score(self, tokens: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """One traversal of each document from left to right that carries its state and adds up log10 weights. All documents take
-        their next token together; a few long ones that are left go on one by one."""
-        order = np.argsort(-n, kind="stable")
-        begins, n = begins[order], n[order]
-        state, total = np.ones(len(n), np.int64), np.zeros(len(n))
-        longest, step, live = int(n.max(initial=0)), 0, len(n)
+        """The sum of log10 weights of each document, traversed from left to right with its state carried on. Long documents are
+        traversed in stretches, and all stretches take their next token together; a few that are left of a small automaton go on one by one. As no history is longer than ``AHEAD`` words,
+        every path over the tokens ahead of a stretch ends in the state that the document has there."""
+        cuts = np.maximum(1, -(-n // STRETCH))
+        owner = np.repeat(np.arange(len(n)), cuts)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * STRETCH
+        ahead = np.where(first > 0, AHEAD, 0)
+        length = np.minimum(n[owner] - first, STRETCH) + ahead
+        order = np.argsort(-length, kind="stable")
+        at, length, late = (begins[owner] + first - ahead)[order], length[order], ahead[order] > 0
+        state, total = np.ones(len(order), np.int64), np.zeros(len(order))
+        longest, step, live = int(length.max(initial=0)), 0, len(order)
         while step < longest:
-            live = int(np.searchsorted(-n[:live], -step))  # documents of more tokens than that
-            if live < WIDE and 100 * (longest - step) > len(self.codes):
+            live = int(np.searchsorted(-length[:live], -step))  # stretches of more tokens than that
+            if step >= AHEAD and live < WIDE and 100 * (longest - step) > len(self.codes):
                 break
-            state[:live], weight = self.step(state[:live], tokens[begins[:live] + step])
-            total[:live] += weight
+            state[:live], weight = self.step(state[:live], tokens[at[:live] + step])
+            total[:live] += np.where(late[:live], 0.0, weight) if step < AHEAD else weight
             step += 1
         if step < longest:
             walk = self.walker()
             for i in range(live):
-                total[i] = walk(tokens[begins[i] + step:begins[i] + n[i]].tolist(), int(state[i]), float(total[i]))
-        out = np.empty(len(n))
-        out[order] = total
-        return out
+                total[i] = walk(tokens[at[i] + step:at[i] + length[i]].tolist(), int(state[i]), float(total[i]))
+        return np.bincount(owner[order], weights=total, minlength=len(n))
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, log10 weight) of one token from each state."""
@@ -281,7 +295,7 @@ class Automaton:
         return target, weight
 
     def walker(self) -> Callable[[list[int], int, float], float]:
-        """The same for the rest of one document, from a state and a total."""
+        """The same for the rest of one stretch, from a state and a total."""
         arcs, words = dict(zip(self.codes.tolist(), range(len(self.codes)), strict=True)), self.words
         weight, target, first, loss, fail = (x.tolist() for x in (self.weight, self.target, self.first, self.loss, self.fail))
 
@@ -311,8 +325,8 @@ def add_up(group: pa.Table) -> pa.Table:
     lean()
     group = group.sort_by("key")
     codes = [unsteps(x) for x in group.column("codes").to_pylist()]
-    distinct, first, inverse = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
-    a, b = (np.bincount(inverse, weights=np.concatenate([unplanes(x, np.int64) for x in group.column(c).to_pylist()]), minlength=len(distinct)).astype(np.int64) for c in ("a", "b"))
+    sums, first, inverse = distinct(np.concatenate(codes))
+    a, b = (np.bincount(inverse, weights=np.concatenate([unplanes(x, np.int64) for x in group.column(c).to_pylist()]), minlength=len(sums)).astype(np.int64) for c in ("a", "b"))
     first_total, second_total = a[inverse] << 1, b[inverse]
     first_total[first] |= 1
     bounds = np.cumsum([0, *map(len, codes)])

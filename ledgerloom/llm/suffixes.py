@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, column_bytes, free_names, lean, mix, pieces, slices, text_bytes, without
+from .common import SpanHasher, column_bytes, free_names, lean, mix, pieces, slices, text_bytes, value_order, without
 
 #: Bytes of a match; bytes of a sampled gram.
 LENGTH, GRAM = 50, 8
@@ -196,15 +196,6 @@ class Family:
             self.levels.append((names, docs))
 
 
-def suffix_order(names: np.ndarray) -> np.ndarray:
-    """Places of the names in ascending order, equal names in the order of their places."""
-    low = np.uint64((1 << max(1, (len(names) - 1).bit_length())) - 1)
-    # the high bits of a name with its place below them are sorted by value, which is several times as fast
-    place = (np.sort((names & ~low) | np.arange(len(names), dtype=np.uint64)) & low).view(np.int64)
-    held = names[place]
-    return np.argsort(names, kind="stable") if (held[1:] < held[:-1]).any() else place
-
-
 MATCHES = "bundle int, ids binary, tags binary, owners binary, starts binary, sizes binary"
 
 
@@ -248,7 +239,7 @@ def match_rows(spans: DataFrame, groups: int, length: int) -> DataFrame:
             own, windows = owners[mine], counts[mine]
             begin = np.cumsum(windows) - windows
             name, who = names[spread(texts[mine], windows)], np.repeat(rank[own], windows)
-            suffix = suffix_order(name)  # documents of one window stay in ascending order
+            suffix = value_order(name)  # documents of one window stay in ascending order
             name, who = name[suffix], who[suffix]
             head = np.ones(len(name), bool)
             head[1:] = name[1:] != name[:-1]

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from ledgerloom.llm import suffixes
-from ledgerloom.llm.common import SpanHasher
+from ledgerloom.llm.common import SpanHasher, value_order
 
 
 class Frame:
@@ -26,16 +26,16 @@ class Frame:
     applyInArrow = mapInArrow
 
 
-def test_suffix_order_with_equal_high_bits():
+def test_value_order_with_equal_high_bits():
     rng = np.random.default_rng(5)
     names = rng.integers(0, 2**63, 5000, dtype=np.uint64)
     names[1000:2000] = names[:1000]
-    assert (suffixes.suffix_order(names) == np.argsort(names, kind="stable")).all()
+    assert (value_order(names) == np.argsort(names, kind="stable")).all()
     near = names & ~np.uint64(1 << 12) | (np.arange(5000, dtype=np.uint64) % np.uint64(3))  # differ in low bits alone
     near[::2] = near[0]
     near[1::4] += np.uint64(7)
-    assert (suffixes.suffix_order(near) == np.argsort(near, kind="stable")).all()
-    assert (suffixes.suffix_order(np.arange(9, 0, -1, dtype=np.uint64)) == np.arange(8, -1, -1)).all()
+    assert (value_order(near) == np.argsort(near, kind="stable")).all()
+    assert (value_order(np.arange(9, 0, -1, dtype=np.uint64)) == np.arange(8, -1, -1)).all()
 
 
 def test_spans_of_up_to_128_bytes_need_no_digest(monkeypatch):
