@@ -73,7 +73,10 @@ class Shingler:
                 grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + words[k:k + n])
             for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if y - x >= self.width:
-                    yield np.unique(grams[x:y - self.width + 1])
+                    found = np.sort(grams[x:y - self.width + 1])
+                    fresh = np.ones(len(found), bool)
+                    np.not_equal(found[1:], found[:-1], out=fresh[1:])
+                    yield found[fresh]
                 elif y > x:
                     few = words[x:x + 1]
                     for k in range(1, y - x):
@@ -102,7 +105,7 @@ def sketch(documents: DataFrame, width: int, bins: int = BINS) -> np.ndarray:
         for batch in batches:
             sets = [s & np.uint64((1 << bins) - 1) for s in shingler.sets(*column_bytes(batch.column("text")))]
             if sets:
-                total += np.bincount(np.concatenate(sets).astype(np.int64), minlength=1 << bins).astype(np.uint32)
+                np.add.at(total, np.concatenate(sets).astype(np.int64), np.uint32(1))
         parts = total.reshape(SLOTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["slot", "counts"])
 
@@ -119,16 +122,23 @@ def sketch(documents: DataFrame, width: int, bins: int = BINS) -> np.ndarray:
 
 
 def in_order(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return tokens[np.lexsort((tokens, classes[(tokens & np.uint64(len(classes) - 1)).astype(np.int64)]))]
+    """Ascending tokens by their class and then by hash."""
+    return tokens[np.argsort(classes, kind="stable")]
 
 
-def bitmap(tokens: np.ndarray, spread: int = 1) -> bytes:
-    """Parity of the tokens in each of a power of two of bits, at least ``spread`` times as many as tokens (64 to 65536)."""
-    bits = min(1 << 16, max(64, spread << (len(tokens) - 1).bit_length())) if len(tokens) else 64
-    odd = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+def bitmap(mixed: np.ndarray, spread: int = 1) -> bytes:
+    """Parity of the (mixed) tokens in each of a power of two of bits, at least ``spread`` times as many as tokens (64 to 65536)."""
+    bits = min(1 << 16, max(64, spread << (len(mixed) - 1).bit_length())) if len(mixed) else 64
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def half(long: bytes) -> bytes:
+    """The bitmap of half the length, for those of more than 64 bits."""
+    words = np.frombuffer(long, np.uint64).reshape(2, -1)
+    return (words[0] ^ words[1]).tobytes()
+
+
 def differ(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference, from two bitmaps; the longer is folded."""
     size = min(len(a), len(b)) * 8
@@ -202,16 +212,23 @@ def features(documents: DataFrame, classes: np.ndarray, width: int, percent: int
         lean()
         shingler = Shingler(width)
         for column in texts:
-            n, ids, tokens, briefs, maps = [], [], [], [], []
-            for s in shingler.sets(*column_bytes(column)):
-                n.append(len(s))
-                # two independent sums name the set
-                ids.append(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
-                tokens.append(in_order(s, shared.value)[:len(s) - needed(len(s), percent) + 2].view(np.int64))
-                briefs.append(bitmap(s))
-                maps.append(bitmap(s, 2))
+            sets = list(shingler.sets(*column_bytes(column)))
+            n = np.array([len(s) for s in sets], np.int64)
+            at, full = np.concatenate(([0], np.cumsum(n))), np.flatnonzero(n)
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            mixed, kinds = mix(every), shared.value[(every & np.uint64(len(shared.value) - 1)).astype(np.int64)]
+            names = np.zeros((len(sets), 2), np.uint64)  # two independent sums name the set
+            if len(full):
+                for k, x in enumerate((mixed, mix(every ^ np.uint64(0xA5A5A5A5A5A5A5A5)))):
+                    names[full, k] = np.add.reduceat(x, at[full], dtype=np.uint64)
+            tokens, briefs, maps = [np.zeros(0, np.uint64)], [], []
+            for s, a, b in zip(sets, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                tokens.append(in_order(s, kinds[a:b])[:b - a - needed(b - a, percent) + 2])
+                maps.append(bitmap(mixed[a:b], 2))
+                briefs.append(half(maps[-1]) if 32 < b - a <= 1 << 15 else bitmap(mixed[a:b]))
+            held = pa.ListArray.from_arrays(np.cumsum([len(x) for x in tokens]).astype(np.int32), np.concatenate(tokens).view(np.int64))
             yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(briefs, pa.binary()), pa.array(maps, pa.binary())],
+                [pa.array(n), pa.array([x.tobytes() if k else None for x, k in zip(names, n, strict=True)], pa.binary()), held, pa.array(briefs, pa.binary()), pa.array(maps, pa.binary())],
                 ["n", "set_id", "tokens", "brief", "bitmap"])
 
     found = documents.select("doc_id", F.xxhash64("text").alias("mark"), F.arrow_udf(run, FEATURES)(F.col("text")).alias("f"))
