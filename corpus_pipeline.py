@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language, roundtrip, shingles, suffixes
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import small_batches, table
 from ledgerloom.llm.registry import vocabulary_path
 from ledgerloom.session import stage, staged_result
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of a batch that a Python worker gets; both ends of the exchange hold a few batches in each task.
+BATCH = 2000
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, work in STAGES:
-        docs, _ = stage(work(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    with small_batches(spark, BATCH):
+        for name, work in STAGES:
+            docs, _ = stage(work(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, column_bytes, free_names, mix, slices, without
+from .common import LOWER, column_bytes, free_names, lean, mix, slices, without
 
 #: Buckets, embedding width, longest gram; rows that training may collect, at most, and the part held back.
 BUCKETS, WIDTH, LONGEST = 1 << 14, 16, 4
@@ -35,6 +35,8 @@ UNKNOWN = "und"
 #: Bytes of words: letters of ASCII and everything beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Text in one pass of array work, in bytes; its grams take some fifty times as much.
+PASS = 1 << 18
 
 
 @dataclass
@@ -92,6 +94,7 @@ def sample(labelled: DataFrame, id_column: str, rows: int) -> list[tuple[str, np
     some = picked.where(F.col("h") < int(scale * min(1.0, rows / total))).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r")).select("h", "r.lang", "r.text")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             out = []
@@ -168,11 +171,12 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
     plain = documents.select(*[F.col(f"`{c}`") for c in fields]).withColumn(letters, has_letter(text)).withColumn(lettered, F.when(F.col(letters), F.col(text)))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
         logits = np.ascontiguousarray(model.logits)
         for column in texts:
             data, offsets = column_bytes(column)
             scores = np.zeros((len(offsets) - 1, logits.shape[1]))
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, PASS):
                 ids, at = grams(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 full = np.flatnonzero(np.diff(at))
                 if len(full):
@@ -181,6 +185,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
             p = softmax((scores + model.bias) / model.temperature)
             yield pa.StructArray.from_arrays(
                 [pa.array(np.array(model.languages or [UNKNOWN], object)[p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1))], ["lang", "score"])
+        lean()
 
     guess = F.arrow_udf(run, "lang string, score double")
     known = F.col(letters) & F.lit(bool(model.languages))

@@ -182,6 +182,8 @@ def encoded(vocabulary: Vocabulary, text: Column, documents: DataFrame, with_ids
                     text_sha.append(hashlib.sha256(back[at[a + k] - at[a]:at[a + k + 1] - at[a]].tobytes()).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(ids_out, pa.binary()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                                              ["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del coder
+        lean()  # the worker may stay idle from here on
 
     return F.arrow_udf(run, "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")(text)
 
