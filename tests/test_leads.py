@@ -132,6 +132,34 @@ def test_run_design_ranks_better_than_chance(spark):
     assert cohorts.penalised_gradient(run.inputs, run.logistic).first()["largest"] < 0.05
 
 
+def test_fits_read_each_distinct_case_once(spark, monkeypatch):
+    """The passes of a fit grow with the distinct inputs: twenty times the leads are as many cases, of twenty times the weight."""
+    read = {}
+    for name in ("fit_logistic", "fit_boosted"):
+        fit = getattr(cohorts, name)
+        monkeypatch.setattr(cohorts, name, lambda train, *a, _n=name, _fit=fit: read.setdefault(_n, []).append(train) or _fit(train, *a))
+    few = lead_population(spark, 200)
+    many = few.crossJoin(spark.range(20)).withColumn("mql_id", F.concat("mql_id", F.lit("-"), F.col("id").cast("string"))).drop("id")
+    runs = [cohorts.run_design(x, design(), rounds=2) for x in (few, many)]
+    for name in ("fit_logistic", "fit_boosted"):
+        a, b = read[name]
+        assert a.count() == b.count() < runs[1].summary["train_n"] / 10
+        assert [x.agg(F.sum("weight")).first()[0] for x in (a, b)] == [r.summary["train_n"] for r in runs]
+    assert runs[1].inputs.count() == runs[1].summary["train_n"]
+
+
+def test_weighed_cases_fit_as_their_rows_do(spark):
+    rows_ = lf.design_matrix(design().training(lead_population(spark, 600))).withColumn("log_page_volume", F.round("log_page_volume"))
+    enc = cohorts.fit_encoder(rows_)
+    each, cases = enc.transform(rows_), enc.transform(cohorts.distinct_cases(rows_))
+    n = each.count()
+    assert cases.count() < n
+    for a, b in ((cohorts.fit_logistic(each, n), cohorts.fit_logistic(cases, n, "weight")),
+                 (cohorts.fit_boosted(each, 8), cohorts.fit_boosted(cases, 8, "weight"))):
+        p = [[r["p"] for r in cohorts.positive_probability(m, cases, "p").orderBy("channel", *lf.NUMERIC_FEATURES, "label").collect()] for m in (a, b)]
+        assert p[0] == pytest.approx(p[1], abs=1e-5)
+
+
 def test_run_design_after_an_observed_export(spark):
     """A session in which something was observed can't be sent to tasks, so the fitted model must not hold it."""
     from pyspark.sql import Observation
