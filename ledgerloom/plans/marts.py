@@ -71,15 +71,18 @@ def _order_sums() -> list[Column]:
 
 def order_cells(orders: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
     """Additive measures of the analysis window at several grains from one scan: one grouping set for each, told apart by ``grain``, so
-    that a NULL state or instrument is a group of its own and never a total. Rows collapse to cells before they move."""
+    that a NULL state or instrument is a group of its own and never a total. Rows collapse to cells of all keys together before they move, and
+    only these are expanded to the grains."""
     inside = orders.where("is_in_analysis_window").withColumn("_primary", F.col("primary_payment_type").isNotNull())
     keys = list(dict.fromkeys(k for g in grains for k in GRAINS[g]))
     if len(grains) == 1:
         return inside.groupBy(*keys).agg(*_order_sums()).select(F.lit(grains[0]).alias("grain"), "*")
+    finest = inside.groupBy(*keys).agg(*_order_sums())
     label = F.lit(None).cast("string")
     for g in grains:
         label = F.when(F.grouping_id() == sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in GRAINS[g]), F.lit(g)).otherwise(label)
-    sums = inside.groupingSets([[F.col(k) for k in GRAINS[g]] for g in grains], *keys).agg(label.alias("grain"), *_order_sums())
+    added = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in finest.schema.fields if f.name not in keys]
+    sums = finest.groupingSets([[F.col(k) for k in GRAINS[g]] for g in grains], *keys).agg(label.alias("grain"), *added)
     return sums.select("grain", *[c for c in sums.columns if c != "grain"])
 
 

@@ -43,7 +43,8 @@ def payments_agg(payments: DataFrame) -> DataFrame:
     # Ascending struct order: amount negated, so the smallest is the largest amount; NULL amounts last.
     preference = F.struct(F.col("type_value").isNull(), -F.col("type_value"),
                           F.col("payment_type").isNull(), F.col("payment_type"))
-    return by_type.groupBy("order_id").agg(
+    # few rows for each order are left, which no further collapse ahead of the exchange would make fewer
+    return by_type.repartition("order_id").groupBy("order_id").agg(
         F.sum("type_value").alias("payment_total_brl"),
         F.sum("type_rows").alias("payment_count"),
         F.count("payment_type").alias("distinct_payment_types"),

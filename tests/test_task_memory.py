@@ -1,5 +1,7 @@
 """What one task holds must not grow with the tables."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators.extracts import assemble
 from ledgerloom.plans import marts
 from ledgerloom.session import tasks_for
@@ -45,3 +47,26 @@ def test_inferences_need_no_lines(spark, monkeypatch):
     monkeypatch.setattr(World, "mart_lines", property(lambda w: (_ for _ in ()).throw(AssertionError("lines are written"))))
     alone = queries.QUERIES["inference_status_counts"](spark, SF)
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_order_rows_are_not_expanded_to_grains(spark):
+    """Only cells of all keys together are, and they give what each grain gives from the rows."""
+    orders = World(spark, SF).mart_orders
+    orders = orders.withColumn("customer_state", F.when(F.col("customer_state") != "n03", F.col("customer_state")))  # a NULL is a state of its own
+    cells = marts.order_cells(orders)
+    lines = [line.strip(" +-:*") for line in cells._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    below = lines[next(i for i, line in enumerate(lines) if line.startswith("Expand")) + 1:]
+    assert below[0].startswith("Aggregate [purchase_month")
+    for grain, keys in marts.GRAINS.items():
+        alone = marts.order_cells(orders, [grain])
+        assert [cells.schema[c].dataType for c in alone.columns] == [f.dataType for f in alone.schema.fields]
+        got, meant = ([tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x.collect()]
+                      for x in (cells.where(F.col("grain") == grain).select(*alone.columns), alone))
+        assert sorted(got, key=str) == sorted(meant, key=str) and len(got) > 0
+
+
+def test_instruments_of_an_order_collapse_once(spark):
+    """Rows of (order, instrument) move to their order as they are: no partial aggregate sorts them ahead of that exchange."""
+    plan = World(spark, SF).payments_agg._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = next(i for i, line in enumerate(plan) if "hashpartitioning(order_id" in line and "payment_type" not in line)
+    assert not any("min_by" in line for line in plan[moved + 1:])
