@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Named = str | Column
 
@@ -38,6 +39,18 @@ def sum_where(value: Named, cond: Named) -> Column:
     return F.sum(F.when(as_col(cond), as_col(value)))
 
 
+def money_sum(df: DataFrame, name: str) -> Column:
+    """Aggregate: ``sum`` of an amount, of the same type. A sum of more than 18 digits is a byte array that every row unpacks and
+    packs again; amounts of at most 15 digits, two of them cents, are added as whole cents instead, in two 64-bit sums
+    (multiples of 2^20 and the rest) that no table overflows."""
+    kind = df.schema[name].dataType
+    if not (isinstance(kind, T.DecimalType) and kind.scale == 2 and 8 < kind.precision <= 15):
+        return F.sum(name)
+    cents = F.rint(F.col(name).cast("double") * 100).cast("bigint")  # below 2^53, so the nearest whole number is the one meant
+    whole = F.sum(F.shiftright(cents, 20)).cast("decimal(38,0)") * F.lit(1 << 20) + F.sum(cents.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (whole * F.lit("0.01").cast("decimal(3,2)")).cast(T.DecimalType(kind.precision + 10, 2))
+
+
 def avg_where(value: Named, cond: Named) -> Column:
     return F.avg(F.when(as_col(cond), as_col(value)))
 

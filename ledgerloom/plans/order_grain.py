@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import day_gap
+from ..functions.measures import day_gap, money_sum
 from ..operators.median import exact_medians
 
 
@@ -18,9 +18,9 @@ def items_agg(items: DataFrame) -> DataFrame:
     """
     sums = items.groupBy("order_id").agg(
         F.count("*").alias("item_count"),
-        F.sum("item_price_brl").alias("items_price_brl"),
-        F.sum("item_freight_brl").alias("items_freight_brl"),
-        F.sum("item_total_brl").alias("items_total_brl"),
+        money_sum(items, "item_price_brl").alias("items_price_brl"),
+        money_sum(items, "item_freight_brl").alias("items_freight_brl"),
+        money_sum(items, "item_total_brl").alias("items_total_brl"),
     )
     breadth = items.groupBy("order_id").agg(
         F.countDistinct("seller_id").alias("distinct_sellers"), F.countDistinct("product_id").alias("distinct_products"))
@@ -36,7 +36,7 @@ def payments_agg(payments: DataFrame) -> DataFrame:
     alphabetically first instrument.
     """
     by_type = payments.where("order_id IS NOT NULL").groupBy("order_id", "payment_type").agg(
-        F.sum("payment_value_brl").alias("type_value"),
+        money_sum(payments, "payment_value_brl").alias("type_value"),
         F.count("*").alias("type_rows"),
         F.max("payment_installments").alias("type_installments"),
     )
